@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, quality_rules, simhash_dedup, token_output
+from . import decontamination, language_id, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_output, url_filters, warc
 from .common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -28,5 +48,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_quality_rules, op8_simhash_dedup, op9_token_output, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filters, op2_language_id, op3_secret_scan, op4_warc, op5_quality_rules, op6_suffix_dedup, op7_decontamination, op8_simhash_dedup, op9_token_output, op10_best_fit_packing)
+}
 ORACLE_SQL: dict[str, str] = {}
