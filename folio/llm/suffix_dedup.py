@@ -39,7 +39,7 @@ HOT = 40_000
 #: Anchors that a merging task is to get, about.
 BUCKET_ANCHORS = 20_000
 #: Anchors that a sorting task sorts at once.
-RUN_ANCHORS = 40_000
+RUN_ANCHORS = 20_000
 #: Groups up to this size are compared pair by pair.
 SMALL = 24
 
@@ -205,21 +205,27 @@ def _group_small(keys: list[bytes], lefts: list[bytes], shared: list[int], lengt
 def _group_large(keys: list[bytes], lefts: list[bytes], length: int, gram: int, head: int) -> list[tuple[int, int] | None]:
     """The same for a large group: all windows around the anchors by their hashes, one offset at a time."""
     m, back = len(keys), length - gram
-    rows = np.zeros((m, back + length), np.uint8)
-    for i, (key, left) in enumerate(zip(keys, lefts)):
-        right = key[head:]
-        rows[i, back - len(left) : back] = np.frombuffer(left, np.uint8)
-        rows[i, back : back + len(right)] = np.frombuffer(right, np.uint8)
+    powers = _powers(back + length)[0]
+    hashes = np.empty((back + 1, m), np.uint64)  # by offset: 8 bytes for each window
+    for lo in range(0, m, 1000):
+        part = range(lo, min(m, lo + 1000))
+        rows = np.zeros((len(part), back + length), np.uint8)
+        for i, k in enumerate(part):
+            right = keys[k][head:]
+            rows[i, back - len(lefts[k]) : back] = np.frombuffer(lefts[k], np.uint8)
+            rows[i, back : back + len(right)] = np.frombuffer(right, np.uint8)
+        sums = np.zeros((len(part), back + length + 1), np.uint64)
+        np.cumsum(_TABLE[rows] * powers, axis=1, out=sums[:, 1:])
+        for o in range(back + 1):
+            hashes[o, part.start : part.stop] = sums[:, back - o + length] - sums[:, back - o]
     before = np.array([len(x) for x in lefts])
     after = np.array([len(k) - head for k in keys])
-    sums = np.zeros((m, back + length + 1), np.uint64)
-    np.cumsum(_TABLE[rows] * _powers(back + length)[0], axis=1, out=sums[:, 1:])
     most, least = np.full(m, -1), np.full(m, back + 1)
     for o in range(back + 1):
         has = np.flatnonzero((before >= o) & (after >= length - o))
         if len(has) < 2:
             continue
-        h = sums[has, back - o + length] - sums[has, back - o]
+        h = hashes[o, has]
         order = np.argsort(h, kind="stable")
         same = h[order[1:]] == h[order[:-1]]
         twice = np.zeros(len(has), bool)
