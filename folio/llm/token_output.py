@@ -31,7 +31,7 @@ from . import common, tokens
 MAGIC = b"FDAC"
 RANK_BITS = 512
 #: Tokens in one block, and so in one file, unless a single document has more.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 
 
 def _directory(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

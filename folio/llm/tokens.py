@@ -14,9 +14,9 @@ from itertools import islice
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are worked on together.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 6_000_000
 #: By line: lower-cased latin letters, perhaps with marks after them, else two empty groups. The library's normaliser
 #: keeps such words as they are, and its pattern splits just before the marks.
 _LINES = re.compile(r"(?m)^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|.*)$")
