@@ -5,8 +5,8 @@ equals. Equal windows have their anchors at the same place, so it is enough to c
 whose k-grams are the same; the others cannot be in a repeated window.
 
 Suffixes at such anchors are sorted within each task, by the hash of their k-gram and then by their bytes, and
-exchanged as front-coded runs: each entry says how many bytes it shares with the one before and holds the rest. The
-receiving task merges the runs with a loser tree that keeps, for every contender, its common prefix with the last
+exchanged as front-coded runs: each entry says how many bytes it shares with the one before and holds the rest. Anchors
+whose surroundings are the same are one entry. The receiving task merges the runs with a loser tree that keeps, for every contender, its common prefix with the last
 winner: a longer one wins without a look at the bytes, and equal ones are compared from there on. The merge yields the
 common prefix of neighbours. Within a run of neighbours with one k-gram, common prefixes and the common bytes before
 the anchors give, for each anchor, the repeated windows around it, which are one interval.
@@ -35,11 +35,13 @@ from . import common
 LENGTH = 400
 GRAM = 100
 #: K-grams with more anchors than this are counted by windows.
-HOT = 40_000
+HOT = 400_000
 #: Anchors that a merging task is to get, about.
-BUCKET_ANCHORS = 20_000
+BUCKET_ANCHORS = 10_000
 #: Anchors that a sorting task sorts at once.
 RUN_ANCHORS = 20_000
+#: Window hashes that a task holds at once for one group.
+GROUP_HASHES = 6_000_000
 #: Groups up to this size are compared pair by pair.
 SMALL = 24
 
@@ -102,50 +104,46 @@ def common_prefix(a: bytes, b: bytes, skip: int = 0) -> int:
 
 
 def encode_run(entries: list[tuple]) -> bytes:
-    """Sorted (key, left, k1, rk, position) as a front-coded run."""
+    """Sorted (key, left, references) as a front-coded run; a reference is (k1, rk, position)."""
     shared, tails, last = [], [], b""
-    for key, *_ in entries:
+    for key, _, _ in entries:
         k = common_prefix(last, key)
         shared.append(k)
         tails.append(key[k:])
         last = key
     lefts = [e[1] for e in entries]
-    ints = np.array([e[2:] for e in entries], "<i8").reshape(-1, 3)
-    sizes = np.array([shared, [len(t) for t in tails], [len(x) for x in lefts]], "<u2")
+    sizes = np.array([shared, [len(t) for t in tails], [len(x) for x in lefts], [len(e[2]) for e in entries]], "<u4")
+    ints = np.array([r for e in entries for r in e[2]], "<i8")
     return struct.pack("<q", len(entries)) + sizes.tobytes() + ints.tobytes() + b"".join(tails) + b"".join(lefts)
 
 
-def decode_run(data: bytes) -> tuple[list[int], list[bytes], list[bytes], np.ndarray]:
-    """Shared prefixes, keys, lefts and the (k1, rk, position) of a run."""
+def read_run(data: bytes) -> Iterator[tuple[int, bytes, tuple[bytes, np.ndarray]]]:
+    """The entries of a run, one at a time: bytes shared with the key before, key, and (left, references)."""
     (n,) = struct.unpack_from("<q", data)
-    sizes = np.frombuffer(data, "<u2", 3 * n, 8).reshape(3, n)
-    ints = np.frombuffer(data, "<i8", 3 * n, 8 + 6 * n).reshape(n, 3)
-    at = 8 + 30 * n
-    keys, last = [], b""
-    for shared, size in zip(sizes[0].tolist(), sizes[1].tolist()):
+    sizes = np.frombuffer(data, "<u4", 4 * n, 8).reshape(4, n)
+    total = int(sizes[3].sum())
+    ints = np.frombuffer(data, "<i8", 3 * total, 8 + 16 * n).reshape(total, 3)
+    at = 8 + 16 * n + 24 * total
+    left_at, ref_at, last = at + int(sizes[1].sum()), 0, b""
+    for shared, size, left, refs in sizes.T.tolist():
         last = last[:shared] + data[at : at + size]
-        keys.append(last)
-        at += size
-    lefts = []
-    for size in sizes[2].tolist():
-        lefts.append(data[at : at + size])
-        at += size
-    return sizes[0].tolist(), keys, lefts, ints
+        yield shared, last, (data[left_at : left_at + left], ints[ref_at : ref_at + refs])
+        at, left_at, ref_at = at + size, left_at + left, ref_at + refs
 
 
 class LoserTree:
-    """Merges sorted runs of keys; yields (run, place in it, bytes shared with the key before)."""
+    """Merges sorted runs of (shared, key, payload); yields (key, payload, bytes shared with the key before)."""
 
-    def __init__(self, keys: list[list[bytes]], shared: list[list[int]]):
-        self.keys, self.shared = keys, shared
+    def __init__(self, runs: list[Iterator[tuple]]):
+        self.runs = runs
 
-    def __iter__(self) -> Iterator[tuple[int, int, int]]:
-        keys, shared = self.keys, self.shared
+    def __iter__(self) -> Iterator[tuple]:
+        runs = self.runs
         size = 1
-        while size < len(keys):
+        while size < len(runs):
             size *= 2
-        place = [0] * size
-        current: list[bytes | None] = [keys[r][0] if r < len(keys) and keys[r] else None for r in range(size)]
+        heads = [next(r, None) for r in runs] + [None] * (size - len(runs))
+        current: list[bytes | None] = [h[1] if h else None for h in heads]
         known = [0] * size  # bytes shared with the last winner that each contender has met
 
         def beats(a: int, b: int) -> bool:
@@ -169,12 +167,9 @@ class LoserTree:
             winners[node], losers[node] = (a, b) if beats(a, b) else (b, a)
         top = winners[1] if size > 1 else 0
         while current[top] is not None:
-            yield top, place[top], known[top]
-            place[top] += 1
-            if place[top] < len(keys[top]):
-                current[top], known[top] = keys[top][place[top]], shared[top][place[top]]
-            else:
-                current[top] = None
+            yield current[top], heads[top][2], known[top]
+            heads[top] = head = next(runs[top], None)
+            current[top], known[top] = (head[1], head[0]) if head else (None, 0)
             node, run = (top + size) // 2, top
             while node:
                 other = losers[node]
@@ -206,34 +201,37 @@ def _group_large(keys: list[bytes], lefts: list[bytes], length: int, gram: int,
     """The same for a large group: all windows around the anchors by their hashes, one offset at a time."""
     m, back = len(keys), length - gram
     powers = _powers(back + length)[0]
-    hashes = np.empty((back + 1, m), np.uint64)  # by offset: 8 bytes for each window
-    for lo in range(0, m, 1000):
-        part = range(lo, min(m, lo + 1000))
-        rows = np.zeros((len(part), back + length), np.uint8)
-        for i, k in enumerate(part):
-            right = keys[k][head:]
-            rows[i, back - len(lefts[k]) : back] = np.frombuffer(lefts[k], np.uint8)
-            rows[i, back : back + len(right)] = np.frombuffer(right, np.uint8)
-        sums = np.zeros((len(part), back + length + 1), np.uint64)
-        np.cumsum(_TABLE[rows] * powers, axis=1, out=sums[:, 1:])
-        for o in range(back + 1):
-            hashes[o, part.start : part.stop] = sums[:, back - o + length] - sums[:, back - o]
     before = np.array([len(x) for x in lefts])
     after = np.array([len(k) - head for k in keys])
     most, least = np.full(m, -1), np.full(m, back + 1)
-    for o in range(back + 1):
-        has = np.flatnonzero((before >= o) & (after >= length - o))
-        if len(has) < 2:
-            continue
-        h = hashes[o, has]
-        order = np.argsort(h, kind="stable")
-        same = h[order[1:]] == h[order[:-1]]
-        twice = np.zeros(len(has), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        hit = has[twice]
-        most[hit] = o
-        least[hit] = np.minimum(least[hit], o)
+    block = max(1, GROUP_HASHES // m)
+    for first in range(0, back + 1, block):
+        offsets = range(first, min(back + 1, first + block))
+        hashes = np.empty((len(offsets), m), np.uint64)
+        for lo in range(0, m, 1000):
+            part = range(lo, min(m, lo + 1000))
+            rows = np.zeros((len(part), back + length), np.uint8)
+            for i, k in enumerate(part):
+                right = keys[k][head:]
+                rows[i, back - len(lefts[k]) : back] = np.frombuffer(lefts[k], np.uint8)
+                rows[i, back : back + len(right)] = np.frombuffer(right, np.uint8)
+            sums = np.zeros((len(part), back + length + 1), np.uint64)
+            np.cumsum(_TABLE[rows] * powers, axis=1, out=sums[:, 1:])
+            for j, o in enumerate(offsets):
+                hashes[j, part.start : part.stop] = sums[:, back - o + length] - sums[:, back - o]
+        for j, o in enumerate(offsets):
+            has = np.flatnonzero((before >= o) & (after >= length - o))
+            if len(has) < 2:
+                continue
+            h = hashes[j, has]
+            order = np.argsort(h, kind="stable")
+            same = h[order[1:]] == h[order[:-1]]
+            twice = np.zeros(len(has), bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            hit = has[twice]
+            most[hit] = np.maximum(most[hit], o)
+            least[hit] = np.minimum(least[hit], o)
     return [(int(a), length - int(b)) if a >= 0 else None for a, b in zip(most, least)]
 
 
@@ -270,23 +268,26 @@ def _runs(located: DataFrame, length: int, gram: int, buckets: int) -> DataFrame
     back = length - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: list[tuple] = []
+        entries: dict[tuple[bytes, bytes], list] = {}
+        held = 0
 
         def flushed() -> pa.RecordBatch:
-            entries.sort(key=lambda e: e[0])
             runs: dict[int, list] = {}
-            for e in entries:
-                runs.setdefault(int.from_bytes(e[0][:8], "big") * buckets >> 64, []).append(e)
+            for (key, left), refs in sorted(entries.items(), key=lambda e: e[0]):
+                runs.setdefault(int.from_bytes(key[:8], "big") * buckets >> 64, []).append((key, left, refs))
             return pa.RecordBatch.from_arrays([pa.array(list(runs), pa.int64()), pa.array([encode_run(r) for r in runs.values()], pa.binary())], ["bucket", "run"])
 
         for batch in batches:
             for text, k1, rk, spots in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "rk", "spots"))):
                 for spot in spots:
                     at = spot["at"]
-                    entries.append(((spot["gram"] & (1 << 64) - 1).to_bytes(8, "big") + text[at : at + length], text[max(0, at - back) : at], k1, rk, at))
-                if len(entries) >= RUN_ANCHORS:
+                    key = (spot["gram"] & (1 << 64) - 1).to_bytes(8, "big") + text[at : at + length]
+                    entries.setdefault((key, text[max(0, at - back) : at]), []).append((k1, rk, at))
+                held += len(spots)
+                if held >= RUN_ANCHORS:
                     yield flushed()
                     entries.clear()
+                    held = 0
         if entries:
             yield flushed()
 
@@ -298,30 +299,43 @@ def _merged(runs: DataFrame, length: int, gram: int) -> DataFrame:
     head = 8
 
     def merge(table: pa.Table) -> pa.Table:
-        decoded = [decode_run(r.as_py()) for r in table.column("run")]
-        out: list[tuple] = []
+        out: list[np.ndarray] = []
         keys: list[bytes] = []
         lefts: list[bytes] = []
-        names: list = []
         shared: list[int] = []
+        names: list[list[np.ndarray]] = []
+        same: dict[bytes, int] = {}  # by left, the entries of the key at hand
 
         def close() -> None:
-            if len(keys) < 2:
+            n = [sum(map(len, r)) for r in names]
+            if sum(n) < 2:
                 return
             found = _group_small(keys, lefts, shared, length, head) if len(keys) <= SMALL else _group_large(keys, lefts, length, gram, head)
-            out.extend((int(k1), int(rk), int(at) - f[0], int(at) + f[1]) for (k1, rk, at), f in zip(names, found) if f)
-
-        for run, place, prefix in LoserTree([d[1] for d in decoded], [d[0] for d in decoded]):
-            if prefix < head + gram:
-                close()
-                keys, lefts, names, shared = [], [], [], []
-            keys.append(decoded[run][1][place])
-            lefts.append(decoded[run][2][place])
-            names.append(decoded[run][3][place])
+            for key, left, refs, many, f in zip(keys, lefts, names, n, found):
+                if many > 1 and len(left) + len(key) - head >= length:  # all that is around is there twice
+                    f = (len(left), len(key) - head)
+                if f:
+                    r = np.concatenate(refs)
+                    out.append(np.stack([r[:, 0], r[:, 1], r[:, 2] - f[0], r[:, 2] + f[1]], axis=1))
+
+        for key, (left, refs), prefix in LoserTree([read_run(r.as_py()) for r in table.column("run")]):
+            if keys and prefix == len(key) == len(keys[-1]):
+                if left in same:
+                    names[same[left]].append(refs)
+                    continue
+            else:
+                same = {}
+                if prefix < head + gram:
+                    close()
+                    keys, lefts, shared, names = [], [], [], []
+            same[left] = len(keys)
+            keys.append(key)
+            lefts.append(left)
             shared.append(prefix)
+            names.append([refs])
         close()
-        columns = list(zip(*out)) if out else [[], [], [], []]
-        return pa.table([pa.array(list(c), pa.int64()) for c in columns], ["k1", "rk", "start", "stop"])
+        rows = np.concatenate(out) if out else np.empty((0, 4), np.int64)
+        return pa.table([pa.array(c) for c in np.ascontiguousarray(rows.T)], ["k1", "rk", "start", "stop"])
 
     return runs.groupBy("bucket").applyInArrow(merge, "k1 long, rk long, start long, stop long")
 

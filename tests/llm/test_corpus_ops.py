@@ -239,6 +239,7 @@ def repeat_texts():
 @pytest.mark.parametrize(("length", "gram", "hot", "small"), [(60, 15, 40_000, 24), (60, 15, 40_000, 2), (60, 20, 3, 24), (400, 100, 40_000, 24)])
 def test_suffix_dedup(spark, monkeypatch, length, gram, hot, small):
     monkeypatch.setattr(suffix_dedup, "RUN_ANCHORS", 50)
+    monkeypatch.setattr(suffix_dedup, "GROUP_HASHES", 500)
     monkeypatch.setattr(suffix_dedup, "SMALL", small)
     rows = repeat_texts()
     docs = documents(spark, rows, extra=True)
@@ -256,11 +257,12 @@ def test_suffix_dedup_empty(spark):
 def test_loser_tree_merges_and_knows_prefixes():
     rng = random.Random(9)
     runs = [sorted(bytes(rng.choices(b"ab", k=rng.randint(0, 12))) for _ in range(rng.randint(1, 30))) for _ in range(7)]
-    decoded = [suffix_dedup.decode_run(suffix_dedup.encode_run([(k, b"left", 1, 2, 3) for k in r])) for r in runs]
-    assert [d[1] for d in decoded] == runs
+    coded = [suffix_dedup.encode_run([(k, b"left", [(1, 2, 3)]) for k in r]) for r in runs]
+    assert [[k for _, k, _ in suffix_dedup.read_run(c)] for c in coded] == runs
     out, shared = [], []
-    for r, i, k in suffix_dedup.LoserTree([d[1] for d in decoded], [d[0] for d in decoded]):
-        out.append(runs[r][i])
+    for key, (left, refs), k in suffix_dedup.LoserTree([suffix_dedup.read_run(c) for c in coded]):
+        assert left == b"left" and refs.tolist() == [[1, 2, 3]]
+        out.append(key)
         shared.append(k)
     assert out == sorted(x for r in runs for x in r)
     assert shared[1:] == [suffix_dedup.common_prefix(a, b) for a, b in zip(out, out[1:])]
