@@ -1,10 +1,4 @@
 """The registered queries over the given tables, and the SQL that each is held against."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import audit, corpus, evaluation, relational, retrieval, scalars  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
