@@ -77,9 +77,9 @@ def repeated_gram_ratio(docs: DataFrame, key: str, size: int = 8) -> DataFrame:
 
     Runs become (key, hash) rows; a run's positions are combined before the shuffle.
     """
-    rows = docs.select(key, tx.words(F.lower("text")).alias("w")).where(F.size("w") >= 2 * size)
-    runs = rows.select(key, F.size("w").alias("n"), F.posexplode(F.expr(f"transform(sequence(1, size(w) - {size - 1}), i -> xxhash64(array_join(slice(w, i, {size}), ' ')))")).alias("i", "g"))
-    twice = runs.groupBy(key, "n", "g").agg(F.collect_list("i").alias("at")).where(F.size("at") > 1)
-    covered = twice.select(key, "n", F.explode("at").alias("i")).select(key, "n", F.explode(F.expr(f"sequence(i, i + {size - 1})")).alias("p")).distinct()
-    ratio = covered.groupBy(key, "n").agg(F.count("*").alias("c")).select(key, F.round(F.col("c").cast("double") / F.col("n"), 6).alias("ratio"))
+    rows = docs.select(key, tx.words(F.lower("text")).alias("_w")).where(F.size("_w") >= 2 * size)
+    runs = rows.select(key, F.size("_w").alias("_n"), F.posexplode(F.expr(f"transform(sequence(1, size(_w) - {size - 1}), k -> xxhash64(array_join(slice(_w, k, {size}), ' ')))")).alias("_i", "_g"))
+    twice = runs.groupBy(key, "_n", "_g").agg(F.collect_list("_i").alias("_at")).where(F.size("_at") > 1)
+    covered = twice.select(key, "_n", F.explode("_at").alias("_i")).select(key, "_n", F.explode(F.expr(f"sequence(_i, _i + {size - 1})")).alias("_p")).distinct()
+    ratio = covered.groupBy(key, "_n").agg(F.count("*").alias("_c")).select(key, F.round(F.col("_c").cast("double") / F.col("_n"), 6).alias("ratio"))
     return docs.select(key).join(ratio, key, "left").select(key, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))

@@ -23,7 +23,10 @@ def decoded(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str, extensions=("txt", "md")) -> DataFrame:
-    """Files as rows: path, text, and error_code where a file is refused (UNSUPPORTED, EMPTY or NO_TEXT)."""
+    """Files as rows: path, text, and error_code where a file is refused (UNSUPPORTED, EMPTY or NO_TEXT).
+
+    Spark's reader may pass over files without any byte.
+    """
     files = spark.read.format("binaryFile").load(path)
     body = text.cleaned(decoded(F.col("content")))
     known = text.extension(F.col("path")).isin(*extensions)
