@@ -97,3 +97,66 @@ def reference_code(text: Column) -> Column:
     """The first code of two to five letters, a dash and digits, in upper case."""
     code = F.regexp_extract(text, r"[A-Za-z]{2,5} ?- ?[0-9]{1,6}", 0)
     return F.when(code != "", F.upper(F.replace(code, F.lit(" "), F.lit(""))))
+
+#: French endings that a light stemmer drops, the first of each step that fits.
+ENDINGS = ["issements", "issement", "ements", "ations", "ateurs", "ement", "ation", "ateur", "ances", "ités", "ance", "ives", "ives", "euses", "eux", "ité", "ifs", "ive", "if", "ées", "és", "ée", "er", "es", "e", "s"]
+
+
+def stem(word: Column) -> Column:
+    """A word without its first ending that fits, if four characters are left. Not the Snowball stemmer."""
+    return F.regexp_replace(word, "^(.{4,}?)(?:" + "|".join(dict.fromkeys(ENDINGS)) + ")$", "$1")
+
+
+def lexemes(value: Column) -> Column:
+    """Folded words of three letters and more without stop words, stemmed, with repeats."""
+    words_ = F.filter(F.regexp_extract_all(fold(value), F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in STOP_WORDS]), w))
+    return F.transform(words_, stem)
+
+
+def pages_of(expected: Column) -> Column:
+    """Page numbers after the last ``p.``."""
+    return F.transform(F.regexp_extract_all(F.regexp_extract(expected, r"p\. ([0-9, et]+)$", 1), F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
+
+
+def answer_mode(query: Column) -> Column:
+    """Which layout suits the answer to a question."""
+    f = fold(query)
+    has = lambda *ws: _any_of(f, ws)
+    return (
+        F.when(has("fiche") & has("identite", "complete"), "identity")
+        .when(has("equipe") & has("quelle", "composition", "projet"), "team")
+        .when(has("budget"), "budget")
+        .when(has("perimetre") & has("exclu", "hors", "non inclus"), "scope")
+        .when(has("objectif") & has("technique"), "objectives")
+        .when(has("resultat mesure", "resultats mesures", "indicateur"), "metrics")
+        .when(has("probleme initial") & has("solution") & has("resultat", "impact"), "summary")
+        .when(has("architecture", "choix technique", "mesures de securite", "technologie"), "architecture")
+        .otherwise("default")
+    )
+
+
+def _any_of(folded: Column, phrases) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(folded, F.lit(p))
+    return out
+
+
+def blocks(value: Column) -> Column:
+    """Paragraphs of an answer, headings on lines of their own, comments dropped."""
+    clean = F.regexp_replace(F.regexp_replace(value, r"(?s)<!--.*?-->", ""), r"\s+(?=##\s)", "\n\n")
+    return F.filter(F.transform(F.split(clean, r"\n{2,}"), lambda b: F.trim(b)), lambda b: b != "")
+
+
+def renumbered(value: Column, numbers: Column) -> Column:
+    """[n] marks by the map ``numbers``; marks that it does not have go."""
+    parts = F.split(value, r"\[[0-9]+\]", -1)
+    marks = F.transform(F.regexp_extract_all(value, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda m: m.cast("int"))
+    new = F.transform(marks, lambda m: F.coalesce(F.concat(F.lit("["), F.try_element_at(numbers, m).cast("string"), F.lit("]")), F.lit("")))
+    return F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+
+
+def segmented(value: Column, most: int = 25) -> Column:
+    """Sentences of more than ``most`` words, cut at their first comma or linking word after the start."""
+    cut = lambda s: F.when(word_count(s) > most, F.regexp_replace(s, r"^((?:\S+\s+){5,}?\S*?)(?:,\s+|\s+(?=(?:et|qui|que|dont)\s))", "$1.\n")).otherwise(s)
+    return F.split(F.array_join(F.transform(sentences(value), cut), "\n"), "\n")

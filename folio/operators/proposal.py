@@ -142,3 +142,13 @@ def structure_violations(sections: DataFrame, expected: list[str]) -> DataFrame:
     even = F.bool_and(F.coalesce(F.forall("rows", lambda r: F.size(r) == F.size(F.col("rows")[0])), F.lit(True)))
     by = sections.groupBy("proposal_id").agg(titles.alias("titles"), even.alias("even"))
     return by.select("proposal_id", (F.col("titles") == F.array(*[F.lit(t) for t in expected])).alias("in_order"), F.col("even").alias("rectangular"))
+
+
+def composite_score(sections: Column, evidence: Column, governed: Column) -> Column:
+    """A share of 100 points for provenance, delivery, governance, sources and a fixed part; without any evidence it is
+    capped at 0.70."""
+    raw = F.least(F.lit(25.0), F.lit(15.0) + 2.5 * evidence)
+    raw = raw + F.when(sections == 19, 13.0).otherwise(F.round(F.least(sections, F.lit(19)) / F.lit(19.0) * 15, 1))
+    raw = raw + F.when(governed, 10.0).otherwise(7.0) + F.least(F.lit(5.0), 1.5 * evidence) + 32.0
+    raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw / 100))
+    return F.when(evidence == 0, F.least(raw, F.lit(0.70))).otherwise(raw)

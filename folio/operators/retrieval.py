@@ -174,3 +174,25 @@ def similar_missions(needs: DataFrame, missions: DataFrame, similarity: DataFram
     ratio = F.try_divide(F.size(named).cast("double"), F.size("tags"))
     rows = rows.select("query_id", "mission_id", F.round(scores.mission_score(F.col("similarity"), ratio), 6).alias("score"))
     return _ranked(rows, k, F.desc("score"), "mission_id")
+
+
+def coverage_aware(rows: DataFrame, target: int) -> DataFrame:
+    """Reserved rows first, then by rank, up to the target; rows: query_id, chunk_id, rank, reserved."""
+    at = Window.partitionBy("query_id").orderBy(F.desc(F.col("reserved").cast("int")), "rank", "chunk_id")
+    return rows.withColumn("place", F.row_number().over(at).cast("bigint")).where(F.col("place") <= target)
+
+
+def safeguarded(rows: DataFrame) -> DataFrame:
+    """Protected rows before the others, by score and id: adds ``place``."""
+    at = Window.partitionBy("query_id").orderBy(F.desc(F.col("protected").cast("int")), F.desc("score"), "chunk_id")
+    return rows.withColumn("place", F.row_number().over(at).cast("bigint"))
+
+
+def matching(query_terms: DataFrame, posts: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) where any term of the query occurs."""
+    return posts.join(query_terms, "term").select("query_id", "chunk_id").distinct()
+
+
+def best_scored(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
+    """The row with the highest score of each key; keyword hits have to be above zero."""
+    return keep_first(rows.where(F.col(score) > 0), keys, [F.desc(score), tie])
