@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, *, capacity: int, tokenizer: str | None = None, end_
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "rank"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
-    return common.map_arrow(docs.select("doc_id", common.utf8().alias("text")), cut, schema)
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8().alias("text")), cut, schema)
 
 
 def best_fit_packing(docs: DataFrame, *, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:

@@ -166,14 +166,14 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _sample(labels: DataFrame, rows: int) -> DataFrame:
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    return one.withColumn("_by", F.xxhash64("doc_id")).orderBy("_by", "doc_id").limit(rows).select("doc_id", "_quality")
+    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("_quality"))
+    return one.withColumn("_by", F.xxhash64("doc_id")).orderBy("_by", "doc_id").limit(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "_quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Trees | None:
     """Trees from the labelled rows' statistics; None if they are not of both kinds. The sample is bounded by ``rows``,
     and so is what is broadcast and what comes to the driver."""
-    chosen = docs.select("doc_id", common.utf8().alias("text")).join(F.broadcast(_sample(labels, rows)), "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8().alias("text")).join(F.broadcast(_sample(labels, rows)), "doc_id")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,31 +188,33 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Tree
     return grow(x, y, list(FEATURES.values()))
 
 
-def judged(docs: DataFrame, trees: Trees | None, threshold: float = 0.5) -> DataFrame:
-    """All columns of docs, and the statistics, base_failed, score and kept, each behind an underscore."""
-    fields = [T.StructField(f"_{s}", T.LongType()) for s in STATS]
-    schema = T.StructType([*docs.schema.fields, *fields, T.StructField("_base_failed", T.BooleanType()), T.StructField("_score", T.DoubleType()), T.StructField("_kept", T.BooleanType())])
-    names = docs.columns
+def judged(docs: DataFrame, trees: Trees | None, threshold: float = 0.5) -> tuple[DataFrame, list[str]]:
+    """All columns of docs with the statistics, base_failed, score and kept, and what these are called there."""
+    utf8, *added = common.unused(docs, "utf8", *STATS, "base_failed", "score", "kept")
+    types = [T.LongType()] * len(STATS) + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, types))])
+    width, names = len(docs.columns), [f.name for f in schema]
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [statistics(t.as_py()) for t in batch.column("_utf8")]
+            both = [statistics(t.as_py()) for t in batch.column(width)]
             base = np.array([s for s, _ in both], np.int64).reshape(-1, len(STATS))
             failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
             x = np.array([f for _, f in both], float).reshape(-1, len(FEATURES))
             score = trees.score(x) if trees else np.ones(len(both))
-            columns = [*(batch.column(i) for i in range(len(names))), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+            columns = [*(batch.column(i) for i in range(width)), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return common.map_arrow(docs.withColumn("_utf8", common.utf8()), verdicts, schema)
+    return common.map_arrow(docs.withColumn(utf8, common.utf8()), verdicts, schema), added
 
 
 def quality_statistics(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """One row per document: doc_id, the base statistics, base_failed, score and kept."""
-    seen = judged(docs.select("doc_id", "text"), train(docs, labels, rows=rows), threshold)
-    return seen.select("doc_id", *(F.col(f"_{s}").alias(s) for s in STATS), F.col("_base_failed").alias("base_failed"), F.col("_score").alias("score"), F.col("_kept").alias("kept"))
+    seen, added = judged(docs.select("doc_id", "text"), train(docs, labels, rows=rows), threshold)
+    return seen.select("doc_id", *added)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    return judged(docs, train(docs, labels, rows=rows), threshold).where("_kept").select(*docs.columns)
+    seen, added = judged(docs, train(docs, labels, rows=rows), threshold)
+    return seen.where(F.col(added[-1])).select(*docs.columns)

@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # whole runs, so the same as runs of any length that are long enough
@@ -166,7 +168,8 @@ def secret_spans(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every span replaced by the mark, and n_chars to match where they have it."""
-    found = scan(docs, out="_secrets", **options)
+    (spans,) = common.unused(docs, "secrets")
+    found = scan(docs, out=spans, **options)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     tail = F.length("text") + 1
 
@@ -176,8 +179,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
         kept = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], kept, F.lit(mark))).alias("out"))
 
-    clean = F.aggregate("_secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), tail)))
-    fixed = found.withColumn("text", F.when(F.size("_secrets") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), tail)))
+    fixed = found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        fixed = fixed.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return fixed.select(*docs.columns)

@@ -108,7 +108,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
     """Documents in ascending doc_id order, with ``end_id`` after each, as one file per block."""
     path = tokenizer or tokens.default_path()
     n = common.shuffle_partitions(docs.sparkSession)
-    rows = docs.select("doc_id", common.utf8().alias("text"), F.xxhash64("text").alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8().alias("text"), F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ def documents(spark, rows=None, extra=False):
     if extra:  # names that an operator might use itself
         from pyspark.sql import functions as F
 
-        for name in ("fp", "score", "kept", "shard", "rank", "label", "length", "words", "start", "h", "n"):
+        for name in ("fp", "score", "kept", "shard", "rank", "label", "length", "words", "start", "h", "n", "secrets", "utf8", "_score", "n_words"):
             df = df.withColumn(name, F.lit(1))
     return df
 
