@@ -188,3 +188,52 @@ def expanded(query: Column, vocabulary: dict[str, list[str]]) -> Column:
     folded = text.fold(query)
     more = [F.when(F.contains(folded, F.lit(k)), F.lit(" ".join(v))) for k, v in vocabulary.items()]
     return F.concat_ws(" ", query, *more)
+
+
+#: Labels of a metric row, an architecture row and an objective row.
+METRIC = r"Indicateur:\s*([^;\n]+);\s*Avant:\s*([^;\n]+);\s*Après:\s*([^;\n]+)(?:;\s*Évolution:\s*([^;\n]+))?"
+LAYER = r"Couche\s+([^:\n]+):\s*([^;\n]+)"
+OBJECTIVE = r"Objectif:\s*([^;\n]+);\s*Cible:\s*([^;\n]+)"
+#: Intent, label, pattern whose first group is the value.
+FACT_RULES = [
+    ("identity", "client", r"Client:\s*([^;\n]+)"),
+    ("identity", "sector", r"Secteur:?\s+([^;\n]+?)(?:\s+Type de mission|[;\n]|$)"),
+    ("identity", "mission_type", r"Type de mission:?\s+([^;\n]+?)(?:\s+Période|[;\n]|$)"),
+    ("identity", "status", r"Statut:\s*([^;\n]+)"),
+    ("technologies", "layer", r"(Couche\s+[^:\n]+:\s*[^;\n]+)"),
+    ("metrics", "metric", r"(Indicateur:\s*[^\n]+)"),
+    ("budget", "line", r"(Poste:\s*[^\n]+)"),
+    ("team", "member", r"(Nom:\s*[^\n]+)"),
+    ("scope", "excluded", r"(?:Exclu|Hors périmètre):\s*([^;\n]+)"),
+    ("time", "period", r"Période:\s*([^;\n]+)"),
+    ("objectives", "objective", r"(Objectif:\s*[^\n]+)"),
+]
+
+
+def metric_rows(docs: DataFrame) -> DataFrame:
+    return labelled_rows(docs, METRIC, ["indicator", "before", "after", "change"])
+
+
+def architecture_rows(docs: DataFrame) -> DataFrame:
+    return labelled_rows(docs, LAYER, ["layer", "technology"])
+
+
+def objective_rows(docs: DataFrame) -> DataFrame:
+    return labelled_rows(docs, OBJECTIVE, ["objective", "target"])
+
+
+def _labelled(label: str):
+    return lambda v: F.struct(F.lit(label).alias("label"), F.trim(v).alias("value"))
+
+
+def facts(queries: DataFrame, chunks: DataFrame, rules=FACT_RULES) -> DataFrame:
+    """What the rules of a query's intent find in its chunks: query_id, label, value and the chunk where it comes first.
+    A chunk meets the rules of its own query's intent only."""
+    asked = queries.select("query_id", intent(F.col("query")).alias("intent")).where("intent is not null")
+    rows = chunks.join(asked, "query_id")
+    found = F.lit(None).cast("array<struct<label:string,value:string>>")
+    for name in dict.fromkeys(r[0] for r in rules):
+        own = [F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), _labelled(label)) for i, label, p in rules if i == name]
+        found = F.when(F.col("intent") == name, F.concat(*own)).otherwise(found)
+    hits = rows.select("query_id", "chunk_id", F.posexplode(found).alias("pos", "x")).where("x.value <> ''").select("query_id", "chunk_id", "pos", "x.*")
+    return retrieval.keep_first(hits, ["query_id", "label", "value"], ["chunk_id", "pos"]).drop("pos")

@@ -155,3 +155,26 @@ def markdown_rows(docs: DataFrame) -> DataFrame:
     body = rows.where("not rule and not next_rule and header is not null")
     pairs = F.array_join(F.zip_with("header", "cells", lambda h, c: F.concat_ws(": ", h, c)), "; ")
     return body.select("doc_id", F.col("line").cast("bigint").alias("line"), F.when(F.size("header") == F.size("cells"), pairs).otherwise(F.trim("raw")).alias("evidence"))
+
+
+def register_chunk_text(spark: SparkSession, name: str = "chunk_text") -> None:
+    """The chunker as a table function for SQL: ``SELECT * FROM chunk_text(text, most, overlap, target, least)``."""
+
+    @F.udtf(returnType="chunk_index int, content string, n_tokens int")
+    class ChunkText:
+        def eval(self, value: str, most: int, overlap: int, target: int, least: int):
+            for i, c in enumerate(chunks_of(value, most, overlap, target, least)):
+                yield i, c, count_tokens(c)
+
+    spark.udtf.register(name, ChunkText)
+
+
+def ingest_missions(spark: SparkSession, path: str, schema, target: str, most: int = 200, overlap: int = 30) -> DataFrame:
+    """Mission files to chunks under ``target``, numbered per mission over its documents, and the totals of the run."""
+    docs = exploded_documents(read_missions(spark, path, schema))
+    one = docs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "pos", "content"))).alias("d"))  # two to four documents
+    texts = one.select("id", F.array_join(F.transform("d", lambda x: x["content"]), "\n\n").alias("text")).withColumn("doc_id", F.xxhash64("id"))
+    chunks = chunked(texts, most, overlap).join(texts.select("doc_id", F.col("id").alias("mission")), "doc_id").select("mission", "chunk_index", "content", "n_tokens")
+    chunks.write.mode("append").parquet(target)
+    done = spark.read.parquet(target)
+    return done.agg(F.countDistinct("mission").alias("missions"), F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"))

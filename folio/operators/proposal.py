@@ -152,3 +152,30 @@ def composite_score(sections: Column, evidence: Column, governed: Column) -> Col
     raw = raw + F.when(governed, 10.0).otherwise(7.0) + F.least(F.lit(5.0), 1.5 * evidence) + 32.0
     raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw / 100))
     return F.when(evidence == 0, F.least(raw, F.lit(0.70))).otherwise(raw)
+
+
+#: How many items of each kind a section may keep.
+BUDGET = {"bullets": 3, "assumptions": 2, "questions": 3, "evidence": 4}
+
+
+def within_budget(sections: DataFrame, words: int) -> DataFrame:
+    """Sections (body and the arrays of BUDGET) cut to their limits, and the body to whole sentences of so many words in
+    all; sentences without a citation are the first to go."""
+    s = F.transform(text.sentences(F.col("body")), lambda x, i: F.struct((~x.rlike(r"\[[^\]]+\]")).cast("int").alias("uncited"), i.alias("i"), x.alias("s"), text.word_count(x).alias("n")))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,s:string>>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["used"] + x["n"] <= words
+        return F.when(fits, F.struct((acc["used"] + x["n"]).alias("used"), F.concat(acc["kept"], F.array(F.struct(x["i"].alias("i"), x["s"].alias("s")))).alias("kept"))).otherwise(acc)
+
+    body = F.aggregate(F.array_sort(s), start, step, lambda a: F.array_join(F.transform(F.array_sort(a["kept"]), lambda k: k["s"]), " "))
+    return sections.withColumns({"body": body, **{k: F.slice(k, 1, n) for k, n in BUDGET.items() if k in sections.columns}})
+
+
+def leaked_values(sections: DataFrame, briefs: DataFrame) -> DataFrame:
+    """Numbers of a section (section_id, body, reference) that its reference has and the brief has not, in sentences that
+    do not frame them as a reference: section_id and value. briefs: one row, brief."""
+    values = sections.select("section_id", "reference", F.explode(text.sentences(F.col("body"))).alias("s")).where(~text.fold(F.col("s")).rlike("reference|exemple|projet similaire|a titre indicatif"))
+    values = values.select("section_id", "reference", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0)))).alias("value"))
+    known = briefs.select(F.explode(F.array_distinct(F.regexp_extract_all("brief", F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0)))).alias("value"))
+    return values.where(F.contains("reference", F.col("value"))).join(known, "value", "left_anti").select("section_id", "value").distinct()

@@ -31,16 +31,17 @@ def first_outcomes(log: DataFrame) -> DataFrame:
 
 
 def drained(rows: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is now; the last state is kept as a table in the shared folder."""
+    """Run a stream over what there is now; the last state (or, in other modes, every epoch's rows) is kept as a table in
+    the shared folder."""
     spark = rows.sparkSession
     base = tables.scratch(spark)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/epoch={epoch}")
 
     q = rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out")
 
 
 def ingest_stream(docs: DataFrame, target: str, **chunking) -> DataFrame:
@@ -60,3 +61,33 @@ def ingest_stream(docs: DataFrame, target: str, **chunking) -> DataFrame:
     q.awaitTermination()
     # An epoch's folder is written over when it is run again, so nothing counts twice.
     return docs.sparkSession.read.parquet(f"{target}/status")
+
+
+def job_states(events: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """Each job's status after every micro-batch, from a stream of job_id, event, event_ts and event_id: the state per
+    job is its status, attempts and whether it is to be cancelled."""
+    import pandas as pd
+
+    done = {"completed", "failed", "cancelled"}
+
+    def fold(key, frames, state):
+        status, tries, asked = state.get if state.exists else ("none", 0, False)
+        rows = pd.concat(list(frames)).sort_values(["event_ts", "event_id"])
+        for e in rows["event"]:
+            if status in done:
+                break
+            if e == "submit":
+                status = "queued"
+            elif e == "cancel":
+                asked = True
+                status = "cancelled" if status in ("queued", "none") else status
+            elif e == "start" and status == "queued":
+                status, tries = "running", tries + 1
+            elif e == "succeed" and status == "running":
+                status = "cancelled" if asked else "completed"
+            elif e == "fail" and status == "running":
+                status = "cancelled" if asked else "queued" if tries < max_attempts else "failed"
+        state.update((status, tries, asked))
+        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [tries]})
+
+    return events.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, attempts int", "status string, attempts int, asked boolean", "update", "NoTimeout")

@@ -269,3 +269,59 @@ def test_quality_functions(spark):
     assert {r["i"]: r["ratio"] for r in quality.repeated_gram_ratio(docs, "i", 8).collect()} == {1: 1.0, 2: 0.0}
     assert value(spark, quality.truncated_sentences(F.col("t"), 3), t="a b c d. e f.") == "a b c… e f."
     assert value(spark, quality.strict_json(F.col("t")), t='```{"a": 1}```') is False
+
+
+def test_streamed_jobs_equal_the_batch(spark, tmp_path):
+    kinds = ["submit", "start", "fail", "start", "succeed", "submit", "cancel", "start"]
+    rows = [(i % 5, kinds[(i // 5 + i % 3) % 8], f"2024-01-01 00:{i:02d}:00", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "job_id long, event string, at string, event_id long").withColumn("event_ts", F.col("at").cast("timestamp")).drop("at")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    live = activity.drained(activity.job_states(activity.stream(spark, str(tmp_path / "e"))), "update")
+    assert {(r["job_id"], r["status"], r["attempts"]) for r in live.collect()} == {(r["job_id"], r["status"], r["attempts"]) for r in jobs.lifecycle(df).collect()}
+
+
+def test_facts_and_rows_by_label(spark):
+    doc = "Client: ACME; Statut: clos\nIndicateur: délai; Avant: 6 h; Après: 42 min; Évolution: -88 %\nCouche données: PostgreSQL; Objectif: SLA; Cible: 99 %"
+    docs = spark.createDataFrame([(1, 1, doc)], "document_id long, chunk_id long, content string")
+    assert [(r["indicator"], r["before"], r["after"], r["change"]) for r in extraction.metric_rows(docs).collect()] == [("délai", "6 h", "42 min", "-88 %")]
+    assert [(r["layer"], r["technology"]) for r in extraction.architecture_rows(docs).collect()] == [("données", "PostgreSQL")]
+    assert [(r["objective"], r["target"]) for r in extraction.objective_rows(docs).collect()] == [("SLA", "99 %")]
+    q = spark.createDataFrame([(1, "Donne la fiche d'identité"), (2, "Bonjour")], "query_id long, query string")
+    c = spark.createDataFrame([(1, 1, doc), (1, 2, "Client: ACME"), (2, 3, doc)], "query_id long, chunk_id long, content string")
+    assert {(r["query_id"], r["label"], r["value"], r["chunk_id"]) for r in extraction.facts(q, c).collect()} == {(1, "client", "ACME", 1), (1, "status", "clos", 1)}
+
+
+def test_lines_and_criteria(spark):
+    src = ["Le délai du portail passe de 6 heures à 42 minutes.", "Rien"]
+    rows = [(1, "Le délai du portail est de 42 minutes [1]", src), (2, "Le délai du portail est de 43 minutes [1]", src), (3, "Le délai du portail", src), (4, "", src)]
+    got = {r["query_id"]: r["supported"] for r in grounding.lines_supported(spark.createDataFrame(rows, "query_id long, answer string, sources array<string>")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+    crit = spark.createDataFrame([(1, "délai du portail", src), (2, "budget du portail", src), (3, "délai 7 heures", src)], "query_id long, criterion string, quotes array<string>")
+    assert {r["query_id"]: r["supported"] for r in grounding.criteria_supported(crit, {"money": ["budget", "montant"]}).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_budget_and_leaks(spark):
+    s = spark.createDataFrame([("Sans source du tout ici. Avec source [1] deux trois. Fin [2] là.", ["a", "b", "c", "d"])], "body string, bullets array<string>")
+    got = proposal.within_budget(s, 8).first()
+    assert got["bullets"] == ["a", "b", "c"] and got["body"] == "Avec source [1] deux trois. Fin [2] là."
+    sec = spark.createDataFrame([(1, "Coût de 120 jours. En référence, 300 jours. Durée 7 mois.", "120 et 300 jours, 7 mois")], "section_id long, body string, reference string")
+    assert [(r["section_id"], r["value"]) for r in proposal.leaked_values(sec, spark.createDataFrame([("durée 7",)], "brief string")).collect()] == [(1, "120")]
+
+
+def test_chunk_text_in_sql_and_mission_ingest(spark, tmp_path):
+    ingest.register_chunk_text(spark)
+    rows = spark.sql("SELECT * FROM chunk_text('One two three four. Five six seven.', 5, 0, 5, 0)").collect()
+    assert [(r["chunk_index"], r["content"]) for r in rows] == [(0, "One two three four."), (1, "Five six seven.")]
+    m = reports.generated_missions(spark, 4)
+    for r in m.collect():
+        (tmp_path / f"{r['id']}.json").write_text(json.dumps(r.asDict(recursive=True)))
+    total = ingest.ingest_missions(spark, str(tmp_path), m.schema, str(tmp_path / "out")).first()
+    assert total["missions"] == 4 and total["chunks"] >= 4
+
+
+def test_text_more(spark):
+    assert value(spark, text.renumbered(F.col("t"), F.create_map(F.lit(3), F.lit(1))), t="a [3] b [4].") == "a [1] b ."
+    assert value(spark, text.blocks(F.col("t")), t="A <!-- x --> b ## T\n\nc") == ["A  b", "## T", "c"]
+    long = "un deux trois quatre cinq six sept huit neuf dix, " + "mot " * 20 + "fin."
+    assert len(value(spark, text.segmented(F.col("t")), t=long)) == 2
+    assert value(spark, text.answer_mode(F.col("t")), t="Quelle équipe projet ?") == "team"
