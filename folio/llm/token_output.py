@@ -147,7 +147,8 @@ def read(spark, folder: str) -> DataFrame:
                 block = Block(data.as_py())
                 stops = np.cumsum(block.counts)
                 starts = stops - block.counts
-                sums = [zlib.crc32(block.range(a, b).astype("<u4").tobytes()) for a, b in zip(starts.tolist(), stops.tolist())]
+                ids = memoryview(block.range(0, block.n_tokens).astype("<u4").tobytes())
+                sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist())]
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.doc_ids, pa.int64()), pa.array([block.shard] * n, pa.int64()), pa.array(block.before + starts, pa.int64()), pa.array(block.counts, pa.int64()), pa.array(sums, pa.int64())],

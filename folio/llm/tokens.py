@@ -80,7 +80,8 @@ class WordEncoder:
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         before = len(self.codes)
         code = self.codes.__getitem__
-        split = [t.split() for t in texts]
+        # Lower case at once where it cannot make a special token of ordinary text: fewer words to tell apart.
+        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         sizes = [len(words) for words in split]
         codes = np.fromiter((c for words in split for c in map(code, words)), np.int64, sum(sizes))
         del split

@@ -87,7 +87,7 @@ def test_simhash_keep_first_and_empty(spark):
 
 def test_word_encoder_equals_the_library():
     w = tokens.WordEncoder(tokens.default_path())
-    odd = ["ÀB ﬁ É x's İ Σας A.B,c's <|endoftext|> foo<|endoftext|>bar \x1c z", "don't it's  'S", "ß,,.'x", "日本語 ½ 12a", "a'll,b K ſ", ""]
+    odd = ["ÀB ﬁ É x's İ Σας A.B,c's <|endoftext|> foo<|endoftext|>bar \x1c z", "don't it's  'S", "A<|ENDOFTEXT|>B C", "ß,,.'x", "日本語 ½ 12a", "a'll,b K ſ", ""]
     for _ in range(2):
         for t, ids in zip(odd + [t or "" for t in texts()], w.ids([(t or "").encode() for t in odd + texts()])):
             assert w.full.encode(t, add_special_tokens=False).ids == ids.tolist()
