@@ -40,6 +40,7 @@ HOT = 400_000
 BUCKET_ANCHORS = 10_000
 #: Anchors that a sorting task sorts at once.
 RUN_ANCHORS = 20_000
+SALTS = 16
 #: Window hashes that a task holds at once for one group.
 GROUP_HASHES = 6_000_000
 #: Groups up to this size are compared pair by pair.
@@ -294,7 +295,7 @@ def _runs(located: DataFrame, length: int, gram: int, buckets: int) -> DataFrame
     return common.map_arrow(located, cut, "bucket long, run binary")
 
 
-def _merged(runs: DataFrame, length: int, gram: int) -> DataFrame:
+def _merged(runs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """Each bucket's runs, merged, to intervals (k1, rk, start, stop) of repeated bytes."""
     head = 8
 
@@ -337,7 +338,7 @@ def _merged(runs: DataFrame, length: int, gram: int) -> DataFrame:
         rows = np.concatenate(out) if out else np.empty((0, 4), np.int64)
         return pa.table([pa.array(c) for c in np.ascontiguousarray(rows.T)], ["k1", "rk", "start", "stop"])
 
-    return runs.groupBy("bucket").applyInArrow(merge, "k1 long, rk long, start long, stop long")
+    return runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "k1 long, rk long, start long, stop long")
 
 
 def _hot_windows(located: DataFrame, length: int, gram: int) -> DataFrame:
@@ -396,7 +397,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
     single = rows.where(F.size("at") > 0).join(copies.where("rk <> lead"), ["k1", "rk"], "left_anti")
     spots = single.select("k1", "rk", F.explode(F.arrays_zip("at", "gram")).alias("s")).select("k1", "rk", "s.at", "s.gram").distinct()
     sizes = spots.groupBy("gram").agg(F.count("*").alias("n"))
-    shared = spots.join(sizes.where("n > 1"), "gram")
+    # A k-gram may be very common, so both sides are salted: its anchors spread over SALTS tasks.
+    sizes = sizes.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    shared = spots.withColumn("salt", F.pmod("rk", F.lit(SALTS))).join(sizes, ["gram", "salt"])
     lists = common.stored(shared.groupBy("k1", "rk", (F.col("n") > hot).alias("hot")).agg(F.collect_list(F.struct("at", "gram")).alias("spots")), "spots")
     texts = _with_keys(docs).select("k1", "rk", "text")
     return rows, copies, _intervals(texts, lists, length, gram), texts
@@ -405,7 +408,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
 def _intervals(texts: DataFrame, lists: DataFrame, length: int, gram: int) -> DataFrame:
     totals = {r["hot"]: r["n"] for r in lists.groupBy("hot").agg(F.sum(F.size("spots")).alias("n")).collect()}
     buckets = max(common.shuffle_partitions(texts.sparkSession), -(-totals.get(False, 0) // BUCKET_ANCHORS))
-    found = _merged(_runs(texts.join(lists.where("not hot").drop("hot"), ["k1", "rk"]), length, gram, buckets), length, gram)
+    found = _merged(_runs(texts.join(lists.where("not hot").drop("hot"), ["k1", "rk"]), length, gram, buckets), length, gram, buckets)
     if totals.get(True):
         windows = common.stored(_hot_windows(texts.join(lists.where("hot").drop("hot"), ["k1", "rk"]), length, gram).distinct(), "windows")
         twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
