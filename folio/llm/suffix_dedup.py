@@ -282,7 +282,8 @@ def _runs(located: DataFrame, length: int, gram: int, buckets: int) -> DataFrame
             for text, k1, rk, spots in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "rk", "spots"))):
                 for spot in spots:
                     at = spot["at"]
-                    key = (spot["gram"] & (1 << 64) - 1).to_bytes(8, "big") + text[at : at + length]
+                    # The hashes of anchors are the least of many, so they are spread anew before they are dealt out.
+                    key = (spot["gram"] * _MULTIPLIER & (1 << 64) - 1).to_bytes(8, "big") + text[at : at + length]
                     entries.setdefault((key, text[max(0, at - back) : at]), []).append((k1, rk, at))
                 held += len(spots)
                 if held >= RUN_ANCHORS:
@@ -386,20 +387,24 @@ def _removed(texts: DataFrame) -> DataFrame:
     return common.map_arrow(texts, remove, "k1 long, rk long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _salted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what is known of their group. A group may be a third of all rows, so its rows spread over SALTS tasks."""
+    every = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod("rk", F.lit(SALTS))).join(every, [*keys, "salt"]).drop("salt")
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows without their texts, those whose whole text occurs again, intervals of repeated bytes by k1 and rk)."""
     gram = min(gram, max(1, length // 2))
     rows = common.stored(_surveyed(docs, length, gram), "survey")
     # Whole copies: all but the one with the least rk stay out of the sort; all are removed whole.
     classes = rows.where(F.col("n_bytes") >= length).groupBy("k1", "sha256").agg(F.count("*").alias("n"), F.min("rk").alias("lead")).where("n > 1")
-    copies = rows.select("k1", "rk", "sha256").join(classes, ["k1", "sha256"]).groupBy("k1", "rk").agg(F.min("lead").alias("lead"))
+    copies = _salted(rows.select("k1", "rk", "sha256"), classes, ["k1", "sha256"]).groupBy("k1", "rk").agg(F.min("lead").alias("lead"))
     copies = common.stored(copies, "copies")
     single = rows.where(F.size("at") > 0).join(copies.where("rk <> lead"), ["k1", "rk"], "left_anti")
     spots = single.select("k1", "rk", F.explode(F.arrays_zip("at", "gram")).alias("s")).select("k1", "rk", "s.at", "s.gram").distinct()
     sizes = spots.groupBy("gram").agg(F.count("*").alias("n"))
-    # A k-gram may be very common, so both sides are salted: its anchors spread over SALTS tasks.
-    sizes = sizes.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    shared = spots.withColumn("salt", F.pmod("rk", F.lit(SALTS))).join(sizes, ["gram", "salt"])
+    shared = _salted(spots, sizes.where("n > 1"), ["gram"])
     lists = common.stored(shared.groupBy("k1", "rk", (F.col("n") > hot).alias("hot")).agg(F.collect_list(F.struct("at", "gram")).alias("spots")), "spots")
     texts = _with_keys(docs).select("k1", "rk", "text")
     return rows, copies, _intervals(texts, lists, length, gram), texts
