@@ -71,6 +71,13 @@ def test_url_filter_against_all_rules(spark):
         assert (r["rule_confidence"] is None) == (not hits) and (not hits or abs(r["rule_confidence"] - max(hits)) < 1e-9)
 
 
+def test_url_filter_with_long_urls(spark):
+    rows = [(i, "http://long.org/" + "/".join(f"t{k}" for k in range(60)) if i % 2 else f"http://short.org/{i}") for i in range(40)]
+    marks = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.url_filter(spark.createDataFrame(rows, "page_id long, url string"), marks).collect()}
+    assert got == {i: ["allow", "block"][i % 2] for i in range(40)}
+
+
 def test_url_filter_without_labels_or_pages(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
