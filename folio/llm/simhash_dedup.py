@@ -165,11 +165,11 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT) -> DataFrame:
     sizes = keyed.groupBy("way", "part").agg(F.count("*").alias("n")).where("n > 1")
     keyed = keyed.join(sizes, ["way", "part"])
     rest = [[_mask(x) for x in _masks([b for b in range(BITS) if b not in set(p)], radius + 1)] for p in pairs]
-    again = F.array(*[F.array(*[F.lit(m) for m in r]) for r in rest])
-    warm = keyed.where(F.col("n") <= hot).select("fp", "way", "part", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("bits"))
-    dealt = keyed.where(F.col("n") > hot).select("fp", "way", "part", F.posexplode(F.element_at(again, F.col("way") + 1)).alias("sub", "mask"))
-    dealt = dealt.select("fp", "way", "part", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
-    grouped = warm.unionByName(dealt).groupBy("way", "part", "sub", "bits").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    again = F.element_at(F.array(*[F.array(*[F.lit(m) for m in r]) for r in rest]), F.col("way") + 1)
+    own = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("bits")))
+    dealt = F.transform(again, lambda m, i: F.struct(i.alias("sub"), F.col("fp").bitwiseAND(m).alias("bits")))
+    keyed = keyed.select("fp", "way", "part", F.inline(F.when(F.col("n") <= hot, own).otherwise(dealt)))
+    grouped = keyed.groupBy("way", "part", "sub", "bits").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
