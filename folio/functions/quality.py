@@ -78,7 +78,8 @@ def repeated_gram_ratio(docs: DataFrame, key: str, size: int = 8) -> DataFrame:
     Runs become (key, hash) rows; a run's positions are combined before the shuffle.
     """
     rows = docs.select(key, tx.words(F.lower("text")).alias("_w")).where(F.size("_w") >= 2 * size)
-    runs = rows.select(key, F.size("_w").alias("_n"), F.posexplode(F.expr(f"transform(sequence(1, size(_w) - {size - 1}), k -> xxhash64(array_join(slice(_w, k, {size}), ' ')))")).alias("_i", "_g"))
+    spots = rows.select(key, "_w", F.size("_w").alias("_n"), F.explode(F.sequence(F.lit(0), F.size("_w") - size)).alias("_i"))
+    runs = spots.select(key, "_n", "_i", F.xxhash64(*[F.get("_w", F.col("_i") + k) for k in range(size)]).alias("_g"))  # in generated code
     twice = runs.groupBy(key, "_n", "_g").agg(F.collect_list("_i").alias("_at")).where(F.size("_at") > 1)
     covered = twice.select(key, "_n", F.explode("_at").alias("_i")).select(key, "_n", F.explode(F.expr(f"sequence(_i, _i + {size - 1})")).alias("_p")).distinct()
     ratio = covered.groupBy(key, "_n").agg(F.count("*").alias("_c")).select(key, F.round(F.col("_c").cast("double") / F.col("_n"), 6).alias("ratio"))

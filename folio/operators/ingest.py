@@ -57,38 +57,47 @@ def count_tokens(value: str) -> int:
 def chunks_of(value: str | None, most: int, overlap: int, target: int | None = None, least: int = 0, count=count_tokens) -> list[str]:
     """Paragraphs, cut to sentences and those to words where they are too long, packed greedily up to ``target``
     tokens, beyond it only while a chunk has fewer than ``least``; a chunk starts with the last sentence of the one
-    before, if that has at most ``overlap`` tokens and 140 characters."""
+    before, if that has at most ``overlap`` tokens and 140 characters.
+
+    A counter of words and marks counts the same in parts as in the whole, so parts are counted once; another counter is
+    asked about every text that might become a chunk.
+    """
     target = min(target or most, most)
-    units: list[tuple[str, str]] = []  # (separator before it, text)
+    adds = count is count_tokens
+    units: list[tuple[str, str, int]] = []  # (separator before it, text, tokens)
     for p, paragraph in enumerate(re.split(r"\n\s*\n", (value or "").strip())):
         lead = "\n\n" if p else ""
         for sentence in _SENTENCE.split(" ".join(paragraph.split())):
             if not sentence:
                 continue
-            if count(sentence) <= most:
-                units.append((lead, sentence))
+            n = count(sentence)
+            if n <= most:
+                units.append((lead, sentence, n))
                 lead = " "
                 continue
-            part: list[str] = []
+            part, size = "", 0
             for word in sentence.split(" "):
-                if part and count(" ".join([*part, word])) > most:
-                    units.append((lead, " ".join(part)))
-                    part, lead = [], " "
-                part.append(word)
-            units.append((lead, " ".join(part)))
+                longer = f"{part} {word}" if part else word
+                n = size + count(word) if adds else count(longer)
+                if part and n > most:
+                    units.append((lead, part, size))
+                    longer, lead, n = word, " ", count(word)
+                part, size = longer, n
+            units.append((lead, part, size))
             lead = " "
     out: list[str] = []
-    now, last = "", ""
-    for lead, unit in units:
+    now, now_n, last, last_n = "", 0, "", 0
+    for lead, unit, n in units:
         joined = f"{now}{lead or ' '}{unit}" if now else unit
-        size = count(joined)
-        if now and (size > most or (size > target and count(now) >= least)):
+        size = (now_n + n if adds else count(joined)) if now else n
+        if now and (size > most or (size > target and now_n >= least)):
             out.append(now)
-            again = last if last and last != now and len(last) <= 140 and count(last) <= overlap else ""
-            now = f"{again} {unit}" if again and count(f"{again} {unit}") <= most else unit
-        else:
-            now = joined
-        last = unit
+            again = last if last and last != now and len(last) <= 140 and last_n <= overlap else ""
+            joined = f"{again} {unit}" if again else unit
+            size = (last_n + n if adds else count(joined)) if again else n
+            if size > most:
+                joined, size = unit, n
+        now, now_n, last, last_n = joined, size, unit, n
     if now:
         out.append(now)
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..session import sound
 
 #: Queries that are sent to the executors at once, as one matrix.
 BLOCK = 2048
@@ -84,13 +85,20 @@ def lexical(query_terms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
     return _ranked(hits, k, F.desc("score"), "chunk_id")
 
 
-def fuse(lists: list[tuple[DataFrame, float]], k: int, rrf_k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ranked lists (query_id, chunk_id, rank) with their weights."""
-    parts = [x.select("query_id", "chunk_id", scores.rrf(F.col("rank"), w, rrf_k).alias("part")) for x, w in lists]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    total = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("rrf_score"))
+def fuse(lists: list[tuple[DataFrame, float]], k: int, rrf_k: int = 60, keep: list[str] | None = None) -> DataFrame:
+    """Reciprocal rank fusion of ranked lists (query_id, chunk_id, rank) with their weights.
+
+    With ``keep``, a name for each list, its score comes along under that name, null where the list has not the chunk:
+    all in the one aggregation, so no list is made twice.
+    """
+    sound(lists[0][0].sparkSession)
+    names = keep or []
+    both = None
+    for i, (x, w) in enumerate(lists):
+        own = [(F.col("score") if i == j else F.lit(None).cast("double")).alias(n) for j, n in enumerate(names)]
+        part = x.select("query_id", "chunk_id", scores.rrf(F.col("rank"), w, rrf_k).alias("part"), *own)
+        both = part if both is None else both.unionByName(part)
+    total = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("rrf_score"), *[F.max(n).alias(n) for n in names])
     return _ranked(total, k, F.desc("rrf_score"), "chunk_id")
 
 

@@ -16,7 +16,8 @@ ex AS (SELECT q.doc_id AS case_id, d.doc_id AS chunk_id FROM documents q JOIN do
 
 def ranked(t):
     part = lambda d, s: d.select(F.col("query_id").alias("case_id"), F.lit(s).alias("stage"), "chunk_id", "rank")
-    return part(r.vectors(t), "vector").unionByName(part(r.lexical(t), "lexical")).unionByName(part(r.fused(t), "fused"))
+    v, x = r.vectors(t), r.lexical(t)
+    return part(v, "vector").unionByName(part(x, "lexical")).unionByName(part(r.retrieval.fuse([(v, 1.0), (x, 1.0)], r.VECTOR_K), "fused"))
 
 
 def expected(t):

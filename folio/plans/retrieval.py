@@ -70,10 +70,9 @@ sc AS (SELECT f.query_id, f.chunk_id, d.source AS document_id, d.n_chars AS page
 
 
 def scored(t: Tables) -> DataFrame:
-    v = vectors(t).select("query_id", "chunk_id", F.col("score").alias("vector_score"))
-    x = lexical(t).select("query_id", "chunk_id", F.col("score").alias("text_score"))
+    rows = retrieval.fuse([(vectors(t), 1.0), (lexical(t), 1.0)], VECTOR_K, keep=["vector_score", "text_score"])
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("n_chars").alias("page"))
-    return fused(t).join(v, ["query_id", "chunk_id"], "left").join(x, ["query_id", "chunk_id"], "left").join(docs, "chunk_id")
+    return rows.join(docs, "chunk_id")
 
 
 RANK_SQL = """least(1.0, greatest(0.0, coalesce(vector_score, 0)))"""

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import sound
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -14,7 +16,7 @@ class Tables:
     """``t.events`` reads the table of that name."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = sound(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
