@@ -27,7 +27,7 @@ from . import common
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # whole runs, so the same as runs of any length that are long enough
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"  # the value after a name and = is a token of its own
 KINDS = ["assign", "access", "hex", "random"]
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -44,6 +44,7 @@ ENCODINGS = {
     "base62": (r"[A-Za-z0-9]+", _LOWER + _UPPER + _DIGITS, 2.5),
     "base64": (r"[A-Za-z0-9+/]+", _LOWER + _UPPER + _DIGITS + "+/", 2.5),
     "base64url": (r"[A-Za-z0-9_-]+", _LOWER + _UPPER + _DIGITS + "_-", 2.5),
+    "base64any": (r"[A-Za-z0-9+/_-]+", _LOWER + _UPPER + _DIGITS + "+/_-", 2.5),  # both alphabets at once, so no token is left out
 }
 BINS, PER_DECADE = 120, 20
 
