@@ -46,7 +46,7 @@ ENCODINGS = {
     "base64url": (r"[A-Za-z0-9_-]+", _LOWER + _UPPER + _DIGITS + "_-", 2.5),
     "base64any": (r"[A-Za-z0-9+/_-]+", _LOWER + _UPPER + _DIGITS + "+/_-", 2.5),  # both alphabets at once, so no token is left out
 }
-BINS, PER_DECADE = 120, 20
+PER_DECADE = 20
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -74,6 +74,14 @@ def _normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
+def _log10_normal_cdf(z: Column) -> Column:
+    """Of the lower tail too, where the probability itself is too small to tell from zero: below -4 by the asymptotic
+    series up to a positive term, which lies above the true value."""
+    x2 = z * z
+    far = -x2 / 2 - F.log(-z * 2.5066282746310002) + F.log(1 - 1 / x2 + 3 / (x2 * x2))
+    return F.when(z < -4, far / 2.302585092994046).otherwise(F.log10(_normal_cdf(z)))
+
+
 def _with(items: Column, **fields) -> Column:
     """Add fields to each struct of an array; each is a function of the struct."""
     return F.transform(items, lambda x: reduce(lambda s, kv: s.withField(kv[0], kv[1](x)), fields.items(), x))
@@ -113,13 +121,13 @@ def _tested(tokens: Column) -> Column:
     tokens = _with(
         tokens,
         p_random=lambda x: 3 * F.least(1 - _normal_cdf(wilson(x)), two_sided((x["runs"] - x["runs_mean"]) / runs_sd(x)), two_sided((x["cross"] / F.greatest(x["spread"], F.lit(1e-9)) + 1 / x["n"]) * F.sqrt(x["n"]))),
-        p_language=lambda x: _normal_cdf((x["chi"] - df(x) - pull(x)) / F.sqrt(2 * (df(x) + 2 * pull(x)))),
+        log_p_language=lambda x: _log10_normal_cdf((x["chi"] - df(x) - pull(x)) / F.sqrt(2 * (df(x) + 2 * pull(x)))),
     )
     return F.transform(
         tokens,
         lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"), F.concat_ws(":", x["encoding"], F.floor(F.log2(x["n"])).cast("string")).alias("stratum"),
-            F.least(F.floor(-F.log10(F.greatest(x["p_language"], F.lit(1e-9))) * PER_DECADE), F.lit(BINS)).cast("int").alias("bin"), x["p_random"].alias("p_random"),
+            F.floor(-x["log_p_language"] * PER_DECADE).cast("int").alias("bin"), x["p_random"].alias("p_random"),
         ),
     )
 
@@ -130,7 +138,7 @@ def thresholds(docs: DataFrame, fdr: float) -> dict[str, int]:
     counts = tokens.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     counts = counts.withColumn("k", F.sum("n").over(down)).withColumn("m", F.sum("n").over(Window.partitionBy("stratum")))
-    passed = counts.where(F.pow(F.lit(10.0), -F.col("bin") / PER_DECADE) <= fdr * F.col("k") / F.col("m"))
+    passed = counts.where(-F.col("bin") / PER_DECADE <= F.log10(fdr * F.col("k") / F.col("m")))
     return {r["stratum"]: r["bin"] for r in passed.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 
 

@@ -26,3 +26,10 @@ def test_values_after_names(spark):
     assert found(spark, rows) == {i: [v] for i, v in enumerate(values)}
     masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(documents(spark, rows)).collect()}
     assert masked == {i: f"see {n}=[SECRET] there" for i, n in enumerate(names)}
+
+
+def test_secrets_among_very_many_words(spark):
+    value = drawn(B62, 120)
+    rows = [f"key {value} end"] + [" ".join(["internationalizationOfThings2" * 3] * 200)] * 300
+    got = found(spark, rows)
+    assert got[0] == [value] and not any(got[i] for i in got if i)
