@@ -78,9 +78,17 @@ def postings(chunks: DataFrame, terms: Column) -> DataFrame:
     return chunks.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
-def lexical(query_terms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
-    """The k best chunks per query: 0.1 for each matching position; ties by chunk_id."""
-    hits = posts.join(query_terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("matches"))
+def lexical(query_terms: DataFrame, posts: DataFrame, k: int, salts: int = 1) -> DataFrame:
+    """The k best chunks per query: 0.1 for each matching position; ties by chunk_id.
+
+    With ``salts``, the postings of each term are dealt out over so many keys, and the query terms go to all of them.
+    """
+    on = ["term"]
+    if salts > 1:
+        on = ["term", "_salt"]
+        posts = posts.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+        query_terms = query_terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hits = posts.join(query_terms, on).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("matches"))
     hits = hits.select("query_id", "chunk_id", F.round(F.col("matches") * F.lit(0.1), 6).alias("score"))
     return _ranked(hits, k, F.desc("score"), "chunk_id")
 

@@ -20,10 +20,17 @@ qt AS (SELECT doc_id AS query_id, unnest(list_slice(list_transform(list_filter(l
 po AS (SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) GROUP BY ALL),
 lm AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM po JOIN qt USING (term) GROUP BY ALL),
 lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lm QUALIFY rank <= {VECTOR_K})"""
-FUSE_SQL = f"""{VECTOR_SQL}, {LEX_SQL},
-pr AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM vr UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM lr),
+_FUSE_TAIL = f"""pr AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM vr UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM lr),
 fs AS (SELECT query_id, chunk_id, round(sum(part), 9) AS rrf_score FROM pr GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM fs QUALIFY rank <= {VECTOR_K})"""
+FUSE_SQL = f"{VECTOR_SQL}, {LEX_SQL},\n{_FUSE_TAIL}"
+#: The same lists for all distinct terms of a query.
+WHOLE_LEX_SQL = f"""tk AS (SELECT doc_id, regexp_extract_all(lower({TR}), '[a-z0-9]{{5,}}') AS ts FROM documents),
+po AS (SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) GROUP BY ALL),
+qt AS (SELECT chunk_id AS query_id, term FROM po WHERE chunk_id % 50 = 0),
+lm AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM po JOIN qt USING (term) GROUP BY ALL),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lm QUALIFY rank <= {VECTOR_K})"""
+WHOLE_FUSE_SQL = f"{VECTOR_SQL}, {WHOLE_LEX_SQL},\n{_FUSE_TAIL}"
 
 
 def vectors(t: Tables, k: int = VECTOR_K) -> DataFrame:
@@ -46,6 +53,13 @@ def lexical(t: Tables, k: int = VECTOR_K) -> DataFrame:
     return retrieval.lexical(query_terms(t), retrieval.postings(chunks, chunk_terms()), k)
 
 
+def whole_lexical(t: Tables, k: int = VECTOR_K) -> DataFrame:
+    """Ranked by all distinct terms of each query's text."""
+    chunks = t.documents.withColumnRenamed("doc_id", "chunk_id")
+    asked = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(chunk_terms())).alias("term"))
+    return retrieval.lexical(asked, retrieval.postings(chunks, chunk_terms()), k, salts=16)
+
+
 def fused(t: Tables) -> DataFrame:
     return retrieval.fuse([(vectors(t), 1.0), (lexical(t), 1.0)], VECTOR_K)
 
@@ -65,11 +79,11 @@ def j10(t):
     return fused(t).select("query_id", "chunk_id", "rrf_score", "rank")
 
 
-SCORED_SQL = f"""{FUSE_SQL},
-sc AS (SELECT f.query_id, f.chunk_id, d.source AS document_id, d.n_chars AS page, vr.score AS vector_score, lr.score AS text_score, f.rrf_score, f.rank FROM fr f LEFT JOIN vr USING (query_id, chunk_id) LEFT JOIN lr USING (query_id, chunk_id) JOIN documents d ON d.doc_id = f.chunk_id)"""
+_SCORED_TAIL = """sc AS (SELECT f.query_id, f.chunk_id, d.source AS document_id, d.n_chars AS page, vr.score AS vector_score, lr.score AS text_score, f.rrf_score, f.rank FROM fr f LEFT JOIN vr USING (query_id, chunk_id) LEFT JOIN lr USING (query_id, chunk_id) JOIN documents d ON d.doc_id = f.chunk_id)"""
+SCORED_SQL = f"{FUSE_SQL},\n{_SCORED_TAIL}"
 
 
-def scored(t: Tables) -> DataFrame:
+def scored(t: Tables, lexical=lexical) -> DataFrame:
     rows = retrieval.fuse([(vectors(t), 1.0), (lexical(t), 1.0)], VECTOR_K, keep=["vector_score", "text_score"])
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("n_chars").alias("page"))
     return rows.join(docs, "chunk_id")
@@ -78,19 +92,36 @@ def scored(t: Tables) -> DataFrame:
 RANK_SQL = """least(1.0, greatest(0.0, coalesce(vector_score, 0)))"""
 
 
-@query("c1_hybrid_retrieve", f"""WITH {SCORED_SQL},
-rr AS (SELECT *, {RANK_SQL} AS relevance, round({RANK_SQL} + 0.02::DOUBLE * coalesce(text_score, 0), 6) AS score FROM sc),
+_C1_TAIL = f"""rr AS (SELECT *, {RANK_SQL} AS relevance, round({RANK_SQL} + 0.02::DOUBLE * coalesce(text_score, 0), 6) AS score FROM sc),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS final_rank FROM rr)
-SELECT query_id, chunk_id, document_id, vector_score, text_score, rrf_score, relevance, score, final_rank FROM o WHERE final_rank <= 10""")
-def c1(t):
-    """Both candidate lists, fusion, bounded relevance, lexical bonus and the final cut: the flagship."""
-    rows = scored(t).withColumn("relevance", scores.bounded(F.col("vector_score")))
+SELECT query_id, chunk_id, document_id, vector_score, text_score, rrf_score, relevance, score, final_rank FROM o WHERE final_rank <= 10"""
+
+
+def _c1(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("relevance", scores.bounded(F.col("vector_score")))
     rows = rows.withColumn("score", F.round(F.col("relevance") + F.lit(0.02) * F.coalesce("text_score", F.lit(0.0)), 6))
     at = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     rows = rows.withColumn("final_rank", F.row_number().over(at).cast("bigint")).where(F.col("final_rank") <= retrieval.final_count(K))
     return rows.select("query_id", "chunk_id", "document_id", "vector_score", "text_score", "rrf_score", "relevance", "score", "final_rank")
 
 
+@query("c1_hybrid_retrieve", f"WITH {SCORED_SQL},\n{_C1_TAIL}")
+def c1(t):
+    """Both candidate lists, fusion, bounded relevance, lexical bonus and the final cut."""
+    return _c1(scored(t))
+
+
+@query("c1_hybrid_retrieve_whole", f"WITH {WHOLE_FUSE_SQL},\n{_SCORED_TAIL},\n{_C1_TAIL}")
+def c1_whole(t):
+    """The flagship: the same by all distinct terms of each query's text."""
+    return _c1(scored(t, whole_lexical))
+
+
+@query("k2_lexical_top_k_whole", f"WITH {WHOLE_LEX_SQL} SELECT query_id, chunk_id, score, rank FROM lr")
+def k2_whole(t):
+    return whole_lexical(t).select("query_id", "chunk_id", "score", "rank")
+
+
 PROTECTED_SQL = f"""{SCORED_SQL},
 pb AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page ORDER BY text_score DESC NULLS LAST, chunk_id) = 1 AS best FROM sc),
 pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, best ORDER BY text_score DESC NULLS LAST, chunk_id) AS l, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC NULLS LAST, chunk_id) AS f, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC NULLS LAST, chunk_id) AS v FROM pb),
