@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folio.llm import common, decontamination, packing, quality_rules, secret_scan, simhash_dedup
 
@@ -16,7 +17,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    # Rows without a doc_id are told by their text.
+    (key,) = common.unused(docs, "row_key")
+    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("id:"), F.col("doc_id").cast("string")), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256))))
+    bad = decontamination.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    bad = bad.select(F.col("doc_id").cast("string").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

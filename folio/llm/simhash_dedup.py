@@ -205,22 +205,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def simhash_components(docs: DataFrame, *, radius: int = 4, words: int = 4, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links lead to."""
+def _labelled(docs: DataFrame, radius: int, words: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp), and each fingerprint (fp) with the label of its component and the least doc_id there."""
     rows = common.stored(fingerprints(docs, words), "fingerprints")
     prints = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     linked = components(links(prints.select("fp"), radius, hot))
     named = prints.join(linked.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "label").select("fp", "component_id")
+    return rows, named.join(ids, "label").select("fp", "label", "component_id")
+
+
+def simhash_components(docs: DataFrame, *, radius: int = 4, words: int = 4, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links lead to."""
+    rows, named = _labelled(docs, radius, words, hot)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, *, radius: int = 4, words: int = 4) -> DataFrame:
     """The documents with the least id of each component. Of rows that share a doc_id, which has to be a key, one stays;
-    rows without a doc_id stay."""
-    found = simhash_components(docs, radius=radius, words=words)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    of a component without any doc_id, one row stays."""
+    rows, named = _labelled(docs, radius, words, HOT)
+    keep = rows.join(named, "fp").where("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    loose = docs.where("doc_id is null")
+    if not loose.limit(1).count():
+        return out
+    (key,) = common.unused(docs, "row_key")
+    loose = common.stored(loose.withColumn(key, F.monotonically_increasing_id()), "loose")
+    own = fingerprints(loose.select(F.col(key).alias("doc_id"), "text"), words).join(named.where("component_id is null"), "fp")
+    first = own.groupBy("label").agg(F.min("doc_id").alias(key)).select(key)
+    return out.unionByName(loose.join(first, key, "left_semi").select(*docs.columns))
