@@ -1,20 +1,28 @@
 """Exact removal of repeated byte strings by a distributed merge sort of sampled suffixes.
 
-Every window of ``length`` bytes has one anchor: the start of the k-gram in it with the least hash, the leftmost of
+Every window of ``passage`` bytes has one anchor: the start of the k-gram in it with the least hash, the leftmost of
 equals. Equal windows have their anchors at the same place, so it is enough to compare the surroundings of anchors
-whose k-grams are the same; the others cannot be in a repeated window.
-
-Suffixes at such anchors are sorted within each task, by the hash of their k-gram and then by their bytes, and
-exchanged as front-coded runs: each entry says how many bytes it shares with the one before and holds the rest. Anchors
-whose surroundings are the same are one entry. The receiving task merges the runs with a loser tree that keeps, for every contender, its common prefix with the last
-winner: a longer one wins without a look at the bytes, and equal ones are compared from there on. The merge yields the
-common prefix of neighbours. Within a run of neighbours with one k-gram, common prefixes and the common bytes before
-the anchors give, for each anchor, the repeated windows around it, which are one interval.
-
-A k-gram that occurs more than ``hot`` times is not gathered: the windows around its anchors are counted by hash across
-the cluster. Documents whose whole texts are equal go in once, and are repeated from end to end if they are long enough.
-
-Cases: null text is empty; texts shorter than ``length`` keep all; repeated rows and repeated doc_ids are documents of
+whose k-grams are the same; the others cannot be in a repeated window. Windows of ``length`` bytes, the longer ones,
+hold such a window each and are told at the same anchors.
+
+Anchors whose whole surroundings are the same, by hash, are settled without a look at the bytes, and one of them stands
+for all. Suffixes at those that are left are sorted within each task, by the hash of their k-gram and then by their
+bytes, and exchanged as front-coded runs: each entry says how many bytes it shares with the one before and holds the
+rest. The receiving task merges the runs with a loser tree that keeps, for every contender, its common prefix with the
+last winner: a longer one wins without a look at the bytes, and equal ones are compared from there on. The merge yields
+the common prefix of neighbours. Groups of one k-gram grow together from the longest of those prefixes down, each part
+kept in the order of the bytes before its anchors, where neighbours share most: pairs that become neighbours give, for
+each anchor, the repeated windows around it, which are one interval.
+
+A group of over ``hot`` anchors is not gathered. Two equal windows around an anchor agree on half of the bytes that
+are still open before it or on half of those after it, so the group is split by either, again and again, until its
+parts are small or the known bytes are a whole window. Documents whose whole texts are equal go in once, and are
+repeated from end to end if they are long enough.
+
+Beside what ``length`` removes, runs of repeated bytes with ``passage_words`` whole words or more are counted as
+passages, from windows of ``passage`` bytes: fifty words of an average of 4.8 bytes with the space, or longer ones.
+
+Cases: null text is empty; texts shorter than a window keep all; repeated rows and repeated doc_ids are documents of
 their own; overlapping repeats within one document count; a null doc_id stays null; very long texts are used whole; an
 empty table gives no rows; other columns are not carried.
 """
@@ -23,7 +31,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from bisect import bisect, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +43,17 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 400
-GRAM = 100
-#: K-grams with more anchors than this are counted by windows.
-HOT = 400_000
+#: Windows of passages, and the words that a passage has at least.
+PASSAGE = 240
+PASSAGE_WORDS = 50
+GRAM = 60
+#: Groups of more anchors than this are split by further bytes.
+HOT = 20_000
 #: Anchors that a merging task is to get, about.
 BUCKET_ANCHORS = 10_000
 #: Anchors that a sorting task sorts at once.
 RUN_ANCHORS = 20_000
 SALTS = 16
-#: Window hashes that a task holds at once for one group.
-GROUP_HASHES = 6_000_000
-#: Groups up to this size are compared pair by pair.
-SMALL = 24
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=np.uint64)
@@ -68,31 +77,41 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class Hashes:
+    """Hashes of any substrings of a text, each from its bytes alone."""
+
+    def __init__(self, text: bytes):
+        x = np.frombuffer(text, np.uint8)
+        up, self.down = _powers(len(x) + 1)
+        self.sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_TABLE[x] * up[:-1], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[stop] - self.sums[start]) * self.down[start])
+
+    def rolling(self, size: int) -> np.ndarray:
+        return _mixed((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
+
+
 def rolling(text: bytes, size: int) -> np.ndarray:
     """A hash of every ``size`` bytes; it depends on those bytes alone."""
-    x = np.frombuffer(text, np.uint8)
-    up, down = _powers(len(x) + 1)
-    sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(_TABLE[x] * up[:-1], out=sums[1:])
-    return _mixed((sums[size:] - sums[:-size]) * down[: len(x) - size + 1])
-
-
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows, and the hashes of their k-grams."""
-    if len(text) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = rolling(text, gram)
-    width = length - gram + 1
+    return Hashes(text).rolling(size)
+
+
+def anchors(hashes: Hashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the anchors of all windows of a text that has one at least, and the hashes of their k-grams."""
+    h = hashes.rolling(gram)
+    width = window - gram + 1
     key = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(key) // width) * width, ~np.uint64(0))
     padded[: len(key)] = key
     blocks = padded.reshape(-1, width)
     before = np.minimum.accumulate(blocks, axis=1).ravel()
     after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(text) - length + 1
+    n = len(h) - width + 1
     least = np.minimum(after[:n], before[width - 1 : width - 1 + n])
     at = np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at, h[at].view(np.int64)
+    return at, h[at]
 
 
 def common_prefix(a: bytes, b: bytes, skip: int = 0) -> int:
@@ -180,62 +199,43 @@ class LoserTree:
             top = run
 
 
-def _group_small(keys: list[bytes], lefts: list[bytes], shared: list[int], length: int, head: int) -> list[tuple[int, int] | None]:
-    """Per anchor the bytes before and after it that repeated windows cover; shared[i] is of keys i-1 and i."""
+def covered(keys: list[bytes], lefts: list[bytes], shared: list[int], windows: tuple[int, ...], head: int) -> list[list[tuple[int, int] | None]]:
+    """For each length of window, per anchor, the bytes before and after it that repeated windows cover.
+
+    ``shared[i]`` is the common prefix of keys i-1 and i, of which ``head`` bytes are no text. Neighbours are joined from
+    the longest common prefix down. A part is kept as the ranks of its members in the order of the bytes before the
+    anchor, read backwards; of all members of the other part, an anchor shares most of those bytes with a neighbour in
+    that order, so new neighbours are the only pairs to compare.
+    """
     m = len(keys)
-    out: list[tuple[int, int] | None] = [None] * m
     turned = [x[::-1] for x in lefts]
-    for i in range(m):
-        right = length + head
-        for j in range(i + 1, m):
-            right = min(right, shared[j])
-            left = common_prefix(turned[i], turned[j])
-            after = right - head
-            if left + after >= length:
-                for k in (i, j):
-                    was = out[k] or (0, 0)
-                    out[k] = (max(was[0], left), max(was[1], after))
+    order = sorted(range(m), key=turned.__getitem__)
+    rank = [0] * m
+    for r, i in enumerate(order):
+        rank[i] = r
+    out: list[list[tuple[int, int] | None]] = [[None] * m for _ in windows]
+    first = {i: (i, [rank[i]]) for i in range(m)}  # by its first member: a part's last member and its ranks
+    last = {i: i for i in range(m)}  # by its last member: its first
+    for cut in sorted(range(1, m), key=lambda i: -shared[i]):
+        after = shared[cut] - head
+        start = last.pop(cut - 1)
+        (_, big), (stop, small) = first.pop(start), first.pop(cut)
+        if len(big) < len(small):
+            big, small = small, big
+        for x in small:
+            p = bisect(big, x)
+            for y in big[max(0, p - 1) : p + 1]:
+                before = common_prefix(turned[order[x]], turned[order[y]])
+                for w, least in enumerate(windows):
+                    if before + after >= least:
+                        for i in (order[x], order[y]):
+                            was = out[w][i] or (0, 0)
+                            out[w][i] = (max(was[0], before), max(was[1], after))
+            insort(big, x)
+        first[start], last[stop] = (stop, big), start
     return out
 
 
-def _group_large(keys: list[bytes], lefts: list[bytes], length: int, gram: int, head: int) -> list[tuple[int, int] | None]:
-    """The same for a large group: all windows around the anchors by their hashes, one offset at a time."""
-    m, back = len(keys), length - gram
-    powers = _powers(back + length)[0]
-    before = np.array([len(x) for x in lefts])
-    after = np.array([len(k) - head for k in keys])
-    most, least = np.full(m, -1), np.full(m, back + 1)
-    block = max(1, GROUP_HASHES // m)
-    for first in range(0, back + 1, block):
-        offsets = range(first, min(back + 1, first + block))
-        hashes = np.empty((len(offsets), m), np.uint64)
-        for lo in range(0, m, 1000):
-            part = range(lo, min(m, lo + 1000))
-            rows = np.zeros((len(part), back + length), np.uint8)
-            for i, k in enumerate(part):
-                right = keys[k][head:]
-                rows[i, back - len(lefts[k]) : back] = np.frombuffer(lefts[k], np.uint8)
-                rows[i, back : back + len(right)] = np.frombuffer(right, np.uint8)
-            sums = np.zeros((len(part), back + length + 1), np.uint64)
-            np.cumsum(_TABLE[rows] * powers, axis=1, out=sums[:, 1:])
-            for j, o in enumerate(offsets):
-                hashes[j, part.start : part.stop] = sums[:, back - o + length] - sums[:, back - o]
-        for j, o in enumerate(offsets):
-            has = np.flatnonzero((before >= o) & (after >= length - o))
-            if len(has) < 2:
-                continue
-            h = hashes[j, has]
-            order = np.argsort(h, kind="stable")
-            same = h[order[1:]] == h[order[:-1]]
-            twice = np.zeros(len(has), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            hit = has[twice]
-            most[hit] = np.maximum(most[hit], o)
-            least[hit] = np.minimum(least[hit], o)
-    return [(int(a), length - int(b)) if a >= 0 else None for a, b in zip(most, least)]
-
-
 def _with_keys(docs: DataFrame) -> DataFrame:
     """text as bytes with k1 and rk, two hashes that name the row's text, and its text and doc_id."""
     text = common.utf8()
@@ -243,39 +243,50 @@ def _with_keys(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("text"), "rk": F.xxhash64(F.lit(1), "text", "doc_id")})
 
 
-def _surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Per row its size, hashes and anchors, without the text."""
+def _surveyed(docs: DataFrame, length: int, passage: int, gram: int) -> DataFrame:
+    """Per row its size, hashes and anchors with the hashes of their k-grams and of their surroundings, without the text."""
+    back = length - gram
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
         for batch in batches:
-            at, grams, sizes, sums = [], [], [], []
+            ats, grams, around, sizes, words, sums = [], [], [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
-                a, g = anchors(text, length, gram)
-                at.append(a)
+                at, g, c = none, none, none
+                if len(text) >= passage:
+                    hashes = Hashes(text)
+                    at, g = anchors(hashes, passage, gram)
+                    start, stop = np.maximum(at - back, 0), np.minimum(at + length, len(text))
+                    c = _mixed(hashes.of(start, stop) + (at - start).astype(np.uint64) * np.uint64(_MULTIPLIER)).view(np.int64)
+                    g = g.view(np.int64)
+                ats.append(at)
                 grams.append(g)
+                around.append(c)
                 sizes.append(len(text))
+                words.append(len(text.split()))
                 sums.append(hashlib.sha256(text).hexdigest())
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("k1"), batch.column("rk"), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(at, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))],
-                ["doc_id", "k1", "rk", "n_bytes", "sha256", "at", "gram"],
+                [batch.column("doc_id"), batch.column("k1"), batch.column("rk"), pa.array(sizes, pa.int64()), pa.array(words, pa.int64()), pa.array(sums, pa.string()), pa.array(ats, longs), pa.array(grams, longs), pa.array(around, longs)],
+                ["doc_id", "k1", "rk", "n_bytes", "n_words", "sha256", "at", "key", "around"],
             )
 
-    return common.map_arrow(_with_keys(docs), survey, "doc_id long, k1 long, rk long, n_bytes long, sha256 string, at array<long>, gram array<long>")
+    schema = "doc_id long, k1 long, rk long, n_bytes long, n_words long, sha256 string, at array<long>, key array<long>, around array<long>"
+    return common.map_arrow(_with_keys(docs), survey, schema)
 
 
 def _runs(located: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """Texts with the positions of their shared anchors, to front-coded sorted runs by bucket of k-gram hash."""
+    """Texts with their ``spots``, to front-coded sorted runs by bucket of key."""
     back = length - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: dict[tuple[bytes, bytes], list] = {}
-        held = 0
+        entries: list[tuple] = []
 
         def flushed() -> pa.RecordBatch:
             runs: dict[int, list] = {}
-            for (key, left), refs in sorted(entries.items(), key=lambda e: e[0]):
-                runs.setdefault(int.from_bytes(key[:8], "big") * buckets >> 64, []).append((key, left, refs))
+            for entry in sorted(entries, key=lambda e: e[0]):
+                runs.setdefault(int.from_bytes(entry[0][:8], "big") * buckets >> 64, []).append(entry)
             return pa.RecordBatch.from_arrays([pa.array(list(runs), pa.int64()), pa.array([encode_run(r) for r in runs.values()], pa.binary())], ["bucket", "run"])
 
         for batch in batches:
@@ -283,108 +294,109 @@ def _runs(located: DataFrame, length: int, gram: int, buckets: int) -> DataFrame
                 for spot in spots:
                     at = spot["at"]
                     # The hashes of anchors are the least of many, so they are spread anew before they are dealt out.
-                    key = (spot["gram"] * _MULTIPLIER & (1 << 64) - 1).to_bytes(8, "big") + text[at : at + length]
-                    entries.setdefault((key, text[max(0, at - back) : at]), []).append((k1, rk, at))
-                held += len(spots)
-                if held >= RUN_ANCHORS:
-                    yield flushed()
-                    entries.clear()
-                    held = 0
+                    key = (spot["key"] * _MULTIPLIER & (1 << 64) - 1).to_bytes(8, "big") + text[at : at + length]
+                    entries.append((key, text[max(0, at - back) : at], [(k1, rk, at)]))
+                    if len(entries) >= RUN_ANCHORS:
+                        yield flushed()
+                        entries.clear()
         if entries:
             yield flushed()
 
     return common.map_arrow(located, cut, "bucket long, run binary")
 
 
-def _merged(runs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """Each bucket's runs, merged, to intervals (k1, rk, start, stop) of repeated bytes."""
+_INTERVAL = "k1 long, rk long, start long, stop long, removed boolean"
+
+
+def _merged(runs: DataFrame, length: int, passage: int, gram: int, buckets: int) -> DataFrame:
+    """Each bucket's runs, merged, to intervals of repeated bytes; ``removed`` is whether windows of ``length`` cover it."""
     head = 8
 
     def merge(table: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = []
+        out: list[tuple] = []
         keys: list[bytes] = []
         lefts: list[bytes] = []
         shared: list[int] = []
-        names: list[list[np.ndarray]] = []
-        same: dict[bytes, int] = {}  # by left, the entries of the key at hand
+        names: list[list[int]] = []
 
         def close() -> None:
-            n = [sum(map(len, r)) for r in names]
-            if sum(n) < 2:
+            if len(keys) < 2:
                 return
-            found = _group_small(keys, lefts, shared, length, head) if len(keys) <= SMALL else _group_large(keys, lefts, length, gram, head)
-            for key, left, refs, many, f in zip(keys, lefts, names, n, found):
-                if many > 1 and len(left) + len(key) - head >= length:  # all that is around is there twice
-                    f = (len(left), len(key) - head)
-                if f:
-                    r = np.concatenate(refs)
-                    out.append(np.stack([r[:, 0], r[:, 1], r[:, 2] - f[0], r[:, 2] + f[1]], axis=1))
+            for removed, found in zip((True, False), covered(keys, lefts, shared, (length, passage), head)):
+                for (k1, rk, at), f in zip(names, found):
+                    if f:
+                        out.append((k1, rk, at - f[0], at + f[1], removed))
 
         for key, (left, refs), prefix in LoserTree([read_run(r.as_py()) for r in table.column("run")]):
-            if keys and prefix == len(key) == len(keys[-1]):
-                if left in same:
-                    names[same[left]].append(refs)
-                    continue
-            else:
-                same = {}
-                if prefix < head + gram:
-                    close()
-                    keys, lefts, shared, names = [], [], [], []
-            same[left] = len(keys)
+            if prefix < head + gram:
+                close()
+                keys, lefts, shared, names = [], [], [], []
             keys.append(key)
             lefts.append(left)
             shared.append(prefix)
-            names.append([refs])
+            names.append(refs[0].tolist())
         close()
-        rows = np.concatenate(out) if out else np.empty((0, 4), np.int64)
-        return pa.table([pa.array(c) for c in np.ascontiguousarray(rows.T)], ["k1", "rk", "start", "stop"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["k1", "rk", "start", "stop", "removed"])
 
-    return runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "k1 long, rk long, start long, stop long")
+    return runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, _INTERVAL)
 
 
-def _hot_windows(located: DataFrame, length: int, gram: int) -> DataFrame:
-    """Windows around the anchors of hot k-grams: k1, rk, start and two hashes of the bytes."""
+def _extended(located: DataFrame, length: int, passage: int) -> DataFrame:
+    """Texts with spots of known bytes [at + lo, at + hi), each extended to either side by half of what a window lacks;
+    what a text is too short for is left out. The key is of the bytes and their place."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, k1, rk, spots in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "rk", "spots"))):
-                if len(text) < length:
-                    continue
-                h = rolling(text, length)
-                starts = np.unique(np.concatenate([np.arange(max(0, s["at"] - length + gram), min(len(h), s["at"] + 1)) for s in spots]))
-                again = rolling(text[::-1], length)[::-1]
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1)), pa.array(np.full(n, rk)), pa.array(starts), pa.array(h[starts].view(np.int64)), pa.array(again[starts].view(np.int64))], ["k1", "rk", "start", "h1", "h2"])
-
-    return common.map_arrow(located, windows, "k1 long, rk long, start long, h1 long, h2 long")
-
+                at, lo, hi = (np.array([s[c] for s in spots], np.int64) for c in ("at", "lo", "hi"))
+                known = hi - lo
+                more = (np.where(known < passage, passage, length) - known + 1) // 2
+                at, lo, hi = np.concatenate([at, at]), np.concatenate([lo - more, lo]), np.concatenate([hi, hi + more])
+                fits = (at + lo >= 0) & (at + hi <= len(text))
+                at, lo, hi = at[fits], lo[fits], hi[fits]
+                place = ((hi - lo) * 2 * length + hi).astype(np.uint64) * np.uint64(_MULTIPLIER)
+                key = _mixed(Hashes(text).of(at + lo, at + hi) + place).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)) for v in (k1, rk)] + [pa.array(v) for v in (at, lo, hi, key)], ["k1", "rk", "at", "lo", "hi", "key"])
+
+    return common.map_arrow(located, extend, "k1 long, rk long, at long, lo long, hi long, key long").distinct()
+
+
+def _removed(texts: DataFrame, passage_words: int) -> DataFrame:
+    """Texts with their intervals: what is removed, the hash of what is left, and the passages."""
+
+    def joined(cuts) -> list[list[int]]:
+        out: list[list[int]] = []
+        for start, stop in sorted(cuts):
+            if out and start <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], stop)
+            else:
+                out.append([start, stop])
+        return out
 
-def _removed(texts: DataFrame) -> DataFrame:
-    """Texts with their intervals: what is removed and the hash of what is left."""
+    def whole_words(text: bytes, start: int, stop: int) -> int:
+        n = len(text[start:stop].split())
+        inside = lambda i: 0 < i < len(text) and not text[i - 1 : i].isspace() and not text[i : i + 1].isspace()
+        return max(0, n - inside(start) - inside(stop))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_removed, n_spans, sums = [], [], []
+            rows = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
-                kept, at, gone, spans = hashlib.sha256(), 0, 0, 0
-                stop = -1
-                for cut in sorted((c["start"], c["stop"]) for c in cuts):
-                    if cut[0] > stop:
-                        spans += 1
-                        kept.update(text[at : cut[0]])
-                        gone += cut[1] - cut[0]
-                        stop = cut[1]
-                    elif cut[1] > stop:
-                        gone += cut[1] - stop
-                        stop = cut[1]
+                kept, at, gone = hashlib.sha256(), 0, 0
+                spans = joined((c["start"], c["stop"]) for c in cuts if c["removed"])
+                for start, stop in spans:
+                    kept.update(text[at:start])
+                    gone += stop - start
                     at = stop
                 kept.update(text[at:])
-                n_removed.append(gone)
-                n_spans.append(spans)
-                sums.append(kept.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("rk"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sums, pa.string())], ["k1", "rk", "n_removed", "n_spans", "kept_sha256"])
+                words = [n for a, b in joined((c["start"], c["stop"]) for c in cuts) if (n := whole_words(text, a, b)) >= passage_words]
+                rows.append((gone, len(spans), kept.hexdigest(), len(words), sum(words)))
+            names = ["n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words"]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("rk"), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types))], ["k1", "rk", *names])
 
-    return common.map_arrow(texts, remove, "k1 long, rk long, n_removed long, n_spans long, kept_sha256 string")
+    return common.map_arrow(texts, remove, "k1 long, rk long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long")
 
 
 def _salted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -393,45 +405,74 @@ def _salted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("salt", F.pmod("rk", F.lit(SALTS))).join(every, [*keys, "salt"]).drop("salt")
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows without their texts, those whose whole text occurs again, intervals of repeated bytes by k1 and rk)."""
-    gram = min(gram, max(1, length // 2))
-    rows = common.stored(_surveyed(docs, length, gram), "survey")
-    # Whole copies: all but the one with the least rk stay out of the sort; all are removed whole.
-    classes = rows.where(F.col("n_bytes") >= length).groupBy("k1", "sha256").agg(F.count("*").alias("n"), F.min("rk").alias("lead")).where("n > 1")
+def _with_spots(texts: DataFrame, spots: DataFrame, *fields: str) -> DataFrame:
+    return texts.join(spots.groupBy("k1", "rk").agg(F.collect_list(F.struct(*fields)).alias("spots")), ["k1", "rk"])
+
+
+def _split(texts: DataFrame, spots: DataFrame, length: int, passage: int, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Spots (k1, rk, at, key, n) whose groups have up to ``hot`` members, from those of larger groups by further bytes;
+    and the intervals of whole windows that are known by then."""
+    ready, sure = [spots.where(F.col("n") <= hot).select("k1", "rk", "at", "key")], []
+    large = spots.where(F.col("n") > hot)
+    while large.limit(1).count():
+        known = F.col("hi") - F.col("lo")
+        sure.append(large.where(known.isin(passage, length)).select("k1", "rk", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi")).alias("stop"), (known == length).alias("removed")))
+        parts = common.stored(_extended(_with_spots(texts, large.where(known < length), "at", "lo", "hi"), length, passage), "extended")
+        sizes = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        parts = common.stored(_salted(parts, sizes, ["key"]), "parts")
+        ready.append(parts.where(F.col("n") <= hot).select("k1", "rk", "at", "key"))
+        large = parts.where(F.col("n") > hot)
+    return reduce(DataFrame.unionByName, ready), sure
+
+
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, passage: int = PASSAGE, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows without their texts, those whose whole text occurs again, intervals of repeated bytes by k1 and rk, texts)."""
+    passage = min(passage, length)
+    gram = min(gram, max(1, passage // 2))
+    rows = common.stored(_surveyed(docs, length, passage, gram), "survey")
+    # Whole copies: all but the one with the least rk stay out of the sort; they are repeated from end to end.
+    classes = rows.where(F.col("n_bytes") >= passage).groupBy("k1", "sha256").agg(F.count("*").alias("n"), F.min("rk").alias("lead")).where("n > 1")
     copies = _salted(rows.select("k1", "rk", "sha256"), classes, ["k1", "sha256"]).groupBy("k1", "rk").agg(F.min("lead").alias("lead"))
     copies = common.stored(copies, "copies")
     single = rows.where(F.size("at") > 0).join(copies.where("rk <> lead"), ["k1", "rk"], "left_anti")
-    spots = single.select("k1", "rk", F.explode(F.arrays_zip("at", "gram")).alias("s")).select("k1", "rk", "s.at", "s.gram").distinct()
-    sizes = spots.groupBy("gram").agg(F.count("*").alias("n"))
-    shared = _salted(spots, sizes.where("n > 1"), ["gram"])
-    lists = common.stored(shared.groupBy("k1", "rk", (F.col("n") > hot).alias("hot")).agg(F.collect_list(F.struct("at", "gram")).alias("spots")), "spots")
+    spots = single.select("k1", "rk", "n_bytes", F.explode(F.arrays_zip("at", "key", "around")).alias("s")).select("k1", "rk", "n_bytes", "s.*").distinct()
+    sizes = spots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    spots = common.stored(_salted(spots, sizes, ["key"]), "spots")
+
+    # One anchor stands for all with its surroundings, which are repeated as a whole.
+    around = common.stored(spots.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "rk", "at")).alias("one")), "around")
+    again = _salted(spots, around.where("n > 1").select("key", "around"), ["key", "around"])
+    start, stop = F.greatest(F.col("at") - (length - gram), F.lit(0)), F.least(F.col("at") + length, F.col("n_bytes"))
+    found = [again.select("k1", "rk", start.alias("start"), stop.alias("stop"), (stop - start >= length).alias("removed"))]
+    several = around.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    ones = common.stored(_salted(around.select("key", "one.*"), several, ["key"]).withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(gram).cast("long")}), "ones")
+
     texts = _with_keys(docs).select("k1", "rk", "text")
-    return rows, copies, _intervals(texts, lists, length, gram), texts
-
-
-def _intervals(texts: DataFrame, lists: DataFrame, length: int, gram: int) -> DataFrame:
-    totals = {r["hot"]: r["n"] for r in lists.groupBy("hot").agg(F.sum(F.size("spots")).alias("n")).collect()}
-    buckets = max(common.shuffle_partitions(texts.sparkSession), -(-totals.get(False, 0) // BUCKET_ANCHORS))
-    found = _merged(_runs(texts.join(lists.where("not hot").drop("hot"), ["k1", "rk"]), length, gram, buckets), length, gram, buckets)
-    if totals.get(True):
-        windows = common.stored(_hot_windows(texts.join(lists.where("hot").drop("hot"), ["k1", "rk"]), length, gram).distinct(), "windows")
-        twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-        found = found.unionByName(windows.join(twice, ["h1", "h2"]).select("k1", "rk", "start", (F.col("start") + length).alias("stop")))
-    return found
-
-
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
-    rows, copies, found, texts = repeated_spans(docs, length=length, gram=gram, hot=hot)
-    cuts = found.groupBy("k1", "rk").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    cut = _removed(texts.join(cuts, ["k1", "rk"])).dropDuplicates(["k1", "rk"])
-    out = rows.select("doc_id", "k1", "rk", "n_bytes", "sha256").join(copies.select("k1", "rk", F.lit(True).alias("whole")), ["k1", "rk"], "left").join(cut, ["k1", "rk"], "left")
-    whole = F.coalesce("whole", F.lit(False))
+    ready, sure = _split(texts, ones, length, passage, hot)
+    ready = common.stored(ready.groupBy("k1", "rk").agg(F.collect_list(F.struct("at", "key")).alias("spots"), F.count("*").alias("n")), "ready")
+    total = ready.agg(F.sum("n").alias("n")).first()["n"] or 0
+    buckets = max(common.shuffle_partitions(docs.sparkSession), -(-total // BUCKET_ANCHORS))
+    found.append(_merged(_runs(texts.join(ready.drop("n"), ["k1", "rk"]), length, gram, buckets), length, passage, gram, buckets))
+    return rows, copies, reduce(DataFrame.unionByName, [*found, *sure]), texts
+
+
+def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, passage: int = PASSAGE, passage_words: int = PASSAGE_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256, then n_passages and passage_words, the
+    runs of repeated bytes with at least so many words, and their words."""
+    rows, copies, found, texts = repeated_spans(docs, length=length, passage=passage, gram=gram, hot=hot)
+    cuts = found.groupBy("k1", "rk").agg(F.collect_list(F.struct("start", "stop", "removed")).alias("cuts"))
+    cut = _removed(texts.join(cuts, ["k1", "rk"]), passage_words).dropDuplicates(["k1", "rk"])
+    out = rows.select("doc_id", "k1", "rk", "n_bytes", "n_words", "sha256").join(copies.select("k1", "rk", F.lit(True).alias("whole")), ["k1", "rk"], "left").join(cut, ["k1", "rk"], "left")
+    copied = F.coalesce("whole", F.lit(False))
+    whole = copied & (F.col("n_bytes") >= length)
+    spoken = copied & (F.col("n_words") >= passage_words)
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(
         "doc_id",
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.col("n_bytes")).otherwise(count("n_removed")).alias("n_removed"),
+        F.when(whole, 1).otherwise(count("n_spans")).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+        F.when(spoken, 1).otherwise(count("n_passages")).cast("long").alias("n_passages"),
+        F.when(spoken, F.col("n_words")).otherwise(count("passage_words")).alias("passage_words"),
     )

@@ -243,19 +243,56 @@ def repeat_texts():
     return rows
 
 
-@pytest.mark.parametrize(("length", "gram", "hot", "small"), [(60, 15, 40_000, 24), (60, 15, 40_000, 2), (60, 20, 3, 24), (400, 100, 40_000, 24)])
-def test_suffix_dedup(spark, monkeypatch, length, gram, hot, small):
+def plain_passages(rows, window, least):
+    """(runs of repeated windows with so many whole words, their words) of each text."""
+    where = Counter()
+    data = [(t or "").encode() for t in rows]
+    for b in data:
+        where.update(b[i : i + window] for i in range(len(b) - window + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - window + 1):
+            if where[b[i : i + window]] > 1:
+                gone[i : i + window] = b"\1" * window
+        runs = {}
+        for m in re.finditer(rb"[^ \t-\r]+", b):
+            if all(gone[m.start() : m.end()]):
+                runs.setdefault(bytes(gone[: m.start()]).rfind(b"\0"), []).append(m)
+        sizes = [len(r) for r in runs.values() if len(r) >= least]
+        out.append((len(sizes), sum(sizes)))
+    return out
+
+
+@pytest.mark.parametrize(("length", "passage", "gram", "hot"), [(60, 60, 15, 40_000), (60, 40, 15, 40_000), (60, 33, 10, 3), (60, 60, 20, 2), (400, 240, 60, 40_000)])
+def test_suffix_dedup(spark, monkeypatch, length, passage, gram, hot):
     monkeypatch.setattr(suffix_dedup, "RUN_ANCHORS", 50)
-    monkeypatch.setattr(suffix_dedup, "GROUP_HASHES", 500)
-    monkeypatch.setattr(suffix_dedup, "SMALL", small)
     rows = repeat_texts()
     docs = documents(spark, rows, extra=True)
-    got = Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs.repartition(5), length=length, gram=gram, hot=hot).collect())
+    got = Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs.repartition(5), length=length, passage=passage, passage_words=8, gram=gram, hot=hot).collect())
     data = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = Counter((d, *rest) for (d, _), rest in zip(data, plain_removed([t for _, t in data], length)))
+    every = [t for _, t in data]
+    want = Counter((d, *one, *two) for (d, _), one, two in zip(data, plain_removed(every, length), plain_passages(every, passage, 8)))
     assert got == want
 
 
+def test_covered_against_all_pairs():
+    rng = random.Random(3)
+    for m, long in ((2, 30), (40, 12), (300, 8)):
+        cut = lambda n: bytes(rng.choices(b"ab", [9, 1], k=n))
+        entries = sorted({(b"k" + cut(rng.randint(3, long)), cut(rng.randint(0, long))) for _ in range(m)})
+        keys, lefts = [k for k, _ in entries], [x for _, x in entries]
+        shared = [0] + [suffix_dedup.common_prefix(a, b) for a, b in zip(keys, keys[1:])]
+        want = []
+        for window in (9, 6):
+            want.append([])
+            for i, (k, x) in enumerate(entries):
+                pairs = [(suffix_dedup.common_prefix(x[::-1], y[::-1]), suffix_dedup.common_prefix(k, o) - 1) for j, (o, y) in enumerate(entries) if j != i]
+                pairs = [p for p in pairs if sum(p) >= window]
+                want[-1].append((max(p[0] for p in pairs), max(p[1] for p in pairs)) if pairs else None)
+        assert suffix_dedup.covered(keys, lefts, shared, (9, 6), 1) == want
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
     assert suffix_dedup.suffix_dedup(documents(spark, [None, "a"])).count() == 2
