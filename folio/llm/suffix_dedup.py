@@ -47,8 +47,9 @@ LENGTH = 400
 PASSAGE = 240
 PASSAGE_WORDS = 50
 GRAM = 60
-#: Groups of more anchors than this are split by further bytes.
-HOT = 20_000
+#: Groups of more anchors than this, of different surroundings, are split by further bytes. It bounds what a task holds
+#: to some 150 MB; splitting costs a row for every window that the members of such a group share.
+HOT = 100_000
 #: Anchors that a merging task is to get, about.
 BUCKET_ANCHORS = 10_000
 #: Anchors that a sorting task sorts at once.
