@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,14 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def salted(rows: DataFrame, groups: DataFrame, keys: list[str], by: Column, salts: int = 16) -> DataFrame:
+    """Rows joined with what is known of their group. A group may be a third of all rows, so its rows are dealt over
+    ``salts`` tasks by the hash ``by``, and the group's own row goes to each of them."""
+    (salt,) = unused(rows, "salt")
+    every = groups.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn(salt, F.pmod(by, F.lit(salts).cast("long"))).join(every, [*keys, salt]).drop(salt)
+
+
 def utf8(col: str = "text"):
     """A text column as its UTF-8 bytes, empty where null."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

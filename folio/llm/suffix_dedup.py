@@ -54,7 +54,6 @@ HOT = 100_000
 BUCKET_ANCHORS = 10_000
 #: Anchors that a sorting task sorts at once.
 RUN_ANCHORS = 20_000
-SALTS = 16
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=np.uint64)
@@ -401,9 +400,7 @@ def _removed(texts: DataFrame, passage_words: int) -> DataFrame:
 
 
 def _salted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with what is known of their group. A group may be a third of all rows, so its rows spread over SALTS tasks."""
-    every = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("salt", F.pmod("rk", F.lit(SALTS))).join(every, [*keys, "salt"]).drop("salt")
+    return common.salted(rows, groups, keys, F.col("rk"))
 
 
 def _with_spots(texts: DataFrame, spots: DataFrame, *fields: str) -> DataFrame:

@@ -6,22 +6,27 @@ it stands, so the parsers put the parts together again and go by each record's d
 at a time.
 
 ARC headers come in two versions, ``URL IP date type length`` and ``URL IP date type result checksum location offset
-filename length``; the version block that starts a file says which. The converter gives each record a WARC type, a
-record id made from what identifies it, an ISO timestamp from the ARC date, and SHA-256 digests. Of records with equal
-payloads of ``least`` bytes or more, the one with the smallest page_id stays a response; others become revisits, which
-keep their HTTP headers and refer to it.
+filename length``; the version block that starts a file says which: a record whose url is ``filedesc://`` and whose
+content is a version block. Urls of pages that begin so are escaped when they are written, and are pages when they are
+read. The converter gives each record a WARC type, a UUID made from its file and its place there, the address it came
+from, an ISO timestamp from the ARC date, and SHA-256 digests. Of records with equal payloads of ``least`` bytes or
+more, the one with the smallest page_id stays a response; others become revisits, which keep their HTTP headers and
+refer to it by id, url and date.
 
 Cases: null html is an empty payload, a null url ``about:blank``; rows that repeat a page_id are records of their own,
-and those that share the smallest page_id of a payload are responses all; a null page_id stays null and is a response;
-payloads may hold any bytes, separators and headers included; an empty table gives no rows; other columns are not
-carried.
+with ids of their own, and those that share the smallest page_id of a payload are responses all; a null page_id stays
+null and is a response; payloads may hold any bytes, separators and headers included; an empty table gives no rows;
+other columns are not carried.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,8 +44,11 @@ ARC_FIELDS = {
     1: ["url", "ip", "date", "type", "length"],
     2: ["url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length"],
 }
-_RECORDS = "page_id long, url string, date string, http binary, payload binary, payload_bytes long, payload_digest string"
-_SPACE = re.compile(r"[\x00-\x20\x7f]")
+_RECORDS = "record_id string, page_id long, url string, ip string, date string, http binary, payload binary, payload_bytes long, payload_digest string"
+_RECORD_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
+#: What a url must not hold in a header line, or begin with.
+_ESCAPED = re.compile(r"[\x00-\x20\x7f]|^f(?=iledesc://)")
+_VERSION_BLOCK = re.compile(rb"([12]) [^\n]*\nURL IP-address Archive-date Content-type [^\n]*Archive-length\s*")
 
 
 def _values(name: str, values: list[bytes]) -> pa.RecordBatch:
@@ -52,14 +60,20 @@ def _write_lines(rows: DataFrame, folder: str, end: str) -> None:
 
 
 def _read_lines(spark: SparkSession, folder: str, end: str) -> DataFrame:
-    return spark.read.option("lineSep", end).text(folder).select(F.col("value").cast("binary").alias("value"))
+    file = F.xxhash64("_metadata.file_path")
+    return spark.read.option("lineSep", end).text(folder).select(F.col("value").cast("binary").alias("value"), file.alias("file"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    for batch in batches:
+        yield from zip(batch.column("file").to_pylist(), batch.column("value").to_pylist())
 
 
 class Parts:
     """Rows that were split at ``end``, read as the stream of bytes they come from."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], end: str):
-        self.rows = (v.as_py() for batch in batches for v in batch.column("value"))
+    def __init__(self, rows: Iterator[bytes], end: str):
+        self.rows = rows
         self.end = end.encode()
         self.held = b""
 
@@ -102,7 +116,7 @@ def write_arc(pages: DataFrame, folder: str, *, date: str = "20240101000000") ->
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 html = html or b""
                 content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(html)}\r\n\r\n".encode() + html
-                where = _SPACE.sub(lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
+                where = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
                 more = "" if version == 1 else f" 200 {hashlib.md5(html).hexdigest()} - 0 part-{shard}.arc"
                 out.append(f"{where} 0.0.0.0 {date} text/html{more} {len(content)}\n".encode() + content)
             yield _values("value", out)
@@ -122,41 +136,42 @@ def _http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def arc_records(parts: Parts) -> Iterator[dict]:
-    """The records of ARC files, one file after another, but for their version blocks."""
+    """The records of an ARC file, but for its version block."""
     fields = ARC_FIELDS[1]
     while (line := parts.line()) is not None:
         if not line:  # the line break after a record
             continue
-        if line.startswith(b"filedesc://"):
-            # Its own header has the version's fields, the length last in both.
-            about = parts.take(int(line.rsplit(b" ", 1)[1]))
-            fields = ARC_FIELDS[int(about.split(b" ", 1)[0])]
-            continue
         values = line.decode("utf-8", "surrogateescape").split(" ")
+        if len(values) not in map(len, ARC_FIELDS.values()) or not values[-1].isdigit():
+            raise ValueError(f"not a header of an ARC record: {line[:80]!r}")
+        content = parts.take(int(values[-1]))  # the length is last in both versions
+        if values[0].startswith("filedesc://") and (block := _VERSION_BLOCK.fullmatch(content)):
+            fields = ARC_FIELDS[int(block[1])]
+            continue
         if len(values) != len(fields):
             raise ValueError(f"not a header of {len(fields)} fields: {line[:80]!r}")
-        record = dict(zip(fields, values))
-        yield record | {"content": parts.take(int(record["length"]))}
+        yield dict(zip(fields, values)) | {"content": content}
 
 
 def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """One row per record: page_id, url, date, http (its header), payload, payload_bytes and payload_digest."""
+    """One row per record: record_id, page_id, url, ip, date, http (its header), payload, payload_bytes and payload_digest."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
 
         def batch() -> pa.RecordBatch:
-            types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], [f.split(" ")[0] for f in _RECORDS.split(", ")])
-
-        for r in arc_records(Parts(batches, ARC_END)):
-            fields, head, body = _http(r["content"])
-            page = fields.get("x-page-id", "")
-            rows.append((int(page) if page else None, r["url"], r["date"], head if payloads else None, body if payloads else None, len(body), hashlib.sha256(body).hexdigest()))
-            size += len(body)
-            if len(rows) >= common.BATCH_ROWS or size > 8_000_000:
-                yield batch()
-                rows, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _RECORD_TYPES)], [f.split(" ")[0] for f in _RECORDS.split(", ")])
+
+        for file, own in groupby(_rows(batches), itemgetter(0)):
+            for number, r in enumerate(arc_records(Parts(map(itemgetter(1), own), ARC_END))):
+                fields, head, body = _http(r["content"])
+                page = fields.get("x-page-id", "")
+                name = record_id(f"{file}:{number}")
+                rows.append((name, int(page) if page else None, r["url"], r["ip"], r["date"], head if payloads else None, body if payloads else None, len(body), hashlib.sha256(body).hexdigest()))
+                size += len(body)
+                if len(rows) >= common.BATCH_ROWS or size > 8_000_000:
+                    yield batch()
+                    rows, size = [], 0
         if rows:
             yield batch()
 
@@ -164,23 +179,32 @@ def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFra
 
 
 def revisits(spark: SparkSession, arc: str, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the records whose payload another with a smaller page_id has."""
-    rows = common.stored(read_arc(spark, arc, payloads=False).where(F.col("payload_bytes") >= least).select("page_id", "payload_digest"), "digests")
-    first = rows.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first, "payload_digest").where("page_id > refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    """The records whose payload another with a smaller page_id has: record_id, and what they refer to."""
+    rows = common.stored(read_arc(spark, arc, payloads=False).where(F.col("payload_bytes") >= least).select("record_id", "page_id", "payload_digest", "url", "date"), "digests")
+    one = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "url", "date"))).alias("first")
+    first = rows.groupBy("payload_digest").agg(one, F.count("*").alias("n")).where("n > 1")
+    same = common.salted(rows.select("record_id", "page_id", "payload_digest"), first, ["payload_digest"], F.xxhash64("record_id"))
+    refers = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("page_id", "record_id", "url", "date")]
+    return same.where("page_id > first.page_id").select("record_id", *refers)
+
+
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(name.encode()).digest(), version=3)}>"
 
 
-def record_id(page) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
+def _iso(date: str) -> str:
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-def _warc(page, url: str, date: str, http: bytes, payload: bytes, digest: str, refers_to) -> bytes:
-    block = http if refers_to is not None else http + payload
-    iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {iso}", f"WARC-Target-URI: {url}", "Content-Type: application/http; msgtype=response"]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
-    head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Length: {len(block)}"]
+def _warc(name, page, url: str, ip: str, date: str, http: bytes, payload: bytes, digest: str, first_page, first_name, first_url, first_date) -> bytes:
+    again = first_page is not None
+    block = http if again else http + payload
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {_iso(date)}", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}"]
+    if page is not None:
+        head.append(f"X-Page-Id: {page}")
+    if again:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {first_name}", f"WARC-Refers-To-Target-URI: {first_url}", f"WARC-Refers-To-Date: {_iso(first_date)}", f"X-Refers-To-Page-Id: {first_page}"]
+    head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
 
 
@@ -188,14 +212,14 @@ def arc_to_warc(spark: SparkSession, arc: str, folder: str, *, least: int = LEAS
     """Convert all ARC files of a folder."""
     again = common.stored(revisits(spark, arc, least), "revisits")
     small = again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
-    rows = read_arc(spark, arc).join(F.broadcast(again) if small else again, ["page_id", "payload_digest"], "left")
+    rows = read_arc(spark, arc).join(F.broadcast(again) if small else again, "record_id", "left")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about = b"software: folio\r\nformat: WARC File Format 1.1\r\n"
-        name = f"<urn:part:{TaskContext.get().partitionId()}>"
+        name = record_id(f"warcinfo of part {TaskContext.get().partitionId()}")
         head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {name}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n"
         yield _values("value", [head.encode() + about])
-        columns = ("page_id", "url", "date", "http", "payload", "payload_digest", "refers_to")
+        columns = ("record_id", "page_id", "url", "ip", "date", "http", "payload", "payload_digest", "first_page_id", "first_record_id", "first_url", "first_date")
         for batch in batches:
             yield _values("value", [_warc(*row) for row in zip(*(batch.column(c).to_pylist() for c in columns))])
 
@@ -217,7 +241,7 @@ def warc_records(parts: Parts) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """One row per response or revisit: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    number = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
+    number = lambda text: int(text) if text else None
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -226,7 +250,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], [f.split(" ")[0] for f in schema.split(", ")])
 
-        for fields, block in warc_records(Parts(batches, WARC_END)):
+        for fields, block in warc_records(Parts(map(itemgetter(1), _rows(batches)), WARC_END)):
             if fields["warc-type"] not in ("response", "revisit"):
                 continue
             if hashlib.sha256(block).hexdigest() != fields["warc-block-digest"][7:]:
@@ -235,7 +259,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
             full = fields["warc-type"] == "response"
             digest = hashlib.sha256(body).hexdigest() if full else fields["warc-payload-digest"][7:]
             n = len(body) if full else int(http["content-length"])
-            rows.append((number(fields["warc-record-id"]), fields["warc-target-uri"], body if full else None, n, digest, fields["warc-type"], number(fields.get("warc-refers-to"))))
+            rows.append((number(fields.get("x-page-id")), fields["warc-target-uri"], body if full else None, n, digest, fields["warc-type"], number(fields.get("x-refers-to-page-id"))))
             size += len(body)
             if len(rows) >= common.BATCH_ROWS or size > 8_000_000:
                 yield batch()

@@ -8,7 +8,6 @@ from collections import Counter
 from itertools import combinations
 from pathlib import Path
 
-import pyarrow as pa
 import pytest
 
 from folio.llm import decontamination, secret_scan, suffix_dedup, url_filters, warc
@@ -198,11 +197,42 @@ def test_archive_files_are_the_formats(spark, tmp_path):
 
 
 def test_bad_archives_are_refused():
-    batch = lambda *v: iter([pa.RecordBatch.from_arrays([pa.array(list(v), pa.binary())], ["value"])])
-    with pytest.raises(ValueError):
-        list(warc.arc_records(warc.Parts(batch(b"http://x 0 0 text 9", b"abc"), "\n")))
-    with pytest.raises(ValueError):
-        list(warc.arc_records(warc.Parts(batch(b"not a header", b"abc"), "\n")))
+    for rows in ([b"http://x 0 0 text 9", b"abc"], [b"not a header", b"abc"], [b"filedesc://x 0 0 text", b"abc"]):
+        with pytest.raises(ValueError):
+            list(warc.arc_records(warc.Parts(iter(rows), "\n")))
+
+
+def test_pages_that_look_like_version_blocks(spark, tmp_path):
+    block = "1 0 other\nURL IP-address Archive-date Content-type Archive-length\n"
+    rows = [(i, u, h) for i, (u, h) in enumerate([("filedesc://a.arc", "<p>one"), ("filedesc://b.arc 0 0", block), ("http://x", block), ("filedesc://", None)])]
+    rows += [(7, "http://same", "y" * 200)] * 2 + [(7, "filedesc://other", "z" * 200), (8, "http://later", "y" * 200), (None, "http://none", "y" * 200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archived(df.repartition(2)).collect()
+    want = Counter((i, len((h or "").encode()), "revisit" if i == 8 else "response", 7 if i == 8 else None) for i, _, h in rows)
+    assert Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == want
+    # A record of another writer: its content is no version block, so it is a page.
+    lines = [f"filedesc://p.arc 0 0 text {len(block)}".encode(), *block.encode().split(b"\n"), b"filedesc://page 10.0.0.1 20240101000000 text/html 3", b"abc"]
+    assert [(r["url"], r["ip"], r["content"]) for r in warc.arc_records(warc.Parts(iter(lines), "\n"))] == [("filedesc://page", "10.0.0.1", b"abc")]
+
+
+def test_record_ids_are_unique_and_revisits_say_what_they_refer_to(spark, tmp_path):
+    rows = [(1, f"http://u/{i % 2}", "same" * 50) for i in range(4)] + [(i, f"http://v/{i}", "same" * 50) for i in range(2, 9)] + [(None, "http://w", None)] * 3
+    warc.write_arc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"{tmp_path}/arc")
+    warc.arc_to_warc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    heads = []
+    for f in Path(f"{tmp_path}/warc").glob("part-*"):
+        data = gzip.open(f).read()
+        heads += [dict(line.split(": ", 1) for line in m.decode().split("\r\n")[1:]) for m in re.findall(rb"WARC/1\.1\r\n.*?(?=\r\n\r\n)", data, re.S)]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", i) for i in ids)
+    records = [h for h in heads if h["WARC-Type"] != "warcinfo"]
+    assert len(records) == len(rows) and {h["WARC-IP-Address"] for h in records} == {"0.0.0.0"}
+    again = [h for h in records if h["WARC-Type"] == "revisit"]
+    assert len(again) == 7
+    for h in again:
+        first = ids[h["WARC-Refers-To"]]
+        assert (first["X-Page-Id"], first["WARC-Type"]) == ("1", "response")
+        assert (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"]) == (first["WARC-Target-URI"], first["WARC-Date"])
 
 
 # ---- repeated strings
