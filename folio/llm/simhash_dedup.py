@@ -3,10 +3,12 @@
 Fingerprints are dealt out by masked bit patterns: the 64 bits are cut into ``radius + 2`` blocks, and any two
 fingerprints within the radius agree on at least two of them, so each goes to one bucket per pair of blocks. Buckets of
 more than ``hot`` fingerprints are dealt out again by the bits that are left, cut into ``radius + 1`` blocks, of which
-linked ones share at least one. Within a bucket the fingerprints are sorted by Gray rank; nodes over runs of them hold the bits that
-their members share, and a search adds up differences node by node, drops a whole run once they exceed the radius, and
-takes a whole run as linked once even its widest member lies within. A bucket gives a spanning forest of its links,
-never its pairs. Components follow from the forests by repeated minima in Spark.
+linked ones share at least one, and those of more than ``large`` up to twice more. Within a bucket the fingerprints are sorted by Gray rank; nodes over runs of them hold the bits
+that their members share, and a search adds up differences node by node, drops a whole run once they exceed the
+radius, and takes a whole run as linked once even its widest member lies within. A run whose members are all in the
+query's group already is passed over, so a dense bucket costs no more pairs than it takes to join it. A bucket gives a
+spanning forest of its links, never its pairs. Components follow from the forests by repeated minima in Spark, a giant
+component's rows being dealt over many tasks.
 
 Cases: null, empty or blank text has fingerprint zero and links like any other; fewer words than a shingle has are one
 shingle; repeated rows and repeated doc_ids stand for themselves and share a component; null doc_ids keep their row and
@@ -17,12 +19,13 @@ not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,7 +33,15 @@ from . import common
 BITS = 64
 #: A bucket with more fingerprints than this is dealt out again.
 HOT = 4000
+#: A bucket with up to so many, 8 MB, is searched by one task.
+LARGE = 1_000_000
+#: Buckets are dealt out again so many times at most: more would not part fingerprints that are all alike.
+ROUNDS = 3
 FANOUT = 16
+#: Nodes that a search looks at together.
+FRONTIER = 1 << 18
+#: Up to so many rows to drop are broadcast; more are joined by a shuffle of the documents.
+BROADCAST_DROPPED = 500_000
 _BIT = np.array([[(v >> b) & 1 for b in range(8)] for v in range(256)], np.int64)
 
 
@@ -53,14 +64,15 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, fp, the fingerprint as a signed long, and text_hash."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8().alias("text")), hashed, "doc_id long, fp long")
+    text = common.utf8()
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), hashed, "doc_id long, fp long, text_hash long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -88,62 +100,80 @@ class GrayIndex:
             shared = all_known & ~(some ^ ones)
             self.levels.append((ones & shared, shared))
 
-    def links(self, radius: int, chunk: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions (query, member) that lead from each query to all within the radius: where a whole run
-        is within, its members follow from its first by the run's own links."""
+    def forest(self, radius: int) -> np.ndarray:
+        """For each position the first position of its group, groups being connected by links within the radius."""
         n = len(self.fps)
-        for lo in range(0, n, chunk):
-            q = np.arange(lo, min(n, lo + chunk))
-            node = np.zeros(len(q), np.int64)
-            dist = np.zeros(len(q), np.int64)
-            upper = np.zeros(len(q), np.uint64)  # bits that are counted in dist
-            for level in range(len(self.levels) - 1, -1, -1):
-                pattern, mask = self.levels[level]
-                fresh = mask[node] & ~upper
-                dist = dist + np.bitwise_count((self.fps[q] ^ pattern[node]) & fresh)
-                known = mask[node]
-                keep = dist <= radius
-                width = BITS - np.bitwise_count(known).astype(np.int64)
-                # Runs wholly before the query are met from their own members.
-                span = self.fanout**level
-                keep &= (node + 1) * span - 1 >= q
-                whole = keep & (dist + width <= radius)
-                if whole.any():
-                    first = np.minimum(node[whole] * span, n - 1)
-                    yield q[whole], first
-                    if level:  # the run's members among themselves: each differs from its first in the free bits only
-                        runs = np.unique(node[whole])
-                        size = np.minimum((runs + 1) * span, n) - runs * span
-                        firsts = np.repeat(runs * span, size)
-                        yield firsts, firsts + np.arange(len(firsts)) - np.repeat(np.cumsum(size) - size, size)
-                open_ = keep & ~whole
-                if not level or not open_.any():
-                    break
-                below = len(self.levels[level - 1][0])
-                child = (node[open_][:, None] * self.fanout + np.arange(self.fanout)).ravel()
-                valid = child < below
-                q = np.repeat(q[open_], self.fanout)[valid]
-                dist = np.repeat(dist[open_], self.fanout)[valid]
-                upper = np.repeat(known[open_], self.fanout)[valid]
-                node = child[valid]
+        parent = np.arange(n)
+        joined = [parent]  # by level, the group that all of a run is in, or -1
+        for _ in self.levels[1:]:
+            joined.append(np.full(-(-len(joined[-1]) // self.fanout), -1))
+        lo, chunk = 0, 16
+        while lo < n:
+            hi = min(n, lo + chunk)
+            pairs = 0
+            for a, b in self._near(np.arange(lo, hi), radius, parent, joined):
+                _union(parent, a, b)
+                pairs += len(a)
+            joined[0] = parent
+            for level in range(1, len(joined)):
+                cuts = np.arange(0, len(joined[level - 1]), self.fanout)
+                least, most = np.minimum.reduceat(joined[level - 1], cuts), np.maximum.reduceat(joined[level - 1], cuts)
+                joined[level] = np.where(least == most, least, -1)
+            lo, chunk = hi, min(4096, chunk * 2) if pairs < 64 * chunk else max(16, chunk // 2)
+        return parent
+
+    def _near(self, queries: np.ndarray, radius: int, parent: np.ndarray, joined: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of positions that lead from each query to all within the radius that are not in its group: where a
+        whole run is within, its members follow from its first by the run's own links."""
+        n, top = len(self.fps), len(self.levels) - 1
+        nothing = np.zeros(len(queries), np.int64)
+        waiting = [(top, queries, nothing, nothing, np.zeros(len(queries), np.uint64))]
+        while waiting:
+            level, q, node, dist, counted = waiting.pop()
+            if len(q) > FRONTIER:
+                waiting += [(level, *(x[i : i + FRONTIER] for x in (q, node, dist, counted))) for i in range(0, len(q), FRONTIER)]
+                continue
+            pattern, mask = self.levels[level]
+            known = mask[node]
+            dist = dist + np.bitwise_count((self.fps[q] ^ pattern[node]) & known & ~counted)  # counted: the bits in dist
+            width = BITS - np.bitwise_count(known).astype(np.int64)
+            span = self.fanout**level
+            # Runs wholly before the query are met from their own members.
+            keep = (dist <= radius) & ((node + 1) * span - 1 >= q) & (joined[level][node] != parent[q])
+            whole = keep & (dist + width <= radius)
+            if whole.any():
+                yield q[whole], np.minimum(node[whole] * span, n - 1)
+                if level:  # the run's members among themselves: each differs from its first in the free bits only
+                    runs = np.unique(node[whole])
+                    size = np.minimum((runs + 1) * span, n) - runs * span
+                    firsts = np.repeat(runs * span, size)
+                    yield firsts, firsts + np.arange(len(firsts)) - np.repeat(np.cumsum(size) - size, size)
+            keep &= ~whole
+            if level and keep.any():
+                child = (node[keep][:, None] * self.fanout + np.arange(self.fanout)).ravel()
+                valid = child < len(self.levels[level - 1][0])
+                waiting.append((level - 1, *(np.repeat(x[keep], self.fanout)[valid] for x in (q,)), child[valid], *(np.repeat(x[keep], self.fanout)[valid] for x in (dist, known))))
+
+
+def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of each pair, in place; the least position names a group."""
+    while True:
+        ra, rb = parent[a], parent[b]
+        if (ra == rb).all():
+            return
+        np.minimum.at(parent, ra, rb)
+        np.minimum.at(parent, rb, ra)
+        while not (parent[parent] == parent).all():
+            parent[:] = parent[parent]
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, least fingerprint position of its group) that span the groups of a bucket."""
+    """Links (first of a group, another of it) that span the groups of a bucket."""
     if len(fps) == 2:
         near = np.bitwise_count(fps[0] ^ fps[1]) <= radius
         return (fps[:1], fps[1:]) if near else (fps[:0], fps[:0])
     index = GrayIndex(fps)
-    parent = np.arange(len(fps))
-    for a, b in index.links(radius):
-        while True:  # vectorised union by minima
-            ra, rb = parent[a], parent[b]
-            if (ra == rb).all():
-                break
-            np.minimum.at(parent, ra, rb)
-            np.minimum.at(parent, rb, ra)
-            while not (parent[parent] == parent).all():
-                parent = parent[parent]
+    parent = index.forest(radius)
     tied = np.flatnonzero(parent != np.arange(len(fps)))
     return index.fps[parent[tied]], index.fps[tied]
 
@@ -157,19 +187,37 @@ def _mask(bits: list[int]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def links(prints: DataFrame, radius: int = 4, hot: int = HOT) -> DataFrame:
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _further(mask: int, radius: int) -> list[int]:
+    """Masks that add to a mask each of radius + 1 blocks of the bits that it leaves."""
+    left = [b for b in range(BITS) if not mask >> b & 1]
+    return [_signed(mask % (1 << 64) | _mask(x) % (1 << 64)) for x in _masks(left, radius + 1) if x]
+
+
+def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE) -> DataFrame:
     """Distinct fingerprints in column fp to a spanning set of links (a, b) within the radius."""
     blocks = _masks(list(range(BITS)), radius + 2)
-    pairs = [sorted(x + y) for x, y in combinations(blocks, 2)]
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(p))) for p in pairs])).alias("way", "part"))
-    sizes = keyed.groupBy("way", "part").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, ["way", "part"])
-    rest = [[_mask(x) for x in _masks([b for b in range(BITS) if b not in set(p)], radius + 1)] for p in pairs]
-    again = F.element_at(F.array(*[F.array(*[F.lit(m) for m in r]) for r in rest]), F.col("way") + 1)
-    own = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("bits")))
-    dealt = F.transform(again, lambda m, i: F.struct(i.alias("sub"), F.col("fp").bitwiseAND(m).alias("bits")))
-    keyed = keyed.select("fp", "way", "part", F.inline(F.when(F.col("n") <= hot, own).otherwise(dealt)))
-    grouped = keyed.groupBy("way", "part", "sub", "bits").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    masks = [_mask(sorted(x + y)) for x, y in combinations(blocks, 2)]
+    part = F.col("fp").bitwiseAND(F.col("mask")).alias("part")
+    dealt = prints.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("fp", "mask", part)
+    most, done = hot, []
+    while True:
+        sizes = dealt.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
+        crowded = common.stored(sizes.where(F.col("n") > most), "crowded")
+        ways = [r["mask"] for r in crowded.select("mask").distinct().collect()]  # as many as there are masks, at most
+        ways = {m: _further(m, radius) for m in ways if m != -1}
+        if not ways or len(done) == ROUNDS:
+            done.append(dealt)
+            break
+        again = dealt.join(crowded.select("mask", "part"), ["mask", "part"], "left_semi")
+        done.append(dealt.join(crowded.select("mask", "part"), ["mask", "part"], "left_anti"))
+        table = F.create_map(*[x for m, further in ways.items() for x in (F.lit(m), F.array(*map(F.lit, further)))])
+        dealt = common.stored(again.select("fp", F.explode(table[F.col("mask")]).alias("mask")).select("fp", "mask", part), "dealt")
+        most = large
+    grouped = reduce(DataFrame.unionByName, done).groupBy("mask", "part").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +245,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("theirs")), "b")
         near = seen.groupBy("a").agg(F.min("theirs").alias("theirs"))
         least = labels.join(near, "a").select("a", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("root"))
-        least = least.join(jump, "label", "left").select("a", "old", F.least("label", F.coalesce("root", "label")).alias("label"))
+        least = common.stored(least, "minima")
+        # A label is a node of its component. Many nodes have the same, so it is looked up once for all of them.
+        jump = least.select("label").distinct().join(labels.select(F.col("a").alias("label"), F.col("label").alias("root")), "label")
+        least = common.salted(least, jump, ["label"], F.xxhash64("a")).select("a", "old", F.least("label", "root").alias("label"))
         least = common.stored(least, "labels")
         labels = least.select("a", "label")
         if not least.where("old <> label").limit(1).count():
@@ -206,13 +256,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, radius: int, words: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, fp), and each fingerprint (fp) with the label of its component and the least doc_id there."""
+    """Rows (doc_id, fp, text_hash), and each fingerprint (fp) with the label of its component and the least doc_id there."""
     rows = common.stored(fingerprints(docs, words), "fingerprints")
     prints = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     linked = components(links(prints.select("fp"), radius, hot))
     named = prints.join(linked.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows, named.join(ids, "label").select("fp", "label", "component_id")
+    return rows, common.salted(named, ids, ["label"], F.xxhash64("fp")).select("fp", "label", "component_id")
 
 
 def simhash_components(docs: DataFrame, *, radius: int = 4, words: int = 4, hot: int = HOT) -> DataFrame:
@@ -223,16 +273,29 @@ def simhash_components(docs: DataFrame, *, radius: int = 4, words: int = 4, hot:
 
 
 def keep_first(docs: DataFrame, *, radius: int = 4, words: int = 4) -> DataFrame:
-    """The documents with the least id of each component. Of rows that share a doc_id, which has to be a key, one stays;
-    of a component without any doc_id, one row stays."""
+    """The documents with the least id of each component. Of rows that share a doc_id, which has to be a key, the one
+    with the least hash of its text stays; of a component without any doc_id, one row stays."""
     rows, named = _labelled(docs, radius, words, HOT)
-    keep = rows.join(named, "fp").where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    own, text_hash, key = common.unused(docs, "own_id", "text_hash", "row_key")
+    judged = rows.where("doc_id is not null").join(named, "fp").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id"))
+    judged = judged.withColumn("first", F.min("text_hash").over(Window.partitionBy("doc_id")))
+    judged = common.stored(judged.withColumn("stays", F.expr("doc_id = component_id and text_hash = first")).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), "n", "stays"), "judged")
+    out = docs.where("doc_id is not null").withColumns({own: F.col("doc_id").cast("long"), text_hash: F.xxhash64(common.utf8())})
+
+    def without(df: DataFrame, pairs: DataFrame) -> DataFrame:
+        few = pairs.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED
+        return df.join(F.broadcast(pairs) if few else pairs, [own, text_hash], "left_anti")
+
+    again = judged.where("stays and n > 1").select(own, text_hash)
+    repeated = again.limit(1).count() > 0
+    kept = without(out, judged.where("not stays or n > 1" if repeated else "not stays").select(own, text_hash))
+    if repeated:
+        kept = kept.unionByName(out.join(again, [own, text_hash], "left_semi").dropDuplicates([own, text_hash]))
+    kept = kept.select(*docs.columns)
     loose = docs.where("doc_id is null")
     if not loose.limit(1).count():
-        return out
-    (key,) = common.unused(docs, "row_key")
+        return kept
     loose = common.stored(loose.withColumn(key, F.monotonically_increasing_id()), "loose")
-    own = fingerprints(loose.select(F.col(key).alias("doc_id"), "text"), words).join(named.where("component_id is null"), "fp")
-    first = own.groupBy("label").agg(F.min("doc_id").alias(key)).select(key)
-    return out.unionByName(loose.join(first, key, "left_semi").select(*docs.columns))
+    mine = fingerprints(loose.select(F.col(key).alias("doc_id"), "text"), words).join(named.where("component_id is null"), "fp")
+    first = mine.groupBy("label").agg(F.min("doc_id").alias(key)).select(key)
+    return kept.unionByName(loose.join(first, key, "left_semi").select(*docs.columns))

@@ -75,6 +75,33 @@ def test_gray_index_finds_all_links():
     assert sorted(groups.values()) == sorted(Counter(c for (_, _, c) in got.elements()).values())
 
 
+def test_links_split_again_and_again(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(3) << rng.integers(0, 60, 30, dtype=np.uint64)) for _ in range(4))]))
+    prints = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    edges = simhash_dedup.links(prints, 4, hot=2, large=3)
+    got = {(r["a"], r["label"]) for r in simhash_dedup.components(edges).collect()}
+    least = {}
+    for f, _, c in plain_components([(i, f"{f:016x}") for i, f in enumerate(fps.tolist())]):
+        least.setdefault(c, []).append(int(fps[f].view(np.int64)))
+    assert got == {(f, min(g)) for g in least.values() if len(g) > 1 for f in g}
+
+
+def test_one_ball_of_fingerprints_takes_little_memory():
+    import resource
+
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    pairs = (bits[:, None] ^ bits[None, :]).ravel()
+    fps = np.unique((pairs[:, None] ^ bits[None, :]).ravel())  # all within three bits of zero
+    fps = np.unique(np.concatenate([fps, fps[:9000] ^ np.uint64(0xF0F0F0)]))
+    assert len(fps) > 45_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    a, b = simhash_dedup.forest(fps, 4)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+    assert len(b) == len(np.unique(b)) == len(fps) - 2  # the ball, and the moved part of it, six bits away or more
+
+
 def test_simhash_keep_first_and_empty(spark):
     docs = documents(spark)
     kept = simhash_dedup.keep_first(docs)
@@ -85,6 +112,14 @@ def test_simhash_keep_first_and_empty(spark):
     assert simhash_dedup.simhash_components(empty(spark)).count() == 0
 
 
+def test_keep_first_of_rows_that_share_an_id(spark):
+    rows = [(1, "one two three four five"), (1, "six seven eight nine ten"), (2, "one two three four five"), (3, "other words are in here"), (3, "other words are in here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, own_id string, text_hash string, n int")
+    first = {tuple(r) for n in (1, 5) for r in simhash_dedup.keep_first(docs.repartition(n)).select("doc_id", "text").collect()}
+    assert len(first) == 2 and {i for i, _ in first} == {1, 3}
+    assert simhash_dedup.keep_first(docs).count() == 2
+
+
 def test_word_encoder_equals_the_library():
     w = tokens.WordEncoder(tokens.default_path())
     odd = ["ÀB ﬁ É x's İ Σας A.B,c's <|endoftext|> foo<|endoftext|>bar \x1c z", "don't it's  'S", "A<|ENDOFTEXT|>B C", "ß,,.'x", "日本語 ½ 12a", "a'll,b K ſ", ""]
