@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as tx
 
@@ -75,12 +79,25 @@ def truncated_sentences(text: Column, most: int = 25) -> Column:
 def repeated_gram_ratio(docs: DataFrame, key: str, size: int = 8) -> DataFrame:
     """Share of words in runs of ``size`` words that a document has twice; 0 for documents of fewer than twice the size.
 
-    Runs become (key, hash) rows; a run's positions are combined before the shuffle.
+    A document's runs are compared within its row, by hashes of its words: nothing is shuffled.
     """
-    rows = docs.select(key, tx.words(F.lower("text")).alias("_w")).where(F.size("_w") >= 2 * size)
-    spots = rows.select(key, "_w", F.size("_w").alias("_n"), F.explode(F.sequence(F.lit(0), F.size("_w") - size)).alias("_i"))
-    runs = spots.select(key, "_n", "_i", F.xxhash64(*[F.get("_w", F.col("_i") + k) for k in range(size)]).alias("_g"))  # in generated code
-    twice = runs.groupBy(key, "_n", "_g").agg(F.collect_list("_i").alias("_at")).where(F.size("_at") > 1)
-    covered = twice.select(key, "_n", F.explode("_at").alias("_i")).select(key, "_n", F.explode(F.expr(f"sequence(_i, _i + {size - 1})")).alias("_p")).distinct()
-    ratio = covered.groupBy(key, "_n").agg(F.count("*").alias("_c")).select(key, F.round(F.col("_c").cast("double") / F.col("_n"), 6).alias("ratio"))
-    return docs.select(key).join(ratio, key, "left").select(key, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    factors = np.random.default_rng(size).integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for words in batch.column("_words"):
+                h = np.asarray(words.values, np.int64).view(np.uint64) if words.is_valid else np.empty(0, np.uint64)
+                covered = np.zeros(len(h) + 1, np.int64)
+                if len(h) >= 2 * size:
+                    runs = sum(h[i : len(h) - size + 1 + i] * f for i, f in enumerate(factors))
+                    _, own, times = np.unique(runs ^ (runs >> np.uint64(31)), return_inverse=True, return_counts=True)
+                    twice = np.flatnonzero(times[own] > 1)
+                    np.add.at(covered, twice, 1)
+                    np.add.at(covered, twice + size, -1)
+                out.append(round(float((np.cumsum(covered[:-1]) > 0).sum()) / max(1, len(h)), 6))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.float64())], [key, "ratio"])
+
+    hashed = F.transform(tx.words(F.lower("text")), lambda w: F.xxhash64(w)).alias("_words")
+    rows = docs.select(key, hashed)
+    return rows.mapInArrow(ratios, T.StructType([rows.schema[key], T.StructField("ratio", T.DoubleType())]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,37 @@ def first_ranks(ranked: DataFrame, expected: DataFrame, keys: list[str]) -> Data
     return every.join(hits, ["case_id", "stage"], "left")
 
 
+def labelled_hits(ranked: DataFrame, chunks: DataFrame, labels: list[str]) -> DataFrame:
+    """The ranked rows (case_id, stage, chunk_id, rank) whose chunk is another with the labels of the case's own. Only
+    ranked rows are looked at, never the pairs of a label's members."""
+    own = chunks.select(F.col("chunk_id").alias("case_id"), *[F.col(c).alias(f"_{c}") for c in labels])
+    same = [F.col(c) == F.col(f"_{c}") for c in labels]
+    rows = ranked.join(own, "case_id").join(chunks.select("chunk_id", *labels), "chunk_id")
+    return rows.where(reduce(lambda a, b: a & b, same, F.col("case_id") != F.col("chunk_id"))).select("case_id", "stage", "chunk_id", "rank")
+
+
+def labelled_cases(cases: DataFrame, chunks: DataFrame, labels: list[str]) -> DataFrame:
+    """case_id and how many other chunks have the case's labels, for cases with one at least."""
+    sizes = chunks.groupBy(*labels).agg((F.count("*") - 1).alias("expected"))
+    return cases.join(sizes, labels).where("expected > 0").select("case_id", "expected")
+
+
+def labelled_first_ranks(ranked: DataFrame, cases: DataFrame, chunks: DataFrame, labels: list[str]) -> DataFrame:
+    """Per case and stage the rank of the first hit; null where none came up. cases: case_id and the labels."""
+    hits = labelled_hits(ranked, chunks, labels).groupBy("case_id", "stage").agg(F.min("rank").alias("first"))
+    names = sorted(r["stage"] for r in ranked.select("stage").distinct().collect())  # a handful of names
+    every = labelled_cases(cases, chunks, labels).select("case_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("stage"))
+    return every.join(hits, ["case_id", "stage"], "left")
+
+
+def labelled_recall(ranked: DataFrame, cases: DataFrame, chunks: DataFrame, labels: list[str], ks: list[int]) -> DataFrame:
+    """Share of each case's labelled chunks within rank k of one stage."""
+    first = labelled_hits(ranked, chunks, labels).groupBy("case_id", "chunk_id").agg(F.min("rank").alias("rank"))
+    found = first.groupBy("case_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"_{k}") for k in ks])
+    rows = labelled_cases(cases, chunks, labels).join(found, "case_id", "left")
+    return rows.select("case_id", *[F.round(F.coalesce(F.col(f"_{k}"), F.lit(0)) / F.col("expected"), 6).alias(f"recall_at_{k}") for k in ks])
+
+
 def stage_summary(firsts: DataFrame) -> DataFrame:
     """Recall at 5 and 10, mean reciprocal rank and cases, over all cases."""
     within = lambda k: F.round(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("int")), 6)

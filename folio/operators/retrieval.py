@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..session import sound
 
-#: Queries that are sent to the executors at once, as one matrix.
-BLOCK = 2048
+#: Queries in one block, and vectors in one pack that is compared with it.
+BLOCK, PACK = 2048, 4096
+#: Up to so many blocks are broadcast, and the vectors stay where they are; more are joined by a shuffle.
+BROADCAST_BLOCKS = 16
 
 
 def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -24,53 +26,64 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The k most similar chunks per query by cosine: query_id, chunk_id, score and rank; ties by chunk_id.
 
-    queries has query_id and embedding, chunks chunk_id and embedding. Queries go out in blocks of ``BLOCK``, so what a
-    task holds is bounded; every task keeps the k best of each query among its own chunks, and Spark ranks those.
+    queries has query_id and embedding, chunks chunk_id and embedding. Queries are packed into blocks of about ``BLOCK``
+    and vectors into packs of ``PACK``, all of it in Spark: a row of the join is a block and a pack, a task keeps the k
+    best of each query among the packs that it meets, and Spark ranks those.
     """
-    numbered = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    blocks: list[tuple[np.ndarray, np.ndarray]] = []
-    out = None
-    ids, rows = [], []
-
-    def close() -> None:
-        m = np.array(rows, np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        blocks.append((np.array(ids, np.int64), m))
-        ids.clear()
-        rows.clear()
-
-    for r in numbered.toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["embedding"])
-        if len(ids) == BLOCK:
-            close()
-    if ids:
-        close()
-    for qid, q in blocks:
-        sent = chunks.sparkSession.sparkContext.broadcast((qid, q))
-        part = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").mapInArrow(lambda b, sent=sent: _block_top(b, sent.value, k, digits), "query_id long, chunk_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank long")
-    return _ranked(out, k, F.desc("score"), "chunk_id")
-
-
-def _block_top(batches: Iterator[pa.RecordBatch], block: tuple[np.ndarray, np.ndarray], k: int, digits: int) -> Iterator[pa.RecordBatch]:
-    qid, q = block
-    best_s = np.full((len(qid), 0), 0.0)
-    best_c = np.zeros((len(qid), 0), np.int64)
+    sound(chunks.sparkSession)
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    n = max(1, -(-asked.count() // BLOCK))
+    numbered = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"), F.struct("query_id", "embedding").alias("q"))
+    blocks = numbered.groupBy("block").agg(F.collect_list("q").alias("qs")).select("block", F.col("qs.query_id").alias("query_id"), F.flatten("qs.embedding").alias("q"))
+    there = chunks.where(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    packs = there.mapInArrow(_packed, "chunk_id array<long>, x array<double>").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    both = packs.join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, "block")
+    found = both.select("block", "query_id", "q", "chunk_id", "x").mapInArrow(lambda b: _block_top(b, k, digits), "query_id long, chunk_id long, score double")
+    return _ranked(found, k, F.desc("score"), "chunk_id")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as rows of up to ``PACK``: their ids, and their components one after another."""
     for batch in batches:
-        lists = batch.column("embedding")
-        dim = q.shape[1]
-        x = np.asarray(lists.flatten(), np.float64).reshape(-1, dim)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-        s = np.round(q @ x.T, digits) + 0.0
-        c = np.broadcast_to(batch.column("chunk_id").to_numpy(zero_copy_only=False), s.shape)
-        s, c = np.concatenate([best_s, s], axis=1), np.concatenate([best_c, c], axis=1)
-        order = np.lexsort((c, -s), axis=1)[:, :k]
-        best_s, best_c = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
-    if best_s.size:
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_s.shape[1])), pa.array(best_c.ravel()), pa.array(best_s.ravel())], ["query_id", "chunk_id", "score"])
+        for at in range(0, batch.num_rows, PACK):
+            part = batch.slice(at, PACK)
+            lists = [pa.array([part.column("chunk_id").to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), pa.array([part.column("embedding").flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(lists, ["chunk_id", "x"])
+
+
+def _unit(rows: pa.ListScalar, n: int) -> np.ndarray:
+    x = np.asarray(rows.values, np.float64).reshape(n, -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def _block_top(batches: Iterator[pa.RecordBatch], k: int, digits: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, tuple] = {}  # by block: query ids, vectors, best scores and chunks
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = batch.column("block")[i].as_py()
+            if block not in held:
+                ids = np.asarray(batch.column("query_id")[i].values)
+                held[block] = ids, _unit(batch.column("q")[i], len(ids)), np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+            ids, q, best_s, best_c = held[block]
+            own = np.asarray(batch.column("chunk_id")[i].values)
+            s = np.round(q @ _unit(batch.column("x")[i], len(own)).T, digits) + 0.0
+            s, c = np.concatenate([best_s, s], axis=1), np.concatenate([best_c, np.broadcast_to(own, s.shape)], axis=1)
+            if s.shape[1] > k:
+                best = _best(s, c, k)
+                s, c = np.take_along_axis(s, best, 1), np.take_along_axis(c, best, 1)
+            held[block] = ids, q, s, c
+    for ids, _, s, c in held.values():
+        order = np.lexsort((c, -s), axis=1)
+        s, c = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, s.shape[1])), pa.array(c.ravel()), pa.array(s.ravel())], ["query_id", "chunk_id", "score"])
+
+
+def _best(s: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k best: only those at or above its k-th score are put in order."""
+    row, col = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((c[row, col], -s[row, col], row))
+    row, col = row[order], col[order]
+    return col[np.arange(len(row)) - np.searchsorted(row, row) < k].reshape(len(s), k)
 
 
 def postings(chunks: DataFrame, terms: Column) -> DataFrame:
@@ -78,17 +91,19 @@ def postings(chunks: DataFrame, terms: Column) -> DataFrame:
     return chunks.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
+def _matched(posts: DataFrame, query_terms: DataFrame, salts: int) -> DataFrame:
+    if salts == 1:
+        return posts.join(query_terms, "term")
+    posts = posts.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    return posts.join(query_terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["term", "_salt"])
+
+
 def lexical(query_terms: DataFrame, posts: DataFrame, k: int, salts: int = 1) -> DataFrame:
     """The k best chunks per query: 0.1 for each matching position; ties by chunk_id.
 
     With ``salts``, the postings of each term are dealt out over so many keys, and the query terms go to all of them.
     """
-    on = ["term"]
-    if salts > 1:
-        on = ["term", "_salt"]
-        posts = posts.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-        query_terms = query_terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = posts.join(query_terms, on).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("matches"))
+    hits = _matched(posts, query_terms, salts).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("matches"))
     hits = hits.select("query_id", "chunk_id", F.round(F.col("matches") * F.lit(0.1), 6).alias("score"))
     return _ranked(hits, k, F.desc("score"), "chunk_id")
 
@@ -206,7 +221,7 @@ def safeguarded(rows: DataFrame) -> DataFrame:
 
 def matching(query_terms: DataFrame, posts: DataFrame) -> DataFrame:
     """(query_id, chunk_id) where any term of the query occurs."""
-    return posts.join(query_terms, "term").select("query_id", "chunk_id").distinct()
+    return _matched(posts, query_terms, 16).select("query_id", "chunk_id").distinct()
 
 
 def best_scored(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:

@@ -20,25 +20,31 @@ def ranked(t):
     return part(v, "vector").unionByName(part(x, "lexical")).unionByName(part(r.retrieval.fuse([(v, 1.0), (x, 1.0)], r.VECTOR_K), "fused"))
 
 
-def expected(t):
-    q = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("case_id"), "source", "lang")
-    return q.join(t.documents.select(F.col("doc_id").alias("chunk_id"), "source", "lang"), ["source", "lang"]).where("case_id <> chunk_id").select("case_id", "chunk_id")
+LABELS = ["source", "lang"]
+
+
+def chunks(t):
+    return t.documents.select(F.col("doc_id").alias("chunk_id"), *LABELS)
+
+
+def cases(t):
+    return t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("case_id"), *LABELS)
 
 
 @query("a14_stage_summary", f"""{RANKED_SQL}, c AS (SELECT DISTINCT case_id FROM ex), e AS (SELECT case_id, stage FROM c, (SELECT DISTINCT stage FROM rk)), h AS (SELECT case_id, stage, min(rank) AS f FROM rk JOIN ex USING (case_id, chunk_id) GROUP BY ALL)
 SELECT stage, round(avg(coalesce(f <= 5, false)::INT), 6) AS recall_at_5, round(avg(coalesce(f <= 10, false)::INT), 6) AS recall_at_10, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS mrr, count(f) AS found, count(*) AS cases FROM e LEFT JOIN h USING (case_id, stage) GROUP BY 1""")
 def a14(t):
-    return evaluate.stage_summary(evaluate.first_ranks(ranked(t), expected(t), ["chunk_id"]))
+    return evaluate.stage_summary(evaluate.labelled_first_ranks(ranked(t), cases(t), chunks(t), LABELS))
 
 
 @query("a15_recall_at_k", f"{RANKED_SQL}, s AS (SELECT case_id, chunk_id, min(rank) AS rank FROM rk WHERE stage = 'fused' GROUP BY ALL) SELECT case_id, round(avg(coalesce(rank <= 5, false)::INT), 6) AS recall_at_5, round(avg(coalesce(rank <= 20, false)::INT), 6) AS recall_at_20 FROM ex LEFT JOIN s USING (case_id, chunk_id) GROUP BY 1")
 def a15(t):
-    return evaluate.recall_at(ranked(t).where("stage = 'fused'"), expected(t), ["chunk_id"], [5, 20])
+    return evaluate.labelled_recall(ranked(t).where("stage = 'fused'"), cases(t), chunks(t), LABELS, [5, 20])
 
 
 @query("a16_reciprocal_rank", f"{RANKED_SQL} SELECT case_id, stage, round(1.0::DOUBLE / min(rank), 6) AS rr FROM rk JOIN ex USING (case_id, chunk_id) GROUP BY ALL")
 def a16(t):
-    firsts = evaluate.first_ranks(ranked(t), expected(t), ["chunk_id"]).where(F.col("first").isNotNull())
+    firsts = evaluate.labelled_first_ranks(ranked(t), cases(t), chunks(t), LABELS).where(F.col("first").isNotNull())
     return firsts.select("case_id", "stage", F.round(F.lit(1.0) / F.col("first"), 6).alias("rr"))
 
 

@@ -147,9 +147,9 @@ def u5(t):
     return answered(t).select("conv_id", "turn", F.array_join(F.sort_array(F.array_intersect("qt", "at")), " ").alias("matched"))
 
 
-@query("u7_subset", f"{PAIR_SQL} SELECT conv_id, turn, len(list_filter(qt[1:2], lambda x: NOT list_contains(aa, x))) = 0 AS covered, list_sort(list_distinct(qt)) = list_sort(list_distinct(aa)) AS same FROM p")
+@query("u7_subset", f"{PAIR_SQL} SELECT conv_id, turn, len(list_filter(qt, lambda x: NOT list_contains(aa, x))) = 0 AS covered, list_sort(list_distinct(qt)) = list_sort(list_distinct(aa)) AS same FROM p")
 def u7(t):
-    covered = F.size(F.array_except(F.slice("qt", 1, 2), "at")) == 0
+    covered = F.size(F.array_except("qt", "at")) == 0
     return answered(t).select("conv_id", "turn", covered.alias("covered"), (F.sort_array(F.array_distinct("qt")) == F.sort_array(F.array_distinct("at"))).alias("same"))
 
 

@@ -11,26 +11,19 @@ from ..registry import Tables, query
 
 K, VECTOR_K = 10, 20
 TR = f"translate(text, '{text.ACCENTED}', '{text.PLAIN}')"
-#: All terms of five letters or digits and more, with repeats; and the first eight distinct ones of a query.
+#: All terms of five letters or digits and more, with repeats, are postings; the distinct ones of a query are looked up.
 VECTOR_SQL = f"""v AS (SELECT vec_id AS chunk_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 vs AS (SELECT q.chunk_id AS query_id, c.chunk_id, c.label, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q, v c WHERE q.chunk_id % 50 = 0),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs QUALIFY rank <= {VECTOR_K})"""
 LEX_SQL = f"""tk AS (SELECT doc_id, regexp_extract_all(lower({TR}), '[a-z0-9]{{5,}}') AS ts FROM documents),
-qt AS (SELECT doc_id AS query_id, unnest(list_slice(list_transform(list_filter(list_zip(ts, range(1, len(ts) + 1)), lambda x: list_position(ts, x[1]) = x[2]), lambda x: x[1]), 1, 8)) AS term FROM tk WHERE doc_id % 50 = 0),
 po AS (SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) GROUP BY ALL),
+qt AS (SELECT chunk_id AS query_id, term FROM po WHERE chunk_id % 50 = 0),
 lm AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM po JOIN qt USING (term) GROUP BY ALL),
 lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lm QUALIFY rank <= {VECTOR_K})"""
 _FUSE_TAIL = f"""pr AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM vr UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM lr),
 fs AS (SELECT query_id, chunk_id, round(sum(part), 9) AS rrf_score FROM pr GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM fs QUALIFY rank <= {VECTOR_K})"""
 FUSE_SQL = f"{VECTOR_SQL}, {LEX_SQL},\n{_FUSE_TAIL}"
-#: The same lists for all distinct terms of a query.
-WHOLE_LEX_SQL = f"""tk AS (SELECT doc_id, regexp_extract_all(lower({TR}), '[a-z0-9]{{5,}}') AS ts FROM documents),
-po AS (SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) GROUP BY ALL),
-qt AS (SELECT chunk_id AS query_id, term FROM po WHERE chunk_id % 50 = 0),
-lm AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM po JOIN qt USING (term) GROUP BY ALL),
-lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lm QUALIFY rank <= {VECTOR_K})"""
-WHOLE_FUSE_SQL = f"{VECTOR_SQL}, {WHOLE_LEX_SQL},\n{_FUSE_TAIL}"
 
 
 def vectors(t: Tables, k: int = VECTOR_K) -> DataFrame:
@@ -44,20 +37,13 @@ def chunk_terms():
 
 
 def query_terms(t: Tables) -> DataFrame:
-    asked = t.documents.where("doc_id % 50 = 0")
-    return asked.select(F.col("doc_id").alias("query_id"), F.explode(F.slice(F.array_distinct(chunk_terms()), 1, 8)).alias("term"))
+    """All distinct terms of each query's text."""
+    return t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(chunk_terms())).alias("term"))
 
 
 def lexical(t: Tables, k: int = VECTOR_K) -> DataFrame:
     chunks = t.documents.withColumnRenamed("doc_id", "chunk_id")
-    return retrieval.lexical(query_terms(t), retrieval.postings(chunks, chunk_terms()), k)
-
-
-def whole_lexical(t: Tables, k: int = VECTOR_K) -> DataFrame:
-    """Ranked by all distinct terms of each query's text."""
-    chunks = t.documents.withColumnRenamed("doc_id", "chunk_id")
-    asked = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(chunk_terms())).alias("term"))
-    return retrieval.lexical(asked, retrieval.postings(chunks, chunk_terms()), k, salts=16)
+    return retrieval.lexical(query_terms(t), retrieval.postings(chunks, chunk_terms()), k, salts=16)
 
 
 def fused(t: Tables) -> DataFrame:
@@ -83,7 +69,7 @@ _SCORED_TAIL = """sc AS (SELECT f.query_id, f.chunk_id, d.source AS document_id,
 SCORED_SQL = f"{FUSE_SQL},\n{_SCORED_TAIL}"
 
 
-def scored(t: Tables, lexical=lexical) -> DataFrame:
+def scored(t: Tables) -> DataFrame:
     rows = retrieval.fuse([(vectors(t), 1.0), (lexical(t), 1.0)], VECTOR_K, keep=["vector_score", "text_score"])
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("n_chars").alias("page"))
     return rows.join(docs, "chunk_id")
@@ -111,15 +97,15 @@ def c1(t):
     return _c1(scored(t))
 
 
-@query("c1_hybrid_retrieve_whole", f"WITH {WHOLE_FUSE_SQL},\n{_SCORED_TAIL},\n{_C1_TAIL}")
+@query("c1_hybrid_retrieve_whole", f"WITH {FUSE_SQL},\n{_SCORED_TAIL},\n{_C1_TAIL}")
 def c1_whole(t):
     """The flagship: the same by all distinct terms of each query's text."""
-    return _c1(scored(t, whole_lexical))
+    return _c1(scored(t))
 
 
-@query("k2_lexical_top_k_whole", f"WITH {WHOLE_LEX_SQL} SELECT query_id, chunk_id, score, rank FROM lr")
+@query("k2_lexical_top_k_whole", f"WITH {LEX_SQL} SELECT query_id, chunk_id, score, rank FROM lr")
 def k2_whole(t):
-    return whole_lexical(t).select("query_id", "chunk_id", "score", "rank")
+    return lexical(t).select("query_id", "chunk_id", "score", "rank")
 
 
 PROTECTED_SQL = f"""{SCORED_SQL},

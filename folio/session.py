@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Bytes in one Arrow batch.
+ARROW_BYTES = 64 << 20
+
 
 def sound(spark: SparkSession) -> SparkSession:
     """Keep a union from claiming its children's partitioning.
@@ -12,4 +15,6 @@ def sound(spark: SparkSession) -> SparkSession:
     end up in several partitions, and an aggregation after the union gives wrong groups.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # Long texts and packed vectors: a batch for a Python worker is bounded by its bytes as well as by its rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
