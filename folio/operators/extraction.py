@@ -49,9 +49,20 @@ CUES = {
 }
 #: Words of a question that say nothing about its subject.
 QUESTION_WORDS = "qui que quoi dans le la les de des du un une et en a au aux pour sur par avec quel quelle quelles quels est il elle pris charge partie projet programme".split()
-#: Labels of a team row and of a budget row.
-TEAM = r"Nom:\s*([^;\n]+);\s*Rôle:\s*([^;\n]+);\s*Entité:\s*([^;\n]+);\s*Charge:\s*([^;\n]+);\s*Période:\s*([^;\n]+)"
-BUDGET = r"Poste:\s*([^;\n]+);\s*Responsable\s*/\s*équipe:\s*([^;\n]*);\s*Jours:\s*([^;\n]+);\s*TJM moyen:\s*([^;\n]*);\s*Montant HT:\s*([^;\n]+)"
+#: Labels of a team row, whose charge and period may share one, and of a budget row. A row's last value
+#: ends with its line, or where the next row or a heading follows on the same line.
+TEAM_LABELS = [r"Nom:", r";\s*Rôle:", r";\s*Entité:", r";\s*Charge(?:\s*/\s*Période)?:", r"(?:;\s*Période:|[·;])"]
+BUDGET_LABELS = [r"Poste:", r";\s*Responsable\s*/\s*équipe:", r";\s*Jours:", r";\s*TJM moyen:", r";\s*Montant HT:"]
+
+
+def row_pattern(labels: list[str]) -> str:
+    """Labels, each with a value behind it that holds no separator."""
+    value = r"\s*([^;·\n]*)"
+    end = rf"\s*([^;\n]+?)(?=\s+{labels[0]}|\s+##|\s*[;\n]|\s*$)"
+    return "(?i)" + "".join(x + value for x in labels[:-1]) + labels[-1] + end
+
+
+TEAM, BUDGET = row_pattern(TEAM_LABELS), row_pattern(BUDGET_LABELS)
 #: What ends a project's name in a question.
 _ENDS = r"(?:,|\s+[?.!]|\s+(?:qui|que|quel|quelle|quels|quelles|comment|pourquoi|combien|où|quand|est|a|a-t-il|a-t-elle|ont|faut-il|peut-on|doit-on|devait|pouvait)\b)"
 

@@ -86,12 +86,6 @@ def a23(t):
     return t.events.agg(F.round(F.avg("value"), 6).alias("mean_ms"), F.round(F.median("value"), 6).alias("median_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95_ms"), F.max("value").alias("max_ms"))
 
 
-@query("a34_failure_causes", "SELECT CASE WHEN event_type = 'error' THEN 'request' WHEN value < 1 THEN 'protocol' WHEN value < 5 THEN 'provenance' WHEN props IS NULL THEN 'citation' WHEN value > 200 THEN 'style' ELSE 'none' END AS cause, count(*) AS n FROM events GROUP BY 1")
-def a34(t):
-    cause = F.when(F.col("event_type") == "error", "request").when(F.col("value") < 1, "protocol").when(F.col("value") < 5, "provenance").when(F.col("props").isNull(), "citation").when(F.col("value") > 200, "style").otherwise("none")
-    return t.events.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
-
-
 @query("a36_top_categories", "SELECT c_mktsegment AS category, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, category LIMIT 5")
 def a36(t):
     return t.customer.groupBy(F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(5)

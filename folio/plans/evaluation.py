@@ -16,7 +16,7 @@ ex AS (SELECT q.doc_id AS case_id, d.doc_id AS chunk_id FROM documents q JOIN do
 
 def ranked(t):
     part = lambda d, s: d.select(F.col("query_id").alias("case_id"), F.lit(s).alias("stage"), "chunk_id", "rank")
-    v, x = r.vectors(t), r.lexical(t)
+    v, x = r.vectors(t).persist(), r.lexical(t).persist()  # short lists, each read twice
     return part(v, "vector").unionByName(part(x, "lexical")).unionByName(part(r.retrieval.fuse([(v, 1.0), (x, 1.0)], r.VECTOR_K), "fused"))
 
 
@@ -66,12 +66,6 @@ def x56(t):
     return answers(t).select("conv_id", "turn", "term_recall", "missing_numbers", "correct")
 
 
-@query("a22_golden_accuracy", f"{ANSWERS_SQL} SELECT count(*) AS cases, round(avg(CASE WHEN conv_id % 5 <> 0 THEN (term_recall >= 0.05)::INT END), 6) AS positive_rate, round(avg(CASE WHEN conv_id % 5 = 0 THEN (term_recall < 0.05)::INT END), 6) AS abstention_rate FROM s")
-def a22(t):
-    ok, abstain = (F.col("term_recall") >= 0.05).cast("int"), F.col("conv_id") % 5 == 0
-    return answers(t).agg(F.count("*").alias("cases"), F.round(F.avg(F.when(~abstain, ok)), 6).alias("positive_rate"), F.round(F.avg(F.when(abstain, 1 - ok)), 6).alias("abstention_rate"))
-
-
 @query("a21_mission_summary", f"{ANSWERS_SQL} SELECT conv_id, count(*) AS questions, round(avg(term_recall), 6) AS completeness, max(missing_numbers) AS worst FROM s GROUP BY 1")
 def a21(t):
     return answers(t).groupBy("conv_id").agg(F.count("*").alias("questions"), F.round(F.avg("term_recall"), 6).alias("completeness"), F.max("missing_numbers").alias("worst"))
@@ -94,34 +88,3 @@ def st3(t):
 def st5(t):
     kinds = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "succeed").when(F.col("event_type") == "error", "fail").otherwise("cancel")
     return jobs.lifecycle(t.events.select(F.col("user_id").alias("job_id"), kinds.alias("event"), F.col("ts").cast("timestamp").alias("event_ts"), "event_id"))
-
-
-@query("a31_stability", "WITH s AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS distinct_answers, round(avg((o_orderstatus = 'F')::INT), 6) AS success_rate, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') AS answers FROM orders GROUP BY 1) SELECT * FROM s")
-def a31(t):
-    answers_ = F.collect_set("o_orderstatus")
-    return t.orders.groupBy("o_custkey").agg(F.size(answers_).cast("bigint").alias("distinct_answers"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("success_rate"), F.array_join(F.sort_array(answers_), ",").alias("answers"))
-
-
-@query("a33_brief_rubric", "SELECT p_partkey, greatest(0, least(100, (p_size / 50.0::DOUBLE) * 40 + (p_retailprice > 950)::INT * 30 + (p_type = 'SMALL')::INT * 30 - (p_brand = 'Brand#3')::INT * 50)) AS score FROM part")
-def a33(t):
-    raw = F.col("p_size") / F.lit(50.0) * 40 + (F.col("p_retailprice") > 950).cast("int") * 30 + (F.col("p_type") == "SMALL").cast("int") * 30 - (F.col("p_brand") == "Brand#3").cast("int") * 50
-    return t.part.select("p_partkey", F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)).alias("score"))
-
-
-@query("a27_confidence", "SELECT l_orderkey, CASE WHEN max((l_discount > 0.09)::INT) = 1 THEN 0 ELSE round(avg(greatest(0, least(1, l_quantity / 40))), 6) END::DOUBLE AS confidence FROM lineitem GROUP BY 1")
-def a27(t):
-    mean = F.round(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("l_quantity") / 40))), 6)
-    return t.lineitem.groupBy("l_orderkey").agg(F.when(F.bool_or(F.col("l_discount") > 0.09), F.lit(0.0)).otherwise(mean).alias("confidence"))
-
-
-@query("a30_draft_score", "SELECT l_orderkey, round(greatest(0, 1 - (max(l_tax) > 0.07)::INT * 0.5::DOUBLE - 0.1::DOUBLE * sum((l_returnflag = 'R')::INT) - 0.05::DOUBLE * sum((l_returnflag = 'A')::INT)), 6) AS score FROM lineitem GROUP BY 1")
-def a30(t):
-    hard, soft = F.count_if(F.col("l_returnflag") == "R"), F.count_if(F.col("l_returnflag") == "A")
-    raw = F.lit(1.0) - F.when(F.max("l_tax") > 0.07, 0.5).otherwise(0.0) - 0.1 * hard - 0.05 * soft
-    return t.lineitem.groupBy("l_orderkey").agg(F.round(F.greatest(F.lit(0.0), raw), 6).alias("score"))
-
-
-@query("a26_diagnostics", "SELECT CASE WHEN value > 100 THEN 'too_long' WHEN value < 2 THEN 'too_short' WHEN event_type = 'error' THEN 'invalid_citation' END AS diagnostic, count(*) AS n FROM events WHERE value > 100 OR value < 2 OR event_type = 'error' GROUP BY 1")
-def a26(t):
-    d = F.when(F.col("value") > 100, "too_long").when(F.col("value") < 2, "too_short").when(F.col("event_type") == "error", "invalid_citation")
-    return t.events.select(d.alias("diagnostic")).where("diagnostic is not null").groupBy("diagnostic").agg(F.count("*").alias("n"))

@@ -51,12 +51,6 @@ def p12(t):
     return rows.withColumn("n", F.row_number().over(at).cast("bigint")).where("n <= 4").select("query_id", "chunk_id", "n")
 
 
-@query("p14_intent_pages", "WITH c(kind, page) AS (VALUES ('error', 0), ('error', 2), ('view', 1)) SELECT event_id, event_type, user_id % 3 AS page FROM events JOIN c ON c.kind = event_type AND c.page = user_id % 3")
-def p14(t):
-    config = t.spark.sql("SELECT * FROM VALUES ('error', 0L), ('error', 2L), ('view', 1L) AS c(event_type, page)")
-    return t.events.withColumn("page", F.col("user_id") % 3).join(F.broadcast(config), ["event_type", "page"], "left_semi").select("event_id", "event_type", "page")
-
-
 @query("p24_topical_evidence", f"WITH c AS (SELECT doc_id, source, {FOLD} AS f FROM documents), h AS (SELECT *, contains(f, 'reti')::INT + contains(f, 'heiten')::INT + contains(f, 'mentre')::INT AS hits FROM c) SELECT source, doc_id, hits::BIGINT AS hits FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY hits DESC, doc_id) = 1")
 def p24(t):
     folded = text.fold(F.col("text"))
@@ -99,14 +93,6 @@ def j20(t):
     return cited.join(t.documents.select(F.col("doc_id").alias("ref"), "doc_id"), "ref").select("page_id", "ref", "doc_id")
 
 
-@query("j24_identity_sentence", "WITH a AS (SELECT conv_id, turn, split_part(text, ' ', 1) AS anchor FROM conversations WHERE role = 'user') SELECT a.conv_id, a.turn, max(length(b.text))::BIGINT AS best FROM a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn <> a.turn AND contains(lower(b.text), lower(a.anchor)) GROUP BY ALL")
-def j24(t):
-    a = t.conversations.where("role = 'user'").select("conv_id", "turn", F.split("text", " ")[0].alias("anchor"))
-    b = t.conversations.select("conv_id", F.col("turn").alias("other"), "text")
-    both = a.join(b, "conv_id").where((F.col("other") != F.col("turn")) & F.contains(F.lower("text"), F.lower("anchor")))
-    return both.groupBy("conv_id", "turn").agg(F.max(F.length("text")).cast("bigint").alias("best"))
-
-
 @query("w2_branch_ranks", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS rank FROM events")
 def w2(t):
     at = Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")
@@ -158,12 +144,6 @@ def k5(t):
     return t.orders.select("o_orderkey", F.least(F.greatest((F.col("o_orderkey") % 30).cast("int"), F.lit(10)), F.lit(15)).alias("k"))
 
 
-@query("x5_named_terms", f"SELECT doc_id, contains({FOLD}, 'tion') AND contains({FOLD}, 'er') AS named FROM documents")
-def x5(t):
-    where = text.fold(F.col("text"))
-    return t.documents.select("doc_id", F.forall(F.array(F.lit("tion"), F.lit("er")), lambda w: F.contains(where, w)).alias("named"))
-
-
 @query("x6_expanded_query", f"SELECT conv_id, turn, text || CASE WHEN contains({FOLD}, 'que') THEN ' question demande' ELSE '' END || CASE WHEN contains({FOLD}, 'the') THEN ' article text' ELSE '' END AS expanded FROM conversations WHERE role = 'user'")
 def x6(t):
     from ..operators import extraction
@@ -177,24 +157,11 @@ def x22(t):
     return t.pages.select("page_id", text.answer_mode(F.col("html")).alias("mode"))
 
 
-@query("x24_specificity", f"SELECT doc_id, (contains({FOLD}, 'reti')::INT + contains({FOLD}, 'mentre')::INT)::BIGINT AS hits, -length(text) AS size FROM documents")
-def x24(t):
-    folded = text.fold(F.col("text"))
-    hits = (F.contains(folded, F.lit("reti")).cast("int") + F.contains(folded, F.lit("mentre")).cast("int")).cast("bigint")
-    return t.documents.select("doc_id", hits.alias("hits"), (-F.length("text")).cast("bigint").alias("size"))
-
-
 @query("x28_significant_terms", f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all({FOLD}, '[a-z0-9]{{4,}}'), lambda x: NOT list_contains({STOP}, x))))::BIGINT AS n FROM documents")
 def x28(t):
     return t.documents.select("doc_id", F.size(text.terms(F.col("text"), 4)).cast("bigint").alias("n"))
 
 
-@query("x41_topic_buckets", r"WITH s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS s FROM documents) SELECT doc_id, sum(contains(lower(s), 'tion')::INT)::BIGINT AS a, sum((contains(lower(s), 'ung') OR contains(lower(s), 'heit'))::INT)::BIGINT AS b FROM s GROUP BY 1")
-def x41(t):
-    rows = t.documents.select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s")).withColumn("l", F.lower("s"))
-    return rows.groupBy("doc_id").agg(F.count_if(F.contains("l", F.lit("tion"))).alias("a"), F.count_if(F.contains("l", F.lit("ung")) | F.contains("l", F.lit("heit"))).alias("b"))
-
-
 @query("x53_renumbered", r"SELECT conv_id, turn, '[9] ' || replace(replace(text, '[', '('), ']', ')') || ' ' AS text FROM conversations")
 def x53(t):
     """Marks [1] and [7] before and after each turn, of which only the first has a new number."""
@@ -203,12 +170,6 @@ def x53(t):
     return t.conversations.select("conv_id", "turn", text.renumbered(marked, F.create_map(F.lit(1), F.lit(9))).alias("text"))
 
 
-@query("x58_grounded_flag", "SELECT l_orderkey, bool_and(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity > 10 ELSE l_discount = 0 OR l_tax > 0 END) AS grounded FROM lineitem GROUP BY 1")
-def x58(t):
-    ok = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") > 10).otherwise((F.col("l_discount") == 0) | (F.col("l_tax") > 0))
-    return t.lineitem.groupBy("l_orderkey").agg(F.bool_and(ok).alias("grounded"))
-
-
 @query("x65_pages", r"SELECT o_orderkey, array_to_string(regexp_extract_all('p. ' || (o_orderkey % 50) || ', ' || (o_custkey % 9), '[0-9]+'), ',') AS pages FROM orders")
 def x65(t):
     said = F.format_string("réponse — p. %d, %d", F.col("o_orderkey") % 50, F.col("o_custkey") % 9)
@@ -228,12 +189,6 @@ def x13(t):
     return t.embeddings.select("vec_id", F.round(scores.source_similarity(vector, F.col("embedding")[1].cast("double")), 6).alias("s"))
 
 
-@query("u8_marker_card_sets", "SELECT o_custkey, count(DISTINCT o_orderkey) = count(*) AS unique_cards, list_sort(list_distinct(list(o_orderstatus))) = ['F', 'O', 'P'] AS same FROM orders GROUP BY 1")
-def u8(t):
-    want = F.array(F.lit("F"), F.lit("O"), F.lit("P"))
-    return t.orders.groupBy("o_custkey").agg((F.countDistinct("o_orderkey") == F.count("*")).alias("unique_cards"), (F.sort_array(F.collect_set("o_orderstatus")) == want).alias("same"))
-
-
 @query("f2_overlap_rerank", f"WITH k AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all({FOLD}, '[a-z0-9]{{3,}}'), lambda x: NOT list_contains({STOP}, x))) AS ts FROM conversations) SELECT q.conv_id, q.turn, round(coalesce(len(list_intersect(q.ts, a.ts))::DOUBLE / nullif(len(q.ts), 0), 0), 6) AS score FROM k q JOIN k a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user'")
 def f2(t):
     a = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("passage"))

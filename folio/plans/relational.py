@@ -78,22 +78,12 @@ def p4(t):
     return rows.select("c_custkey")
 
 
-@query("p8_all_terms", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'ring')")
-def p8(t):
-    return t.part.where(F.forall(F.array(F.lit("red"), F.lit("ring")), lambda x: F.contains(F.lower("p_name"), x))).select("p_partkey")
-
-
 @query("p9_exactly_one", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(*) = 1")
 def p9(t):
     rows = t.orders.where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("o_orderkey"))
     return rows.where("n = 1").select("o_custkey", "o_orderkey")
 
 
-@query("p13_section_patterns", r"SELECT page_id FROM pages WHERE regexp_matches(lower(html), 'cookie|copyright|all rights|privacy|menu')")
-def p13(t):
-    return t.pages.where(F.lower("html").rlike("cookie|copyright|all rights|privacy|menu")).select("page_id")
-
-
 @query("p20_owner_or_admin", "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0 OR c_nationkey = 3")
 def p20(t):
     c = t.customer.where("c_acctbal < 0 or c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
