@@ -127,6 +127,11 @@ def test_quote_ranges():
     assert "données des années précédantes restent consultables" in typo[a:b]
     assert grounding.quote_range("Il y a 12 agents ici et ailleurs.", "Il y a 13 agents ici et ailleurs.") is None
     assert grounding.quote_range("abc", "") is None is grounding.quote_range(None, "x")
+    long = "Une phrase avant. " * 300 + "Le socle retenu combine un portail unique, une base partagée et des flux signés. " + "Une phrase après. " * 300
+    a, b = grounding.quote_range(long, "le socle retenu combine un portail unique, une base commune et des flux signés")
+    assert long[a:b].strip() == "Le socle retenu combine un portail unique, une base partagée et des flux signés."
+    assert grounding.quote_range(long, "le socle retenu remplace douze outils par une base commune et des flux lents") is None
+    assert grounding.quote_range(long, "portail unique retenu signés flux des base une combine socle") is None
     assert grounding.quote_range("La clause complète tient, sans fin", "la clause complète tient.") == (0, 24)
 
 
