@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder in the shared one that ``spark.checkpoint.dir`` names.
 
-    Where that is unset, as in tests, the warehouse folder serves, which every executor shares as well.
+    Where that is unset, as in tests, the warehouse folder serves if driver and executors are one process; on a cluster
+    it may be local to the driver, so there the setting is asked for.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"
 
@@ -44,7 +47,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with short batches, so that long texts do not pile up in a worker."""
+    """``mapInArrow`` with short batches, so that long texts do not pile up in a worker: ``sound`` bounds their bytes, this
+    their rows. Spark reads the setting when the plan runs, so it stays set for the session."""
     conf = sound(df.sparkSession).conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -2,12 +2,14 @@
 
 Windows are as long as a benchmark item, in words, and lie where a shingle of the document and one of the item are the
 same, so that both line up; a window without any common shingle has similarity zero, so none is missed. Equal windows
-are taken once. A window's SimHash, weighted by how often it has each shingle, is compared with the item's through a
-multi-index: ``RADIUS + 1`` blocks of bits, of which fingerprints within the radius share at least one. Candidates are
-then verified by the exact weighted Jaccard similarity of their shingles.
+are taken once. A window's SimHash, weighted by how often it has each shingle, is compared with the item's, and those
+within the radius are verified by the exact weighted Jaccard similarity of their shingles.
 
 At similarity 0.8 two 64-bit fingerprints differ in 9.7 bits on average, with a deviation of 2.9; the radius is almost
-five deviations beyond that.
+five deviations beyond that. Where a few repeated shingles carry most of the weight that does not hold, so windows with
+fewer than ``FEW_SHINGLES`` different ones are verified whatever their distance. Hamming blocks that guarantee such a
+radius have two or three bits each, and unrelated fingerprints share one of them as a rule: a multi-index over them
+finds nothing that the shingles have not, so there is none.
 
 Words are runs of letters and digits in lower case; shingles have five, or all words of a shorter item. Cases: null,
 empty and wordless texts and items match nothing; repeated rows and repeated doc_ids count as one document; a document
@@ -27,6 +29,8 @@ SIMILARITY = 0.8
 RADIUS = 24
 #: Up to so many shingles of the benchmark are broadcast; more are joined by a shuffle.
 BROADCAST_SHINGLES = 200_000
+#: Windows with fewer different shingles are not judged by their fingerprints.
+FEW_SHINGLES = 10
 
 _SHINGLES = "transform(sequence(0, greatest(size({w}) - {k}, 0)), i -> array_join(slice({w}, i + 1, {k}), ' '))"
 _SIMHASH = "aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(2 * size(filter(hashes, h -> (shiftright(h, b) & 1L) = 1L)) > size(hashes), shiftleft(1L, b), 0L))"
@@ -42,12 +46,6 @@ def _fingerprinted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s))).withColumn("fp", F.expr(_SIMHASH)).drop("hashes")
 
 
-def _blocks(fp: str, radius: int):
-    """(block number, its bits) for radius + 1 blocks of the 64 bits."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Pairs of documents and items, with the best window: doc_id, item_id, similarity, word_start and n_words."""
     items = benchmark.select("item_id", words().alias("words")).where(F.size("words") > 0).withColumn("k", F.least(F.lit(shingle), F.size("words")))
@@ -62,9 +60,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
         # Hash the words in place: this runs inside generated code, without building any shingle.
         at = lambda c, p: F.xxhash64(*[F.get(F.col(c), F.col(p) + j) for j in range(k)])  # noqa: B023, E731
         index = seeds.where(F.col("k") == k).select(at("words", "pos").alias("h"), "item_id", "size", "pos").distinct()
-        index = F.broadcast(index) if few <= BROADCAST_SHINGLES else index
         spots = texts.where(F.size("words") >= k).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("i"))
-        near = spots.withColumn("h", at("words", "i")).join(index, "h")
+        spots = spots.withColumn("h", at("words", "i"))
+        near = spots.join(F.broadcast(index), "h") if few <= BROADCAST_SHINGLES else common.salted(spots, index, ["h"], F.xxhash64("doc_id", "i"))
         start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("pos"), F.size("words") - F.col("size")))
         near = near.select("doc_id", "item_id", start.alias("word_start"), F.slice("words", start + 1, F.col("size")).alias("window"), F.lit(k).alias("k"))
         found = near if found is None else found.unionByName(near)
@@ -75,14 +73,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
 
     windows = places.groupBy("window", "item_id").agg(F.min("k").alias("k")).withColumn("words", F.split("window", " "))
     windows = _fingerprinted(windows.withColumn("k", F.least("k", F.size("words")))).select("window", "item_id", "shingles", "fp")
-    left = windows.select("*", F.inline(_blocks("fp", radius)))
-    right = items.select("item_id", F.col("shingles").alias("theirs"), F.col("fp").alias("their_fp"), F.inline(_blocks("fp", radius)))
-    near = left.join(right, ["item_id", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("their_fp"))) <= radius)
-    near = near.groupBy("window", "item_id").agg(F.first("shingles").alias("a"), F.first("theirs").alias("b"))
+    theirs = items.select("item_id", F.col("shingles").alias("theirs"), F.col("fp").alias("their_fp"))
+    near = windows.join(F.broadcast(theirs) if few <= BROADCAST_SHINGLES else theirs, "item_id").withColumnsRenamed({"shingles": "a", "theirs": "b"})
+    unsure = F.least(F.size(F.array_distinct("a")), F.size(F.array_distinct("b"))) < FEW_SHINGLES
+    near = near.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("their_fp"))) <= radius) | unsure)
     shared = F.expr("aggregate(array_intersect(a, b), 0L, (acc, s) -> acc + least(size(filter(a, x -> x = s)), size(filter(b, x -> x = s))))")
     sure = near.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("a") + F.size("b") - F.col("shared")))
     sure = sure.where(F.col("similarity") >= similarity).select("window", "item_id", "similarity")
-    best = places.join(sure, ["window", "item_id"]).groupBy("doc_id", "item_id")
+    # A passage may be in a third of all documents: its places are dealt out.
+    best = common.salted(places, sure, ["window", "item_id"], F.xxhash64("doc_id")).groupBy("doc_id", "item_id")
     best = best.agg(F.max(F.struct("similarity", (-F.col("word_start")).alias("before"), F.size(F.split("window", " ")).alias("n_words"))).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.before")).alias("word_start"), "best.n_words")
 

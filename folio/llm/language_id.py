@@ -135,6 +135,7 @@ def train(docs: DataFrame, *, per_lang: int = PER_LANG, centroids: int = CENTROI
     df, n = document_frequencies(learnable, dim)
     idf = np.log((1 + n) / (1 + df)) + 0.1
     chosen = learnable.drop("lang").join(F.broadcast(sample(learnable, per_lang)), "doc_id")
+    chosen = chosen.groupBy("doc_id", "_lang").agg(F.min("text").alias("text"))  # a doc_id that repeats counts once
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

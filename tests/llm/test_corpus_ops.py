@@ -369,7 +369,9 @@ def plain_contaminated(docs, items, k=5, least=0.8):
     return out
 
 
-def test_contaminated(spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_contaminated(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", limit)
     rng = random.Random(8)
     items = [(i, " ".join(words(rng, rng.choice([14, 20, 37, 59])))) for i in range(12)] + [(90, "one two three"), (91, None), (92, " .. ")]
     docs = [(i, t) for i, t in enumerate(texts(3, 40))]
@@ -380,6 +382,8 @@ def test_contaminated(spark):
         host = words(rng, 40)
         docs.append((100 + i, " ".join(host[:20]) + "\n" + ", ".join(w).upper() + ". " + " ".join(host[20:])))
     docs += [(200, "zero one two, three four"), (201, "one two"), (None, items[0][1])]
+    items.append((95, " ".join(["tick", "tock"] * 12 + ["end"])))  # few shingles, most of them repeated
+    docs += [(300 + i, "so " + " ".join(["tick", "tock"] * (10 + i) + ["end", "of", "it"])) for i in range(4)]
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, words int")
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, fp int")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(df, bench).collect()}
