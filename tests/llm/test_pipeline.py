@@ -7,7 +7,8 @@ from folio.llm import common, quality_rules
 
 from .helpers import DOCS, documents, texts, words
 from .test_corpus_ops import plain_base, plain_contaminated
-from .test_documents_ops import check_packing, plain_components, plain_fingerprint, plain_statistics
+from .test_documents_ops import check_packing, plain_statistics
+from .test_similar_documents import plain_similar
 
 
 def tables(spark, folder):
@@ -44,8 +45,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         outs.append(stage)
     assert sorted(map(str, outs[0].collect())) == sorted(map(str, kept))
     assert not any("###" in (r["text"] or "") for r in kept)
-    groups = plain_components([(r["doc_id"], plain_fingerprint(r["text"])) for r in kept])
-    least = {c for _, _, c in groups}
+    least = set(plain_similar([(r["doc_id"], r["text"]) for r in kept]))
     first = {r["doc_id"]: r for r in kept if r["doc_id"] in least}
     assert sorted(r["doc_id"] for r in outs[1].collect()) == sorted(first)
     bad = {d for d, _ in plain_contaminated([(d, r["text"]) for d, r in first.items()], items)}
