@@ -28,18 +28,21 @@ def most(hashes):
 
 
 def plain_sketch(text):
-    full = 2**64 - 1
-    lead = most([xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, 2)])
-    wide = []
-    for k in range(1, 9):
-        mixed = []
-        for s in shingles(text, 5):
-            x = xxhash.xxh64_intdigest(s.encode(), 42) + k * 0x9E3779B97F4A7C15 & full
-            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
-            x = (x ^ x >> 27) * 0x94D049BB133111EB & full
-            mixed.append(x ^ x >> 31)
-        wide.append(most(mixed))
-    return lead, wide
+    full, step = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def named(shingle):
+        total = 0
+        for word in shingle.split(" "):
+            total = (total * step + xxhash.xxh64_intdigest(word.encode())) & full
+        return mixed(total)
+
+    five = [named(s) for s in shingles(text, 5)]
+    return most([named(s) for s in shingles(text, 2)]), [most([mixed(x + k * step & full) for x in five]) for k in range(1, 9)]
 
 
 def plain_similar(rows):
