@@ -52,4 +52,12 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_filters, op2_language_id, op3_secret_scan, op4_warc, op5_quality_rules, op6_suffix_dedup, op7_decontamination, op8_simhash_dedup, op9_token_output, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Only the archive has an SQL form: what each page's record has to say, whatever went through the files. The trees, rules,
+#: centroids, fingerprints by XXH64, tokens and suffixes of the others have none.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d),
+r AS (SELECT *, payload_bytes >= {warc.LEAST_BYTES} AND page_id > first_id AS again FROM f)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM r""",
+}
