@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..session import sound
+from . import windows
 
 #: Queries in one block, and vectors in one pack that is compared with it.
 BLOCK, PACK = 2048, 4096
@@ -134,7 +136,7 @@ def protected(rows: DataFrame, reserve: int, rrf_top: int, vector_top: int) -> D
     rows = rows.withColumn("_reserve", F.col("_best") & (F.coalesce("text_score", F.lit(0.0)) > 0) & (F.row_number().over(lead) <= reserve))
     top = lambda c: Window.partitionBy("query_id").orderBy(F.desc_nulls_last(c), "chunk_id")
     keep = F.col("_reserve") | (F.row_number().over(top("rrf_score")) <= rrf_top) | (F.col("vector_score").isNotNull() & (F.row_number().over(top("vector_score")) <= vector_top))
-    return rows.withColumn("protected", keep).drop("_best", "_reserve")
+    return rows.withColumn("protected", keep).withColumnRenamed("_reserve", "reserved").drop("_best")
 
 
 def rerank_pool(rows: DataFrame, limit: int) -> DataFrame:
@@ -227,3 +229,110 @@ def matching(query_terms: DataFrame, posts: DataFrame) -> DataFrame:
 def best_scored(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
     """The row with the highest score of each key; keyword hits have to be above zero."""
     return keep_first(rows.where(F.col(score) > 0), keys, [F.desc(score), tie])
+
+
+@dataclass(frozen=True)
+class HybridConfig:
+    """How many rows each step of ``hybrid_retrieve`` keeps, and how it scores them."""
+
+    candidates: int = 50
+    rrf_k: int = 60
+    vector_weight: float = 1.0
+    text_weight: float = 1.0
+    reserve: int = 5
+    safeguard: int = 10
+    pool: int = 30
+    lexical_bonus: float = 0.0
+    top_k: int = 10
+    anchors: int = 3
+    siblings: int = 3
+
+
+def exact_family(named: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """The first chunks of the documents that each query names, as a ranked list with score 0. named: query_id and
+    document_id. A document's chunks are cut before the join, as many queries may name the same long document."""
+    heads = Window.partitionBy("document_id").orderBy("page", "chunk_index", "chunk_id")
+    heads = chunks.select("document_id", "page", "chunk_index", "chunk_id").withColumn("_n", F.row_number().over(heads)).where(F.col("_n") <= limit)
+    rows = named.select("query_id", "document_id").distinct().join(heads, "document_id").withColumn("score", F.lit(0.0))
+    return _ranked(rows, limit, F.col("document_id"), F.col("_n")).select("query_id", "chunk_id", "score", "rank")
+
+
+def prepended(exact: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The exact list first, then the rest of the other one, ranked anew."""
+    rest = ranked.join(exact.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    part = lambda rows, p: rows.select("query_id", "chunk_id", "score", F.col("rank").alias("_own"), F.lit(p).alias("_p"))
+    at = Window.partitionBy("query_id").orderBy("_p", "_own", "chunk_id")
+    rows = part(exact, 0).unionByName(part(rest, 1))
+    return rows.select("query_id", "chunk_id", "score", F.row_number().over(at).cast("bigint").alias("rank"))
+
+
+def hybrid_candidates(vector: DataFrame, lexical_list: DataFrame, chunks: DataFrame, named: DataFrame | None = None, cfg: HybridConfig = HybridConfig()) -> DataFrame:
+    """Both ranked lists fused, with the chunks of named documents at the head of the lexical one.
+
+    chunks: chunk_id, document_id, page and chunk_index. Gives these with query_id, vector_score, text_score, rrf_score and
+    rank. Chunks that are not in ``chunks`` are left out: filters on scope or metadata act by what is passed there.
+    """
+    if named is not None:
+        lexical_list = prepended(exact_family(named, chunks, cfg.candidates), lexical_list)
+    lists = [(vector, cfg.vector_weight), (lexical_list, cfg.text_weight)]
+    rows = fuse(lists, cfg.candidates, cfg.rrf_k, keep=["vector_score", "text_score"])
+    return rows.join(chunks.select("chunk_id", "document_id", "page", "chunk_index"), "chunk_id")
+
+
+def hybrid_select(candidates: DataFrame, cfg: HybridConfig = HybridConfig(), relevance: Column | None = None) -> DataFrame:
+    """Protected rows and the best others into a bounded pool, scored, the protected kept ahead and the lexical reserve
+    first: adds relevance, score and place. ``relevance`` is a reranker's column; without one, the clamped vector score."""
+    rows = rerank_pool(protected(candidates, cfg.reserve, cfg.safeguard, cfg.safeguard), cfg.pool)
+    rows = rows.withColumn("relevance", scores.bounded(F.col("vector_score")) if relevance is None else relevance)
+    rows = rows.withColumn("score", F.round(F.col("relevance") + F.lit(cfg.lexical_bonus) * F.coalesce("text_score", F.lit(0.0)), 6))
+    ordered = safeguarded(rows).withColumn("rank", F.col("place")).drop("place")
+    return coverage_aware(ordered, final_count(cfg.top_k))
+
+
+def companions(selected: DataFrame, candidates: DataFrame, chunks: DataFrame, cfg: HybridConfig = HybridConfig()) -> DataFrame:
+    """What stands beside the first selected rows: query_id, chunk_id and place, the order in which they are to be added.
+
+    First candidates of the same page from the first selected position on, if the page has more than one of them; then
+    one chunk of the following page, the best candidate there or, without any, the page's first chunk.
+    """
+    page = ["query_id", "document_id", "page"]
+    anchors = selected.where(F.col("place") <= cfg.anchors).groupBy(*page).agg(F.min("chunk_index").alias("first"), F.min("place").alias("at"))
+    there = candidates.select(*page, "chunk_id", "chunk_index", "rank")
+    on_page = Window.partitionBy(*page)
+    same = anchors.join(there, page).where(F.col("chunk_index") >= F.col("first")).withColumn("many", F.count("*").over(on_page) > 1)
+    same = same.withColumn("n", F.row_number().over(on_page.orderBy("chunk_index", "chunk_id"))).where(F.col("many") & (F.col("n") <= cfg.siblings))
+    following = anchors.select("query_id", "document_id", (F.col("page") + 1).alias("page"), "at")
+    found = keep_first(following.join(there, page), page, ["rank", "chunk_id"])
+    missing = following.join(found.select(*page), page, "left_anti")
+    heads = keep_first(chunks.select("document_id", "page", "chunk_id", "chunk_index"), ["document_id", "page"], ["chunk_index", "chunk_id"])
+    fetched = missing.join(heads, ["document_id", "page"])
+    far = cfg.anchors * (cfg.siblings + 1)
+    rows = same.select("query_id", "chunk_id", (F.col("at") * (cfg.siblings + 1) + F.col("n")).alias("place"))
+    for later, more in ((1, found), (2, fetched)):
+        rows = rows.unionByName(more.select("query_id", "chunk_id", (F.lit(far * later + cfg.siblings + 1) + F.col("at")).alias("place")))
+    return rows
+
+
+def hybrid_retrieve(vector: DataFrame, lexical_list: DataFrame, chunks: DataFrame, named: DataFrame | None = None, cfg: HybridConfig = HybridConfig(), relevance: Column | None = None) -> DataFrame:
+    """From two ranked lists for a table of queries to the rows to answer from, in order.
+
+    Named documents' chunks are put first, both lists fused, the pool scored and cut, companions of the best rows take the
+    place of weak ones, and rows of named documents remain alone where a query has any. Gives query_id, chunk_id,
+    document_id, page, chunk_index and place, with vector_score, text_score, rrf_score, relevance and score where the
+    chunk was selected itself; a companion has none of the last two, and one fetched from a following page no other.
+    """
+    # Short lists, each read several times.
+    candidates = hybrid_candidates(vector, lexical_list, chunks, named, cfg).persist()
+    selected = hybrid_select(candidates, cfg, relevance).persist()
+    rows = windows.with_companions(selected.withColumn("rank", F.col("place")), companions(selected, candidates, chunks, cfg), chunks)
+    if named is not None:
+        rows = only_named(rows, named)
+    keys = ["query_id", "chunk_id"]
+    rows = rows.join(candidates.select(*keys, "vector_score", "text_score", "rrf_score"), keys, "left")
+    return rows.join(selected.select(*keys, "relevance", "score"), keys, "left")
+
+
+def only_named(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Each query's rows of the documents that it names, if it has any, else all of its rows."""
+    told = named.select("query_id", "document_id").distinct().withColumn("_named", F.lit(True))
+    return restrict_if_any(rows.join(told, ["query_id", "document_id"], "left"), F.col("_named")).drop("_named")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SCHEMA = "query_id long, chunk_id long, document_id long, page long, chunk_index long, place long"
+_WHOLE = ["query_id", "chunk_id", "page", "chunk_index", "place"]
 
 
 def with_companions(selected: DataFrame, companions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def with_companions(selected: DataFrame, companions: DataFrame, chunks: DataFram
     meta = chunks.select("chunk_id", "document_id", "page", "chunk_index")
     a = selected.select("query_id", "chunk_id", F.col("rank").cast("long").alias("place"), F.lit(0).alias("kind"))
     b = companions.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"), F.lit(1).alias("kind"))
-    return a.unionByName(b).join(meta, "chunk_id").groupBy("query_id").applyInPandas(_fold, _SCHEMA)
+    schema = f"query_id long, chunk_id long, document_id {meta.schema['document_id'].dataType.simpleString()}, page long, chunk_index long, place long"
+    return a.unionByName(b).join(meta, "chunk_id").groupBy("query_id").applyInPandas(_fold, schema)
 
 
 def _fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -36,4 +37,4 @@ def _fold(group: pd.DataFrame) -> pd.DataFrame:
         for i, r in zip(places, sorted((kept[j] for j in places), key=lambda r: (r["chunk_index"], r["chunk_id"]))):
             out[i] = r
     frame = pd.DataFrame([{**r, "place": i + 1} for i, r in enumerate(out)])
-    return frame[["query_id", "chunk_id", "document_id", "page", "chunk_index", "place"]].astype("int64")
+    return frame[["query_id", "chunk_id", "document_id", "page", "chunk_index", "place"]].astype(dict.fromkeys(_WHOLE, "int64"))

@@ -12,14 +12,20 @@ from ..registry import Tables, query
 K, VECTOR_K = 10, 20
 TR = f"translate(text, '{text.ACCENTED}', '{text.PLAIN}')"
 #: All terms of five letters or digits and more, with repeats, are postings; the distinct ones of a query are looked up.
-VECTOR_SQL = f"""v AS (SELECT vec_id AS chunk_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+def _lists_sql(k: int) -> tuple[str, str]:
+    """Both ranked lists, of k chunks a query."""
+    vector = f"""v AS (SELECT vec_id AS chunk_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 vs AS (SELECT q.chunk_id AS query_id, c.chunk_id, c.label, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q, v c WHERE q.chunk_id % 50 = 0),
-vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs QUALIFY rank <= {VECTOR_K})"""
-LEX_SQL = f"""tk AS (SELECT doc_id, regexp_extract_all(lower({TR}), '[a-z0-9]{{5,}}') AS ts FROM documents),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs QUALIFY rank <= {k})"""
+    lexical = f"""tk AS (SELECT doc_id, regexp_extract_all(lower({TR}), '[a-z0-9]{{5,}}') AS ts FROM documents),
 po AS (SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) GROUP BY ALL),
 qt AS (SELECT chunk_id AS query_id, term FROM po WHERE chunk_id % 50 = 0),
 lm AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM po JOIN qt USING (term) GROUP BY ALL),
-lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lm QUALIFY rank <= {VECTOR_K})"""
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lm QUALIFY rank <= {k})"""
+    return vector, lexical
+
+
+VECTOR_SQL, LEX_SQL = _lists_sql(VECTOR_K)
 _FUSE_TAIL = f"""pr AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM vr UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM lr),
 fs AS (SELECT query_id, chunk_id, round(sum(part), 9) AS rrf_score FROM pr GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM fs QUALIFY rank <= {VECTOR_K})"""
@@ -91,15 +97,63 @@ def _c1(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "chunk_id", "document_id", "vector_score", "text_score", "rrf_score", "relevance", "score", "final_rank")
 
 
-@query("c1_hybrid_retrieve", f"WITH {SCORED_SQL},\n{_C1_TAIL}")
+CFG = retrieval.HybridConfig(lexical_bonus=0.02)
+#: A query names its own source: chunks are documents, their source is the document they are part of, and their length a page.
+HYBRID_SQL = f"""{", ".join(_lists_sql(CFG.candidates))},
+hd AS (SELECT doc_id AS chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n FROM documents QUALIFY n <= {CFG.candidates}),
+na AS (SELECT doc_id AS query_id, source FROM documents WHERE doc_id % 50 = 0),
+ex AS (SELECT query_id, chunk_id, 0.0::DOUBLE AS score, n AS rank, 0 AS p FROM na JOIN hd USING (source)),
+lu AS (SELECT * FROM ex UNION ALL SELECT query_id, chunk_id, score, rank, 1 FROM lr ANTI JOIN ex USING (query_id, chunk_id)),
+lx AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY p, rank) AS rank FROM lu),
+pr AS (SELECT query_id, chunk_id, 1.0::DOUBLE / ({CFG.rrf_k} + rank) AS part, score AS v, NULL AS x FROM vr UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / ({CFG.rrf_k} + rank), NULL, score FROM lx),
+fs AS (SELECT query_id, chunk_id, round(sum(part), 9) AS rrf_score, max(v) AS vector_score, max(x) AS text_score FROM pr GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM fs QUALIFY rank <= {CFG.candidates}),
+ca AS (SELECT f.*, d.source AS document_id, d.n_chars AS page FROM fr f JOIN documents d ON d.doc_id = f.chunk_id),
+pb AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page ORDER BY text_score DESC NULLS LAST, chunk_id) = 1 AS best FROM ca),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, best ORDER BY text_score DESC NULLS LAST, chunk_id) AS l, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC NULLS LAST, chunk_id) AS f, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC NULLS LAST, chunk_id) AS v FROM pb),
+pq AS (SELECT *, best AND coalesce(text_score, 0) > 0 AND l <= {CFG.reserve} AS reserved FROM pl),
+pp AS (SELECT *, reserved OR f <= {CFG.safeguard} OR (vector_score IS NOT NULL AND v <= {CFG.safeguard}) AS protected FROM pq),
+pw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY protected::INT DESC, rrf_score DESC, chunk_id) AS pool_rank FROM pp QUALIFY pool_rank <= {CFG.pool}),
+rr AS (SELECT *, {RANK_SQL} AS relevance, round({RANK_SQL} + {CFG.lexical_bonus}::DOUBLE * coalesce(text_score, 0), 6) AS score FROM pw),
+sg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY protected::INT DESC, score DESC, chunk_id) AS safe_rank FROM rr),
+se AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reserved::INT DESC, safe_rank, chunk_id) AS final_rank FROM sg QUALIFY final_rank <= {retrieval.final_count(CFG.top_k)}),
+mk AS (SELECT se.*, coalesce(document_id = source, false) AS m FROM se LEFT JOIN na USING (query_id)),
+c1 AS (SELECT * FROM mk QUALIFY m OR NOT bool_or(m) OVER (PARTITION BY query_id))"""
+
+
+def hybrid_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Both ranked lists, the chunks, and which document each query names."""
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("n_chars").alias("page"), F.col("doc_id").alias("chunk_index"))
+    named = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "document_id")
+    return vectors(t, CFG.candidates), lexical(t, CFG.candidates), chunks, named
+
+
+def hybrid(t: Tables) -> DataFrame:
+    """The selected rows, before companions are added."""
+    vector, words, chunks, named = hybrid_inputs(t)
+    selected = retrieval.hybrid_select(retrieval.hybrid_candidates(vector, words, chunks, named, CFG), CFG)
+    return retrieval.only_named(selected.withColumnRenamed("place", "final_rank"), named)
+
+
+_C1_COLUMNS = ["query_id", "chunk_id", "document_id", "vector_score", "text_score", "rrf_score", "relevance", "score", "final_rank"]
+
+
+@query("c1_hybrid_retrieve", f"WITH {HYBRID_SQL} SELECT {', '.join(_C1_COLUMNS)} FROM c1")
 def c1(t):
-    """Both candidate lists, fusion, bounded relevance, lexical bonus and the final cut."""
-    return _c1(scored(t))
+    """The flagship: named documents first, fusion of fifty candidates a list, protected rows, a scored pool, the lexical
+    reserve, the final cut, and named documents alone where there are any."""
+    return hybrid(t).select(*_C1_COLUMNS)
+
+
+@query("c1_hybrid_with_companions")
+def c1_companions(t):
+    """The same with companions of the best rows in place of weak ones."""
+    return retrieval.hybrid_retrieve(*hybrid_inputs(t), CFG)
 
 
 @query("c1_hybrid_retrieve_whole", f"WITH {FUSE_SQL},\n{_SCORED_TAIL},\n{_C1_TAIL}")
 def c1_whole(t):
-    """The flagship: the same by all distinct terms of each query's text."""
+    """Fusion of twenty candidates a list, bounded relevance, lexical bonus and the final cut, without the other steps."""
     return _c1(scored(t))
 
 
