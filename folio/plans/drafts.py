@@ -116,7 +116,7 @@ def a35(t):
     return extraction.budget_totals(t.customer.select(F.col("c_custkey").alias("document_id"), content.alias("content")))
 
 
-@query("c4_requirement_evidence", f"WITH {r.HYBRID_SQL}, k AS (SELECT query_id, chunk_id, final_rank AS rank, row_number() OVER (PARTITION BY chunk_id ORDER BY query_id, final_rank) AS f FROM c1 QUALIFY f = 1), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM k QUALIFY n <= 3), o AS (SELECT *, row_number() OVER (ORDER BY query_id, rank) AS i FROM c) SELECT query_id AS need_id, chunk_id, 'pdf-' || lpad(i::VARCHAR, 3, '0') AS evidence_id FROM o WHERE i <= 36")
+@query("c4_requirement_evidence", f"WITH {r.HYBRID_SQL}, k AS (SELECT query_id, chunk_id, final_rank AS rank, row_number() OVER (PARTITION BY chunk_id ORDER BY query_id, final_rank) AS seen FROM c1 QUALIFY seen = 1), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM k QUALIFY n <= 3), o AS (SELECT *, row_number() OVER (ORDER BY query_id, rank) AS i FROM c) SELECT query_id AS need_id, chunk_id, 'pdf-' || lpad(i::VARCHAR, 3, '0') AS evidence_id FROM o WHERE i <= 36")
 def c4(t):
     """Evidence for each need from hybrid retrieval, numbered by first appearance."""
     rows = r.hybrid(t).select(F.col("query_id").alias("need_id"), "chunk_id", F.col("final_rank").alias("rank"))
