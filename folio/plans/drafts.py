@@ -8,6 +8,7 @@ from ..functions import quality, text
 from ..operators import evaluate, extraction, grounding, proposal, retrieval, windows
 from ..registry import query
 from . import retrieval as r
+from .scalars import REPEATED_SQL
 
 FOLD = f"lower({r.TR})"
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
@@ -159,7 +160,10 @@ def c13(t):
     return proposal.requirements(t.documents.select(F.col("doc_id").alias("brief_id"), F.col("text").alias("description")))
 
 
-@query("c12_section_warnings")
+@query("c12_section_warnings", rf"""WITH {REPEATED_SQL}, e AS (SELECT doc_id, unnest(['1', doc_id::VARCHAR]) AS id FROM documents), u AS (SELECT doc_id, count(*) AS n FROM e ANTI JOIN (SELECT item_id::VARCHAR AS id FROM benchmark) b USING (id) GROUP BY 1),
+x AS (SELECT doc_id, coalesce(u.n, 0) AS n, coalesce(ratio, 0) AS ratio, {FOLD} AS f, len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?|[A-Z]{{2,}}')) * 100.0::DOUBLE / greatest(1, len(regexp_extract_all(text, '[^ \t\n\r]+'))) AS density FROM documents LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id)),
+m AS (SELECT doc_id, [CASE WHEN n > 0 THEN 'unknown source: ' || n END, CASE WHEN len(list_filter(['il est crucial de', 'il est essentiel de', 'leader sur son marche', 'incontournable', 'il va sans dire'], lambda p: contains(f, p))) > 0 THEN 'boilerplate' END, CASE WHEN ratio > 0.05 THEN 'repeated text' END, CASE WHEN density < 1 THEN 'thin content' END] AS ms FROM x)
+SELECT doc_id AS section_id, array_to_string(list_filter(ms, lambda p: p IS NOT NULL), '; ') AS warnings, (ms[1] IS NOT NULL)::INT AS hard, len(list_filter(ms[2:], lambda p: p IS NOT NULL))::INT AS soft FROM m""")
 def c12(t):
     known = t.benchmark.select(F.col("item_id").cast("string").alias("evidence_id"))
     sections = t.documents.select(F.col("doc_id").alias("section_id"), F.col("text").alias("body"), F.array(F.lit("1"), F.col("doc_id").cast("string")).alias("evidence_ids"))

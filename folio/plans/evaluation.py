@@ -84,7 +84,15 @@ def st3(t):
     return jobs.protocol(t.conversations.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), kind.alias("type")))
 
 
-@query("st5_job_lifecycle")
+_LIFECYCLE_SQL = """WITH ev AS (SELECT user_id AS job_id, CASE event_type WHEN 'signup' THEN 'submit' WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail' ELSE 'cancel' END AS e, ts, event_id FROM events),
+li AS (SELECT job_id, list_prepend({'e': '', 's': 'none', 'n': 0, 'a': false}, list({'e': e, 's': 'none', 'n': 0, 'a': false} ORDER BY ts, event_id)) AS l FROM ev GROUP BY 1),
+fo AS (SELECT job_id, list_reduce(l, lambda y, x: {'e': x.e,
+ 's': CASE WHEN y.s IN ('completed', 'failed', 'cancelled') THEN y.s WHEN x.e = 'submit' THEN 'queued' WHEN x.e = 'cancel' AND y.s <> 'running' THEN 'cancelled' WHEN x.e = 'start' AND y.s = 'queued' THEN 'running' WHEN y.s = 'running' AND x.e IN ('succeed', 'fail') AND y.a THEN 'cancelled' WHEN y.s = 'running' AND x.e = 'succeed' THEN 'completed' WHEN y.s = 'running' AND x.e = 'fail' THEN CASE WHEN y.n < 3 THEN 'queued' ELSE 'failed' END ELSE y.s END,
+ 'n': y.n + (x.e = 'start' AND y.s = 'queued')::INT, 'a': y.a OR x.e = 'cancel'}) AS z FROM li)
+SELECT job_id, z.s AS status, z.n AS attempts FROM fo"""
+
+
+@query("st5_job_lifecycle", _LIFECYCLE_SQL)
 def st5(t):
     kinds = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "succeed").when(F.col("event_type") == "error", "fail").otherwise("cancel")
     return jobs.lifecycle(t.events.select(F.col("user_id").alias("job_id"), kinds.alias("event"), F.col("ts").cast("timestamp").alias("event_ts"), "event_id"))

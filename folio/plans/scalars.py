@@ -94,10 +94,12 @@ def x30(t):
     return t.documents.select("doc_id", text.word_count(F.col("text")).cast("bigint").alias("n"))
 
 
-@query("x31_repeated_8grams", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\n\r]+') AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 16),
+REPEATED_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\n\r]+') AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 16),
 s AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM g), d AS (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM s),
-p AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 8)) AS pos FROM d WHERE c > 1), r AS (SELECT doc_id, round(count(*)::DOUBLE / n, 6) AS ratio FROM p GROUP BY doc_id, n)
-SELECT doc_id, coalesce(ratio, 0) AS ratio FROM documents LEFT JOIN r USING (doc_id)""")
+p AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 8)) AS pos FROM d WHERE c > 1), r AS (SELECT doc_id, round(count(*)::DOUBLE / n, 6) AS ratio FROM p GROUP BY doc_id, n)"""
+
+
+@query("x31_repeated_8grams", f"WITH {REPEATED_SQL} SELECT doc_id, coalesce(ratio, 0) AS ratio FROM documents LEFT JOIN r USING (doc_id)")
 def x31(t):
     return quality.repeated_gram_ratio(t.documents, "doc_id", 8)
 
