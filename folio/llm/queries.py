@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_output, url_filters, warc
+from . import decontamination, language_id, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_output, toxicity, url_filters, warc
 from .common import table
 
 
@@ -48,10 +48,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_language_id, op3_secret_scan, op4_warc, op5_quality_rules, op6_suffix_dedup, op7_decontamination, op8_simhash_dedup, op9_token_output, op10_best_fit_packing)
-}
+    for f in (
+        op1_url_filters, op2_language_id, op3_secret_scan, op4_warc, op5_quality_rules, op6_suffix_dedup, op7_decontamination,
+        op8_simhash_dedup, op9_token_output, op10_best_fit_packing, op11_toxicity,
+    )
+}
 #: Only the archive has an SQL form: what each page's record has to say, whatever went through the files. The trees, rules,
 #: centroids, fingerprints by XXH64, tokens and suffixes of the others have none.
 ORACLE_SQL: dict[str, str] = {
