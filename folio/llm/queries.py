@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_output, toxicity, url_filters, warc
+from . import decontamination, language_id, merkle, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_output, toxicity, url_filters, warc
 from .common import table
 
 
@@ -52,16 +52,67 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_language_id, op3_secret_scan, op4_warc, op5_quality_rules, op6_suffix_dedup, op7_decontamination,
-        op8_simhash_dedup, op9_token_output, op10_best_fit_packing, op11_toxicity,
+        op8_simhash_dedup, op9_token_output, op10_best_fit_packing, op11_toxicity, op13_merkle,
     )
 }
-#: Only the archive has an SQL form: what each page's record has to say, whatever went through the files. The trees, rules,
-#: centroids, fingerprints by XXH64, tokens and suffixes of the others have none.
+#: CRC-32 in SQL: the table of its 256 steps, and what it makes of the UTF-8 bytes of a string. The polynomial
+#: and the starting value.
+CRC_STEPS = """steps AS MATERIALIZED (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS step FROM range(256) r(i))"""
+
+
+def crc_sql(hexed: str) -> str:
+    """The checksum of bytes given in hex, in a query that has ``steps``."""
+    octets = f"list_transform(range(1, length({hexed}), 2), lambda i: ('0x' || {hexed}[i:i + 1])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, step[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _grown_sql(name: str, base: str) -> str:
+    return f"""{name} AS ({base}
+  UNION ALL SELECT tree, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+    FROM {name} WHERE n > 1 GROUP BY tree, level, n, place // 3),
+{name}_runs AS (SELECT tree, level, place // 3 AS run, list(digest ORDER BY place) AS members FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _climbed_sql(name: str, base: str, runs: str) -> str:
+    before = "array_to_string(members[1:(place % 3)::INT], '')"
+    after = "array_to_string(members[(place % 3 + 2)::INT:], '')"
+    return f"""{name} AS ({base}
+  UNION ALL SELECT id, p.tree, p.level + 1, place // 3, (n + 2) // 3, proof || {before} || {after}, sha256({before} || folded || {after})
+    FROM {name} p JOIN {runs} r ON r.tree = p.tree AND r.level = p.level AND r.run = p.place // 3 WHERE n > 1)"""
+
+
+MERKLE_SQL = f"""WITH RECURSIVE {CRC_STEPS},
+hashed AS (SELECT *, {crc_sql("h")} AS crc FROM (SELECT *, hex(encode(doc_id::VARCHAR)) AS h FROM documents), steps),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql("text")} AS leaf,
+    {_leaf_sql("CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS other FROM hashed),
+leaves AS (SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS id,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_grown_sql("nodes", "SELECT tree, 0 AS level, place, n, leaf AS digest FROM leaves")},
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_grown_sql("top", "SELECT '' AS tree, 0 AS level, rank AS place, n, digest FROM subroots")},
+{_climbed_sql("low", "SELECT id, tree, 0 AS level, place, n, '' AS proof, other AS folded FROM leaves", "nodes_runs")},
+{_climbed_sql("high", "SELECT id, '' AS tree, 0 AS level, s.rank AS place, s.n, proof, folded FROM low JOIN subroots s USING (tree) WHERE low.n = 1", "top_runs")}
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified
+FROM leaves l JOIN high h USING (id) JOIN subroots s ON s.tree = l.tree, (SELECT digest FROM top WHERE n = 1) t WHERE h.n = 1"""
+
+#: The archive's SQL says what each page's record has to hold, whatever went through the files. The trees, rules, centroids,
+#: language models, fingerprints by XXH64, tokens and suffixes of the others have none.
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle": MERKLE_SQL,
     "op4_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d),
