@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, merkle, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_output, toxicity, url_filters, warc
+from . import decontamination, language_id, merkle, packing, quality_rules, secret_scan, simhash_dedup, spelling, suffix_dedup, token_output, toxicity, url_filters, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_language_id, op3_secret_scan, op4_warc, op5_quality_rules, op6_suffix_dedup, op7_decontamination,
-        op8_simhash_dedup, op9_token_output, op10_best_fit_packing, op11_toxicity, op13_merkle,
+        op8_simhash_dedup, op9_token_output, op10_best_fit_packing, op11_toxicity, op12_spelling_variants, op13_merkle,
     )
 }
 #: CRC-32 in SQL: the table of its 256 steps, and what it makes of the UTF-8 bytes of a string. The polynomial
@@ -109,9 +113,29 @@ subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS rank,
 SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified
 FROM leaves l JOIN high h USING (id) JOIN subroots s ON s.tree = l.tree, (SELECT digest FROM top WHERE n = 1) t WHERE h.n = 1"""
 
+#: Two words of one length are one edit apart if they are equal without the letter at one place, two others if the longer
+#: without a letter is the shorter.
+SPELLING_SQL = f"""WITH RECURSIVE {CRC_STEPS},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+counted AS (SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+drawn AS (SELECT run, k, {crc_sql("h")} AS crc FROM counted, steps),
+spelt AS (SELECT CASE WHEN crc % 31 = 0 THEN left(run, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, k FROM drawn),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min_by(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+formed AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+    FROM words w LEFT JOIN best USING (word)),
+led AS (SELECT word, word AS at FROM words UNION ALL SELECT l.word, f.form FROM led l JOIN formed f ON f.word = l.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, l.at AS root FROM formed f JOIN led l ON l.word = f.word JOIN formed e ON e.word = l.at WHERE e.form IS NULL"""
+
 #: The archive's SQL says what each page's record has to hold, whatever went through the files. The trees, rules, centroids,
 #: language models, fingerprints by XXH64, tokens and suffixes of the others have none.
 ORACLE_SQL: dict[str, str] = {
+    "op12_spelling_variants": SPELLING_SQL,
     "op13_merkle": MERKLE_SQL,
     "op4_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
