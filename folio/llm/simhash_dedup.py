@@ -11,9 +11,13 @@ spanning forest of its links, never its pairs. Components follow from the forest
 component's rows being dealt over many tasks.
 
 ``keep_first_similar`` asks for a similarity of shingles instead of a number of bits. At five words and similarity 0.8
-two fingerprints of 64 bits differ in 9.7 bits on average, too many to search by. Of two words, though, an edit changes
-two shingles only, so documents are searched by the fingerprint of their two-word shingles, and each pair found is
-verified, before it is joined, by a sketch of 512 bits over their five-word shingles. Both take a shingle once.
+two fingerprints of 64 bits differ in 9.7 bits on average, too many to search by. An edit changes five such shingles but
+only one word, so documents are searched by the fingerprint of their different words; a sketch of 512 bits over
+their five-word shingles sorts out what is far from similar; and what is left is verified by the shingles themselves, in
+rounds. The first round asks about a spanning forest of each bucket's candidates, in the hope that all are similar. Each
+further one asks about the nearest candidates that are in different groups still and have not been refused, more of them
+each time, until there are none. So groups are joined by similar pairs alone, and no candidate is left out. Both sketches
+take a shingle once.
 
 Cases: null, empty or blank text has fingerprint zero and links like any other; fewer words than a shingle has are one
 shingle; repeated rows and repeated doc_ids stand for themselves and share a component; null doc_ids keep their row and
@@ -45,11 +49,15 @@ ROUNDS = 3
 FANOUT = 16
 #: Nodes that a search looks at together.
 FRONTIER = 1 << 18
-#: Similar documents are searched by shingles of so many words, within so many bits.
-LEAD_WORDS, LEAD_RADIUS = 2, 8
+#: Similar documents are searched by the fingerprint of shingles of so many words, within so many bits: of 338 sampled
+#: pairs of similar documents 337 are.
+LEAD_WORDS, LEAD_RADIUS = 1, 8
 #: Sketches of so many fingerprints. At a similarity of 0.8 their 512 bits differ in 77.6 on average, with a deviation
-#: of 8.1, at 0.7 in 98.6, at 0.6 in 118: one deviation above the first is allowed.
-SKETCH, SKETCH_RADIUS = 8, 86
+#: of 8.1, at 0.7 in 98.6, at 0.6 in 118: four deviations above the first are allowed.
+SKETCH, SKETCH_RADIUS = 8, 110
+SIMILARITY = 0.8
+#: Candidates that a document asks about in the second round, at most; eight times as many in each further one.
+ASKED = 16
 _STEP = 0x9E3779B97F4A7C15
 _SEEDS = np.array([k * _STEP % 2**64 for k in range(1, SKETCH + 1)], np.uint64)
 #: Buckets of up to so many documents are one run, without nodes over it.
@@ -164,7 +172,7 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Levels of runs over Gray-sorted fingerprints: ``pattern`` and ``mask`` of the bits a run's members share.
 
-    With sketches in ``wide``, one in each row, a link has to be within ``wide_radius`` of their bits as well.
+    With sketches in ``wide``, one in each row, pairs have to be within ``wide_radius`` of their bits as well.
     """
 
     def __init__(self, fps: np.ndarray, fanout: int = FANOUT, wide: np.ndarray | None = None, wide_radius: int = 0):
@@ -185,28 +193,52 @@ class GrayIndex:
 
     def forest(self, radius: int) -> np.ndarray:
         """For each position the first position of its group, groups being connected by links within the radius."""
+        parent = np.arange(len(self.fps))
+        for a, b in self._chunks(radius, parent):
+            _union(parent, a, b)
+        return parent
+
+    def candidates(self, radius: int, groups: np.ndarray, barred: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of positions within both radii and of different groups, less the ``barred`` ones (first * n + second):
+        the ``most`` nearest of each position, or, without that, a forest that spans all of them."""
+        nothing = np.empty(0, np.int64)
+        parent, found = groups.copy(), [(nothing, nothing)]
+        for a, b in self._chunks(radius, parent):
+            a, b = _nearest(a, b, self.wide, self.wide_radius, barred, most, parent)
+            found.append((a, b))
+            if most is None:
+                _union(parent, a, b)
+        return tuple(np.concatenate([x[i] for x in found]) for i in (0, 1))
+
+    def _chunks(self, radius: int, parent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within the radius by chunks of positions; the caller may join groups in ``parent`` in between."""
         n = len(self.fps)
-        parent = np.arange(n)
         joined = [parent]  # by level, the group that all of a run is in, or -1
         for _ in self.levels[1:]:
             joined.append(np.full(-(-len(joined[-1]) // self.fanout), -1))
+        self._summed(joined)
         lo, chunk = 0, 16
         while lo < n:
             hi = min(n, lo + chunk)
+            parts = list(self._near(np.arange(lo, hi), radius, parent, joined)) if self.wide is not None else None
             pairs = 0
-            for a, b in self._near(np.arange(lo, hi), radius, parent, joined):
-                pairs += len(a)
-                if self.wide is not None:
-                    near = _differences(self.wide[a], self.wide[b]) <= self.wide_radius
-                    a, b = a[near], b[near]
-                _union(parent, a, b)
-            joined[0] = parent
-            for level in range(1, len(joined)):
-                cuts = np.arange(0, len(joined[level - 1]), self.fanout)
-                least, most = np.minimum.reduceat(joined[level - 1], cuts), np.maximum.reduceat(joined[level - 1], cuts)
-                joined[level] = np.where(least == most, least, -1)
-            lo, chunk = hi, min(4096, chunk * 2) if pairs < 64 * chunk else max(16, chunk // 2)
-        return parent
+            if parts is None:
+                for a, b in self._near(np.arange(lo, hi), radius, parent, joined):
+                    pairs += len(a)
+                    yield a, b
+            elif parts:
+                a, b = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+                pairs = len(a)
+                yield a, b
+            self._summed(joined)
+            room = max(16, min(4096, FRONTIER * 16 // n)) if self.wide is not None else 4096  # all pairs of a chunk are held
+            lo, chunk = hi, min(room, chunk * 2) if pairs < 64 * chunk else max(16, chunk // 2)
+
+    def _summed(self, joined: list[np.ndarray]) -> None:
+        for level in range(1, len(joined)):
+            cuts = np.arange(0, len(joined[level - 1]), self.fanout)
+            least, most = np.minimum.reduceat(joined[level - 1], cuts), np.maximum.reduceat(joined[level - 1], cuts)
+            joined[level] = np.where(least == most, least, -1)
 
     def _near(self, queries: np.ndarray, radius: int, parent: np.ndarray, joined: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of positions that lead from each query to all within the radius that are not in its group: where a
@@ -271,21 +303,62 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return index.fps[parent[tied]], index.fps[tied]
 
 
-def verified_forest(names: np.ndarray, leads: np.ndarray, wide: np.ndarray, radius: int, wide_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of names, within the radius by their leads and verified by their sketches, that span a bucket's groups."""
+def _nearest(a: np.ndarray, b: np.ndarray, wide: np.ndarray, wide_radius: int, barred: np.ndarray, most: int | None, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs a < b, those within the wide radius, of different groups and not barred: the ``most`` nearest of each a,
+    or, without that, a forest of the nearest."""
+    keep = (parent[a] != parent[b]) & ~np.isin(a * len(parent) + b, barred)
+    a, b = a[keep], b[keep]
+    far = _differences(wide[a], wide[b])
+    near = far <= wide_radius
+    a, b, far = a[near], b[near], far[near]
+    if most is not None:
+        order = np.lexsort((b, far, a))
+        a, b = a[order], b[order]
+        first = np.arange(len(a)) - np.searchsorted(a, a) < most
+        return a[first], b[first]
+    order = np.lexsort((b, a, far))
+    a, b = a[order], b[order]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    chosen = []
+    for i, (x, y) in enumerate(zip(parent[a].tolist(), parent[b].tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            chosen.append(i)
+    return a[chosen], b[chosen]
+
+
+def candidates(names: np.ndarray, leads: np.ndarray, wide: np.ndarray, groups: np.ndarray, refused: list, radius: int, wide_radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Names of a bucket's pairs to verify. ``groups`` names each one's group, ``refused`` the names that it is not similar
+    to; ``most`` as for the index."""
     n = len(leads)
-    if n > RUN:
-        index = GrayIndex(leads, wide=wide, wide_radius=wide_radius)
-        parent, names = index.forest(radius), names[index.order]
+    index = GrayIndex(leads, wide=wide, wide_radius=wide_radius) if n > RUN else None
+    order = index.order if index else np.arange(n)
+    names = names[order]
+    by_name = np.argsort(names)
+    _, own = np.unique(groups[order], return_inverse=True)
+    firsts = np.full(own.max() + 1, n)
+    np.minimum.at(firsts, own, np.arange(n))
+    barred = []
+    for i, at in enumerate(order.tolist()):
+        if refused[at]:
+            other = np.array(refused[at], np.int64).view(np.uint64)
+            places = by_name[np.minimum(np.searchsorted(names[by_name], other), n - 1)]
+            barred += [min(i, j) * n + max(i, j) for j, x in zip(places.tolist(), other.tolist()) if names[j] == x]
+    barred, parent = np.array(barred, np.int64), firsts[own]
+    if index:
+        a, b = index.candidates(radius, parent, barred, most)
     else:
         a, b = np.triu_indices(n, 1)
         near = np.bitwise_count(leads[a] ^ leads[b]) <= radius
-        a, b = a[near], b[near]
-        near = _differences(wide[a], wide[b]) <= wide_radius
-        parent = np.arange(n)
-        _union(parent, a[near], b[near])
-    tied = np.flatnonzero(parent != np.arange(n))
-    return names[parent[tied]], names[tied]
+        a, b = _nearest(a[near], b[near], wide, wide_radius, barred, most, parent)
+    return names[a], names[b]
 
 
 def _masks(bits: list[int], blocks: int) -> list[list[int]]:
@@ -307,13 +380,14 @@ def _further(mask: int, radius: int) -> list[int]:
     return [_signed(mask % (1 << 64) | _mask(x) % (1 << 64)) for x in _masks(left, radius + 1) if x]
 
 
-def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE, wide_radius: int | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE, wide_radius: int | None = None, most: int | None = None) -> DataFrame:
     """Distinct fingerprints in column fp to a spanning set of links (a, b) within the radius.
 
     With ``wide_radius``, fp only names a sketch; its lead is what has to be within the radius, and its wide part within
-    the other. A lead then goes to one bucket per block of ``radius + 1``, as a wide radius leaves too many pairs of blocks.
+    the other; ``label`` names its group and ``refused`` what it is not similar to; and the links are candidates. A lead
+    then goes to one bucket per block of ``radius + 1``, as a wide radius leaves too many pairs of blocks.
     """
-    key, carried, agree = ("fp", ["fp"], 2) if wide_radius is None else ("lead", ["fp", "lead", "wide"], 1)
+    key, carried, agree = ("fp", ["fp"], 2) if wide_radius is None else ("lead", ["fp", "lead", "wide", "label", "refused"], 1)
     blocks = _masks(list(range(BITS)), radius + agree)
     masks = [_mask(sorted(sum(x, []))) for x in combinations(blocks, agree)]
     part = F.col(key).bitwiseAND(F.col("mask")).alias("part")
@@ -341,14 +415,15 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
             if wide_radius is None:
                 values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
             else:
-                names, leads = (column.values.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "lead"))
+                names, leads, groups = (column.values.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "lead", "label"))
+                refused = column.values.field("refused").to_pylist()
                 wide = np.frombuffer(b"".join(column.values.field("wide").to_pylist()), np.uint64).reshape(-1, SKETCH)
             a, b = [], []
             for lo, hi in zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:]):
                 if wide_radius is None:
                     x, y = forest(np.unique(values[lo:hi]), radius)
                 else:
-                    x, y = verified_forest(names[lo:hi], leads[lo:hi], wide[lo:hi], radius, wide_radius)
+                    x, y = candidates(names[lo:hi], leads[lo:hi], wide[lo:hi], groups[lo:hi], refused[lo:hi], radius, wide_radius, most)
                 a.append(x)
                 b.append(y)
             a, b = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
@@ -378,20 +453,73 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(rows: DataFrame, radius: int, hot: int = HOT, wide_radius: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows, stored, and each fingerprint (fp) with the label of its component and the least doc_id there."""
+def shingle_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """fp and shingles, the hashes of its different shingles, for the fingerprints in ``needed`` (fp, and doc_id and
+    text_hash of one row that has it)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column("text"):
+                split = text.as_py().lower().split()
+                sets.append(_shingle_set(np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, len(split)), words).view(np.int64) if split else [])
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    few = needed.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8().alias("text"), F.xxhash64(common.utf8()).alias("text_hash")).alias("d")
+    other = (F.broadcast(needed) if few else needed).alias("o")
+    rows = rows.join(other, (F.col("d.text_hash") == F.col("o.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")))
+    # A row may be repeated as a whole.
+    return common.map_arrow(rows.select("fp", "text"), hashed, "fp long, shingles array<long>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) with ``good``, whether their shingles are as similar as that."""
+    one = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    every = F.size("of_a") + F.size("of_b") - shared
+    return both.select("a", "b", ((every == 0) | (shared >= F.lit(similarity) * every - 1e-9)).alias("good"))
+
+
+def _verified(docs: DataFrame, rows: DataFrame, prints: DataFrame, radius: int, hot: int, wide_radius: int, words: int, similarity: float) -> DataFrame:
+    """Each fingerprint that is in a group (a) with the label of its group, by pairs whose shingles are similar."""
+    none = F.array().cast("array<long>")
+    pool = prints.select("fp", "lead", "wide", F.col("fp").alias("label"), none.alias("refused"))
+    most, asked, sets = None, None, None
+    while True:
+        found = common.stored(links(pool, radius, hot, wide_radius=wide_radius, most=most), "candidates")
+        if sets is not None and not found.limit(1).count():
+            return labels
+        if sets is None:  # whatever has a candidate at all has one in the first round
+            have = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
+            own = rows.groupBy("fp").agg(F.max(F.struct("doc_id", "text_hash")).alias("o"))
+            sets = common.stored(shingle_sets(docs, own.join(have, "fp", "left_semi").select("fp", "o.doc_id", "o.text_hash"), words), "shingles")
+            base = common.stored(prints.join(have, "fp", "left_semi").select("fp", "lead", "wide"), "pool")
+        judged = common.stored(similar(found, sets, similarity), "judged_pairs")
+        asked = judged if asked is None else asked.unionByName(judged)
+        labels = components(asked.where("good"))
+        bad = asked.where("not good")
+        bad = bad.select("a", "b").union(bad.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("refused"))
+        pool = base.join(labels.withColumnRenamed("a", "fp"), "fp", "left").join(bad.withColumnRenamed("a", "fp"), "fp", "left")
+        pool = common.stored(pool.select("fp", "lead", "wide", F.coalesce("label", "fp").alias("label"), F.coalesce("refused", none).alias("refused")), "pool")
+        most = ASKED if most is None else 8 * most
+
+
+def _labelled(rows: DataFrame, linked: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The rows, stored, and each fingerprint (fp) with the label of its component and the least doc_id there; ``linked``
+    gives the labels of those that have any link, from the rows and the different fingerprints."""
     rows = common.stored(rows, "fingerprints")
-    parts = [F.first(c).alias(c) for c in ("lead", "wide") if wide_radius is not None]
+    parts = [F.first(c).alias(c) for c in ("lead", "wide") if c in rows.columns]
     prints = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *parts), "prints")
-    linked = components(links(prints.drop("least"), radius, hot, wide_radius=wide_radius))
-    named = prints.join(linked.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    named = prints.join(linked(rows, prints.drop("least")).withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
     return rows, common.salted(named, ids, ["label"], F.xxhash64("fp")).select("fp", "label", "component_id")
 
 
 def simhash_components(docs: DataFrame, *, radius: int = 4, words: int = 4, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links lead to."""
-    rows, named = _labelled(fingerprints(docs, words), radius, hot)
+    rows, named = _labelled(fingerprints(docs, words), lambda _, prints: components(links(prints, radius, hot)))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
@@ -399,16 +527,16 @@ def simhash_components(docs: DataFrame, *, radius: int = 4, words: int = 4, hot:
 def keep_first(docs: DataFrame, *, radius: int = 4, words: int = 4) -> DataFrame:
     """The documents with the least id of each component. Of rows that share a doc_id, which has to be a key, the one
     with the least hash of its text stays; of a component without any doc_id, one row stays."""
-    return _keep(docs, lambda d: fingerprints(d, words), radius)
+    return _keep(docs, lambda d: fingerprints(d, words), lambda _, prints: components(links(prints, radius, HOT)))
 
 
-def keep_first_similar(docs: DataFrame, *, words: int = 5, radius: int = LEAD_RADIUS, wide_radius: int = SKETCH_RADIUS) -> DataFrame:
-    """As ``keep_first``, of documents whose shingles of so many words have a similarity of about 0.8 or more."""
-    return _keep(docs, lambda d: sketches(d, words), radius, wide_radius)
+def keep_first_similar(docs: DataFrame, *, words: int = 5, similarity: float = SIMILARITY, radius: int = LEAD_RADIUS, wide_radius: int = SKETCH_RADIUS) -> DataFrame:
+    """As ``keep_first``, of documents whose shingles of so many words are linked by a similarity (Jaccard) of so much."""
+    return _keep(docs, lambda d: sketches(d, words), lambda rows, prints: _verified(docs, rows, prints, radius, HOT, wide_radius, words, similarity))
 
 
-def _keep(docs: DataFrame, prints: Callable[[DataFrame], DataFrame], radius: int, wide_radius: int | None = None) -> DataFrame:
-    rows, named = _labelled(prints(docs), radius, HOT, wide_radius)
+def _keep(docs: DataFrame, prints: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    rows, named = _labelled(prints(docs), linked)
     own, text_hash, key = common.unused(docs, "own_id", "text_hash", "row_key")
     judged = rows.where("doc_id is not null").join(named, "fp").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id"))
     judged = judged.withColumn("first", F.min("text_hash").over(Window.partitionBy("doc_id")))
