@@ -1,4 +1,4 @@
-"""Ranked retrieval for tables of queries: vector and lexical candidates, fusion, selection by page."""
+"""Ranked retrieval for tables of queries: vector candidates, fusion with lexical ones, selection by page."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from . import windows
 
 #: Queries in one block, and vectors in one pack that is compared with it.
 BLOCK, PACK = 2048, 4096
-#: Up to so many blocks are broadcast, and the vectors stay where they are; more are joined by a shuffle.
-BROADCAST_BLOCKS = 16
+#: So many blocks are broadcast at a time; for more, the packs are gone through again.
+WAVE = 16
+#: Sampled vectors that the others are grouped around, and bytes of vectors that a task groups at a time.
+PIVOTS, HELD_BYTES = 256, 64 << 20
 
 
 def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -28,29 +30,61 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The k most similar chunks per query by cosine: query_id, chunk_id, score and rank; ties by chunk_id.
 
-    queries has query_id and embedding, chunks chunk_id and embedding. Queries are packed into blocks of about ``BLOCK``
-    and vectors into packs of ``PACK``, all of it in Spark: a row of the join is a block and a pack, a task keeps the k
-    best of each query among the packs that it meets, and Spark ranks those.
+    queries has query_id and embedding, chunks chunk_id and embedding. Queries are packed into blocks of about ``BLOCK``.
+    Vectors are packed where they are read, around the nearest of ``PIVOTS`` sampled ones, each pack with its centre and
+    the angle to its farthest member, so that no member can be nearer to a query than their difference from the query's
+    angle to the centre. A task visits its packs in the order of these bounds, keeps the k best of each query, and leaves
+    out the queries whose k-th best a pack cannot beat. Spark ranks what the tasks kept: k rows a query and task.
     """
-    sound(chunks.sparkSession)
+    spark = sound(chunks.sparkSession)
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     n = max(1, -(-asked.count() // BLOCK))
     numbered = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"), F.struct("query_id", "embedding").alias("q"))
     blocks = numbered.groupBy("block").agg(F.collect_list("q").alias("qs")).select("block", F.col("qs.query_id").alias("query_id"), F.flatten("qs.embedding").alias("q"))
     there = chunks.where(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    packs = there.mapInArrow(_packed, "chunk_id array<long>, x array<double>").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    both = packs.join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, "block")
-    found = both.select("block", "query_id", "q", "chunk_id", "x").mapInArrow(lambda b: _block_top(b, k, digits), "query_id long, chunk_id long, score double")
+    sample = there.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(PIVOTS).collect()
+    held = spark.sparkContext.broadcast(np.array([r["embedding"] for r in sample], np.float64))
+    packs = there.mapInArrow(lambda b: _packed(b, held.value), "chunk_id array<long>, x array<double>, center array<double>, spread double")
+    found = None
+    for wave in range(-(-n // WAVE)):
+        mine = blocks.where(F.expr(f"block div {WAVE}") == wave).withColumn("wave", F.lit(wave))
+        both = packs.withColumn("wave", F.lit(wave)).join(F.broadcast(mine), "wave")
+        part = both.select("block", "query_id", "q", "chunk_id", "x", "center", "spread").mapInArrow(lambda b: _block_top(b, k, digits), "query_id long, chunk_id long, score double")
+        found = part if found is None else found.unionByName(part)
     return _ranked(found, k, F.desc("score"), "chunk_id")
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as rows of up to ``PACK``: their ids, and their components one after another."""
+def _packed(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Vectors as rows of up to ``PACK`` that are near one pivot: their ids, their components one after another, the
+    direction of their centre, and the angle between it and the farthest of them."""
+    units = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-30) if len(pivots) else pivots
+    ids, vectors, size = [], [], 0
+
+    def grouped() -> Iterator[pa.RecordBatch]:
+        own, x = np.concatenate(ids), np.concatenate(vectors)
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+        near = (u @ units.T).argmax(axis=1)
+        order = np.argsort(near, kind="stable")
+        cuts = np.flatnonzero(np.diff(near[order])) + 1
+        for group in np.split(order, cuts):
+            for at in range(0, len(group), PACK):
+                rows = group[at : at + PACK]
+                center = u[rows].mean(axis=0)
+                center /= max(np.linalg.norm(center), 1e-30)
+                spread = float(np.arccos(np.clip(u[rows] @ center, -1, 1)).max())
+                lists = [pa.array([own[rows]], pa.list_(pa.int64())), *(pa.array([v], pa.list_(pa.float64())) for v in (x[rows].ravel(), center))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([spread])], ["chunk_id", "x", "center", "spread"])
+
     for batch in batches:
-        for at in range(0, batch.num_rows, PACK):
-            part = batch.slice(at, PACK)
-            lists = [pa.array([part.column("chunk_id").to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), pa.array([part.column("embedding").flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(lists, ["chunk_id", "x"])
+        if batch.num_rows:
+            ids.append(batch.column("chunk_id").to_numpy(zero_copy_only=False))
+            vectors.append(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            size += vectors[-1].nbytes
+        if size > HELD_BYTES:
+            yield from grouped()
+            ids, vectors, size = [], [], 0
+    if ids:
+        yield from grouped()
 
 
 def _unit(rows: pa.ListScalar, n: int) -> np.ndarray:
@@ -58,26 +92,54 @@ def _unit(rows: pa.ListScalar, n: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+class Nearest:
+    """The k best chunks of each query of a block so far; counts the comparisons of a query with a pack, and those that
+    the bounds spared."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, digits: int):
+        self.ids, self.q, self.k, self.digits = ids, q, k, digits
+        self.score, self.chunk = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+        self.compared = self.spared = 0
+
+    def meet(self, packs: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]) -> None:
+        """packs: chunk ids, unit vectors, centre and spread."""
+        centers, spreads = np.stack([c for _, _, c, _ in packs]), np.array([s for *_, s in packs])
+        angle = np.arccos(np.clip(self.q @ centers.T, -1, 1))
+        bound = np.cos(np.maximum(angle - spreads - 1e-9, 0)) + 2 * 10.0**-self.digits
+        for p in np.argsort(-bound.mean(axis=0), kind="stable").tolist():
+            own, x, _, _ = packs[p]
+            asks = np.ones(len(self.ids), bool) if self.score.shape[1] < self.k else bound[:, p] >= self.score[:, -1]
+            self.compared += int(asks.sum())
+            self.spared += int((~asks).sum())
+            if not asks.any():
+                continue
+            s = np.round(self.q[asks] @ x.T, self.digits) + 0.0
+            s, c = np.concatenate([self.score[asks], s], axis=1), np.concatenate([self.chunk[asks], np.broadcast_to(own, s.shape)], axis=1)
+            if s.shape[1] >= self.k:  # put in order, the k-th last
+                best = _best(s, c, self.k)
+                s, c = np.take_along_axis(s, best, 1), np.take_along_axis(c, best, 1)
+            if asks.all():
+                self.score, self.chunk = s, c
+            else:
+                self.score[asks], self.chunk[asks] = s, c
+
+
 def _block_top(batches: Iterator[pa.RecordBatch], k: int, digits: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple] = {}  # by block: query ids, vectors, best scores and chunks
+    held: dict[int, Nearest] = {}
     for batch in batches:
+        packs: dict[int, list[tuple]] = {}
         for i in range(batch.num_rows):
             block = batch.column("block")[i].as_py()
             if block not in held:
                 ids = np.asarray(batch.column("query_id")[i].values)
-                held[block] = ids, _unit(batch.column("q")[i], len(ids)), np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-            ids, q, best_s, best_c = held[block]
+                held[block] = Nearest(ids, _unit(batch.column("q")[i], len(ids)), k, digits)
             own = np.asarray(batch.column("chunk_id")[i].values)
-            s = np.round(q @ _unit(batch.column("x")[i], len(own)).T, digits) + 0.0
-            s, c = np.concatenate([best_s, s], axis=1), np.concatenate([best_c, np.broadcast_to(own, s.shape)], axis=1)
-            if s.shape[1] > k:
-                best = _best(s, c, k)
-                s, c = np.take_along_axis(s, best, 1), np.take_along_axis(c, best, 1)
-            held[block] = ids, q, s, c
-    for ids, _, s, c in held.values():
-        order = np.lexsort((c, -s), axis=1)
-        s, c = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, s.shape[1])), pa.array(c.ravel()), pa.array(s.ravel())], ["query_id", "chunk_id", "score"])
+            packs.setdefault(block, []).append((own, _unit(batch.column("x")[i], len(own)), np.asarray(batch.column("center")[i].values), batch.column("spread")[i].as_py()))
+        for block, mine in packs.items():
+            held[block].meet(mine)
+    for best in held.values():
+        s, c = best.score, best.chunk
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, s.shape[1])), pa.array(c.ravel()), pa.array(s.ravel())], ["query_id", "chunk_id", "score"])
 
 
 def _best(s: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
@@ -88,28 +150,6 @@ def _best(s: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return col[np.arange(len(row)) - np.searchsorted(row, row) < k].reshape(len(s), k)
 
 
-def postings(chunks: DataFrame, terms: Column) -> DataFrame:
-    """chunk_id, term and how many positions it has; ``terms`` is an array with repeats."""
-    return chunks.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-
-
-def _matched(posts: DataFrame, query_terms: DataFrame, salts: int) -> DataFrame:
-    if salts == 1:
-        return posts.join(query_terms, "term")
-    posts = posts.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    return posts.join(query_terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["term", "_salt"])
-
-
-def lexical(query_terms: DataFrame, posts: DataFrame, k: int, salts: int = 1) -> DataFrame:
-    """The k best chunks per query: 0.1 for each matching position; ties by chunk_id.
-
-    With ``salts``, the postings of each term are dealt out over so many keys, and the query terms go to all of them.
-    """
-    hits = _matched(posts, query_terms, salts).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("matches"))
-    hits = hits.select("query_id", "chunk_id", F.round(F.col("matches") * F.lit(0.1), 6).alias("score"))
-    return _ranked(hits, k, F.desc("score"), "chunk_id")
-
-
 def fuse(lists: list[tuple[DataFrame, float]], k: int, rrf_k: int = 60, keep: list[str] | None = None) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, chunk_id, rank) with their weights.
 
@@ -221,11 +261,6 @@ def safeguarded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(at).cast("bigint"))
 
 
-def matching(query_terms: DataFrame, posts: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) where any term of the query occurs."""
-    return _matched(posts, query_terms, 16).select("query_id", "chunk_id").distinct()
-
-
 def best_scored(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
     """The row with the highest score of each key; keyword hits have to be above zero."""
     return keep_first(rows.where(F.col(score) > 0), keys, [F.desc(score), tie])

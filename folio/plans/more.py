@@ -40,8 +40,7 @@ def s10(t):
 
 @query("p6_full_text_match", f"WITH {r.LEX_SQL} SELECT query_id, count(DISTINCT chunk_id) AS n FROM po JOIN qt USING (term) GROUP BY 1")
 def p6(t):
-    posts = retrieval.postings(t.documents.withColumnRenamed("doc_id", "chunk_id"), r.chunk_terms())
-    return retrieval.matching(r.query_terms(t), posts).groupBy("query_id").agg(F.count("*").alias("n"))
+    return r.words.matching(r.query_terms(t), r.word_index(t))
 
 
 @query("p12_exact_family", f"WITH {r.SCORED_SQL}, x AS (SELECT query_id, chunk_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY document_id, page, chunk_id) AS n FROM sc WHERE document_id IN ('src0', 'src1', 'src2')) SELECT query_id, chunk_id, n FROM x WHERE n <= 4")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..operators import lexical as words
 from ..operators import retrieval
 from ..registry import Tables, query
 
@@ -47,9 +48,12 @@ def query_terms(t: Tables) -> DataFrame:
     return t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(chunk_terms())).alias("term"))
 
 
+def word_index(t: Tables) -> DataFrame:
+    return words.index(t.documents.withColumnRenamed("doc_id", "chunk_id"), chunk_terms())
+
+
 def lexical(t: Tables, k: int = VECTOR_K) -> DataFrame:
-    chunks = t.documents.withColumnRenamed("doc_id", "chunk_id")
-    return retrieval.lexical(query_terms(t), retrieval.postings(chunks, chunk_terms()), k, salts=16)
+    return words.search(query_terms(t), word_index(t), k)
 
 
 def fused(t: Tables) -> DataFrame:
@@ -130,8 +134,8 @@ def hybrid_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
 
 def hybrid(t: Tables) -> DataFrame:
     """The selected rows, before companions are added."""
-    vector, words, chunks, named = hybrid_inputs(t)
-    selected = retrieval.hybrid_select(retrieval.hybrid_candidates(vector, words, chunks, named, CFG), CFG)
+    vector, lexical_list, chunks, named = hybrid_inputs(t)
+    selected = retrieval.hybrid_select(retrieval.hybrid_candidates(vector, lexical_list, chunks, named, CFG), CFG)
     return retrieval.only_named(selected.withColumnRenamed("place", "final_rank"), named)
 
 
