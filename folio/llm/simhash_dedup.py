@@ -53,8 +53,8 @@ FRONTIER = 1 << 18
 #: pairs of similar documents 337 are.
 LEAD_WORDS, LEAD_RADIUS = 1, 8
 #: Sketches of so many fingerprints. At a similarity of 0.8 their 512 bits differ in 77.6 on average, with a deviation
-#: of 8.1, at 0.7 in 98.6, at 0.6 in 118: four deviations above the first are allowed.
-SKETCH, SKETCH_RADIUS = 8, 110
+#: of 8.1, at 0.7 in 98.6, at 0.6 in 118: three deviations above the first are allowed.
+SKETCH, SKETCH_RADIUS = 8, 102
 SIMILARITY = 0.8
 #: Candidates that a document asks about in the second round, at most; eight times as many in each further one.
 ASKED = 16
@@ -198,14 +198,15 @@ class GrayIndex:
             _union(parent, a, b)
         return parent
 
-    def candidates(self, radius: int, groups: np.ndarray, barred: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of positions within both radii and of different groups, less the ``barred`` ones (first * n + second):
-        the ``most`` nearest of each position, or, without that, a forest that spans all of them."""
+    def candidates(self, radius: int, groups: np.ndarray, barred: np.ndarray, most: int | None, earlier: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of positions within both radii and of different groups, less the ``barred`` ones (first * n + second) and
+        those that agree on all bits of a mask in ``earlier``, which are met elsewhere: the ``most`` nearest of each
+        position, or, without that, a forest that spans all of them."""
         nothing = np.empty(0, np.int64)
         parent, found = groups.copy(), [(nothing, nothing)]
         for a, b in self._chunks(radius, parent):
-            a, b = _nearest(a, b, self.wide, self.wide_radius, barred, most, parent)
-            found.append((a, b))
+            a, b, here = _nearest(a, b, self.fps, self.wide, self.wide_radius, barred, most, parent, earlier)
+            found.append((a[here], b[here]))
             if most is None:
                 _union(parent, a, b)
         return tuple(np.concatenate([x[i] for x in found]) for i in (0, 1))
@@ -231,7 +232,7 @@ class GrayIndex:
                 pairs = len(a)
                 yield a, b
             self._summed(joined)
-            room = max(16, min(4096, FRONTIER * 16 // n)) if self.wide is not None else 4096  # all pairs of a chunk are held
+            room = max(16, min(4096, FRONTIER * 2 // n)) if self.wide is not None else 4096  # all pairs of a chunk are held
             lo, chunk = hi, min(room, chunk * 2) if pairs < 64 * chunk else max(16, chunk // 2)
 
     def _summed(self, joined: list[np.ndarray]) -> None:
@@ -303,21 +304,29 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return index.fps[parent[tied]], index.fps[tied]
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, wide: np.ndarray, wide_radius: int, barred: np.ndarray, most: int | None, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs a < b, those within the wide radius, of different groups and not barred: the ``most`` nearest of each a,
-    or, without that, a forest of the nearest."""
+def _nearest(
+    a: np.ndarray, b: np.ndarray, leads: np.ndarray, wide: np.ndarray, wide_radius: int, barred: np.ndarray, most: int | None, parent: np.ndarray, earlier: list[int]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs a < b, those within the wide radius, of different groups and not barred: a forest of the nearest, or the
+    ``most`` nearest of each member of the smaller group; and which of them are this bucket's to report."""
     keep = (parent[a] != parent[b]) & ~np.isin(a * len(parent) + b, barred)
     a, b = a[keep], b[keep]
     far = _differences(wide[a], wide[b])
     near = far <= wide_radius
     a, b, far = a[near], b[near], far[near]
+    here = np.ones(len(a), bool)
+    for mask in earlier:
+        here &= ((leads[a] ^ leads[b]) & np.uint64(mask)) != 0
     if most is not None:
-        order = np.lexsort((b, far, a))
-        a, b = a[order], b[order]
-        first = np.arange(len(a)) - np.searchsorted(a, a) < most
-        return a[first], b[first]
+        size = np.bincount(parent)
+        asks = np.where(size[parent[a]] <= size[parent[b]], a, b)[here]
+        a, b, far = a[here], b[here], far[here]
+        order = np.lexsort((b, a, far, asks))
+        asks = asks[order]
+        chosen = order[np.arange(len(asks)) - np.searchsorted(asks, asks) < most]
+        return a[chosen], b[chosen], np.ones(len(chosen), bool)
     order = np.lexsort((b, a, far))
-    a, b = a[order], b[order]
+    a, b, here = a[order], b[order], here[order]
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -331,12 +340,12 @@ def _nearest(a: np.ndarray, b: np.ndarray, wide: np.ndarray, wide_radius: int, b
         if x != y:
             root[max(x, y)] = min(x, y)
             chosen.append(i)
-    return a[chosen], b[chosen]
+    return a[chosen], b[chosen], here[chosen]
 
 
-def candidates(names: np.ndarray, leads: np.ndarray, wide: np.ndarray, groups: np.ndarray, refused: list, radius: int, wide_radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+def candidates(names: np.ndarray, leads: np.ndarray, wide: np.ndarray, groups: np.ndarray, refused: list, radius: int, wide_radius: int, most: int | None, earlier: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Names of a bucket's pairs to verify. ``groups`` names each one's group, ``refused`` the names that it is not similar
-    to; ``most`` as for the index."""
+    to; ``most`` and ``earlier`` as for the index."""
     n = len(leads)
     index = GrayIndex(leads, wide=wide, wide_radius=wide_radius) if n > RUN else None
     order = index.order if index else np.arange(n)
@@ -353,11 +362,12 @@ def candidates(names: np.ndarray, leads: np.ndarray, wide: np.ndarray, groups: n
             barred += [min(i, j) * n + max(i, j) for j, x in zip(places.tolist(), other.tolist()) if names[j] == x]
     barred, parent = np.array(barred, np.int64), firsts[own]
     if index:
-        a, b = index.candidates(radius, parent, barred, most)
+        a, b = index.candidates(radius, parent, barred, most, earlier)
     else:
         a, b = np.triu_indices(n, 1)
         near = np.bitwise_count(leads[a] ^ leads[b]) <= radius
-        a, b = _nearest(a[near], b[near], wide, wide_radius, barred, most, parent)
+        a, b, here = _nearest(a[near], b[near], leads, wide, wide_radius, barred, most, parent, earlier)
+        a, b = a[here], b[here]
     return names[a], names[b]
 
 
@@ -387,11 +397,12 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
     the other; ``label`` names its group and ``refused`` what it is not similar to; and the links are candidates. A lead
     then goes to one bucket per block of ``radius + 1``, as a wide radius leaves too many pairs of blocks.
     """
-    key, carried, agree = ("fp", ["fp"], 2) if wide_radius is None else ("lead", ["fp", "lead", "wide", "label", "refused"], 1)
+    key, carried, agree = ("fp", ["fp"], 2) if wide_radius is None else ("lead", ["fp", "lead", "wide", "label", "refused", "base"], 1)
     blocks = _masks(list(range(BITS)), radius + agree)
     masks = [_mask(sorted(sum(x, []))) for x in combinations(blocks, agree)]
     part = F.col(key).bitwiseAND(F.col("mask")).alias("part")
-    dealt = prints.select(*carried, F.explode(F.array(*map(F.lit, masks))).alias("mask")).select(*carried, "mask", part)
+    held = [c for c in carried if c != "base"]
+    dealt = prints.select(*held, F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("base", F.col("mask")).select(*carried, "mask", part)
     most, done = hot, []
     while True:
         sizes = dealt.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
@@ -406,8 +417,8 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
         table = F.create_map(*[x for m, further in ways.items() for x in (F.lit(m), F.array(*map(F.lit, further)))])
         dealt = common.stored(again.select(*carried, F.explode(table[F.col("mask")]).alias("mask")).select(*carried, "mask", part), "dealt")
         most = large
-    item = F.col("fp") if wide_radius is None else F.struct(*carried)
-    grouped = reduce(DataFrame.unionByName, done).groupBy("mask", "part").agg(F.collect_list(item).alias("fps")).where(F.size("fps") > 1)
+    item, keys = (F.col("fp"), ["mask", "part"]) if wide_radius is None else (F.struct(*held), ["mask", "part", "base"])
+    grouped = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(F.collect_list(item).alias("fps")).where(F.size("fps") > 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,19 +428,20 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
             else:
                 names, leads, groups = (column.values.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "lead", "label"))
                 refused = column.values.field("refused").to_pylist()
+                bases = batch.column("base").to_pylist()
                 wide = np.frombuffer(b"".join(column.values.field("wide").to_pylist()), np.uint64).reshape(-1, SKETCH)
             a, b = [], []
-            for lo, hi in zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:]):
+            for at, (lo, hi) in enumerate(zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:])):
                 if wide_radius is None:
                     x, y = forest(np.unique(values[lo:hi]), radius)
                 else:
-                    x, y = candidates(names[lo:hi], leads[lo:hi], wide[lo:hi], groups[lo:hi], refused[lo:hi], radius, wide_radius, most)
+                    x, y = candidates(names[lo:hi], leads[lo:hi], wide[lo:hi], groups[lo:hi], refused[lo:hi], radius, wide_radius, most, [m % 2**64 for m in masks[: masks.index(bases[at])]])
                 a.append(x)
                 b.append(y)
             a, b = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return grouped.select("fps").mapInArrow(search, "a long, b long").distinct()
+    return grouped.select("fps", *(["base"] if wide_radius is not None else [])).mapInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
