@@ -2,39 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_WHOLE = ["query_id", "chunk_id", "page", "chunk_index", "place"]
-
 
 def with_companions(selected: DataFrame, companions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """selected: query_id, chunk_id, rank; companions: query_id, chunk_id, place. A query has some fifteen selected rows
-    and a dozen companions, so each query's rows are folded together in one small group."""
+    """selected: query_id, chunk_id, rank; companions: query_id, chunk_id, place. Companions come in one after another: one
+    that is not there yet takes the place of the last row of another page, if there is any. Then the rows of each page
+    stand, in the places that the page has, in the order of the source. A query has some fifteen selected rows and a dozen
+    companions, which are folded as arrays of its one row."""
     meta = chunks.select("chunk_id", "document_id", "page", "chunk_index")
+    row = F.struct("document_id", "page", "chunk_index", "chunk_id")
     a = selected.select("query_id", "chunk_id", F.col("rank").cast("long").alias("place"), F.lit(0).alias("kind"))
     b = companions.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"), F.lit(1).alias("kind"))
-    schema = f"query_id long, chunk_id long, document_id {meta.schema['document_id'].dataType.simpleString()}, page long, chunk_index long, place long"
-    return a.unionByName(b).join(meta, "chunk_id").groupBy("query_id").applyInPandas(_fold, schema)
+    rows = a.unionByName(b).join(meta, "chunk_id").select("query_id", "kind", F.struct(F.col("place").alias("place"), row.alias("row")).alias("r"))
+    in_order = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("r")))), lambda x: x["row"])
+    folded = rows.groupBy("query_id").agg(in_order(0).alias("kept"), in_order(1).alias("extra"))
+    folded = folded.select("query_id", F.posexplode(F.aggregate("extra", F.col("kept"), _replaced)).alias("at", "row")).select("query_id", "at", "row.*")
+    page = Window.partitionBy("query_id", "document_id", "page")
+    spots = F.array_sort(F.collect_list("at").over(page))
+    rows = folded.withColumn("place", F.element_at(spots, F.row_number().over(page.orderBy("chunk_index", "chunk_id"))) + 1)
+    return rows.select("query_id", "chunk_id", "document_id", F.col("page").cast("long").alias("page"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("place").cast("long").alias("place"))
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    rows = group.sort_values(["kind", "place", "document_id", "page", "chunk_index"]).to_dict("records")
-    kept = [r for r in rows if r["kind"] == 0]
-    page = lambda r: (r["document_id"], r["page"])
-    for extra in (r for r in rows if r["kind"] == 1):
-        if any(r["chunk_id"] == extra["chunk_id"] for r in kept):
-            continue
-        spare = [i for i, r in enumerate(kept) if page(r) != page(extra)]
-        if spare:
-            kept[spare[-1]] = extra
-    spots: dict[tuple, list[int]] = {}
-    for i, r in enumerate(kept):
-        spots.setdefault(page(r), []).append(i)
-    out = list(kept)
-    for places in spots.values():  # rows of one page stand in the order of the source
-        for i, r in zip(places, sorted((kept[j] for j in places), key=lambda r: (r["chunk_index"], r["chunk_id"]))):
-            out[i] = r
-    frame = pd.DataFrame([{**r, "place": i + 1} for i, r in enumerate(out)])
-    return frame[["query_id", "chunk_id", "document_id", "page", "chunk_index", "place"]].astype(dict.fromkeys(_WHOLE, "int64"))
+def _replaced(kept: Column, extra: Column) -> Column:
+    elsewhere = lambda x: ~(x["document_id"].eqNullSafe(extra["document_id"]) & x["page"].eqNullSafe(extra["page"]))
+    spare = F.array_max(F.transform(kept, lambda x, i: F.when(elsewhere(x), i)))
+    known = F.exists(kept, lambda x: x["chunk_id"] == extra["chunk_id"])
+    return F.when(known | spare.isNull(), kept).otherwise(F.transform(kept, lambda x, i: F.when(i == spare, extra).otherwise(x)))

@@ -109,7 +109,7 @@ na AS (SELECT doc_id AS query_id, source FROM documents WHERE doc_id % 50 = 0),
 ex AS (SELECT query_id, chunk_id, 0.0::DOUBLE AS score, n AS rank, 0 AS p FROM na JOIN hd USING (source)),
 lu AS (SELECT * FROM ex UNION ALL SELECT query_id, chunk_id, score, rank, 1 FROM lr ANTI JOIN ex USING (query_id, chunk_id)),
 lx AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY p, rank) AS rank FROM lu),
-pr AS (SELECT query_id, chunk_id, 1.0::DOUBLE / ({CFG.rrf_k} + rank) AS part, score AS v, NULL AS x FROM vr UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / ({CFG.rrf_k} + rank), NULL, score FROM lx),
+pr AS (SELECT query_id, chunk_id, 1.0::DOUBLE / ({CFG.rrf_k} + rank) AS part, score AS v, NULL::DOUBLE AS x FROM vr UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / ({CFG.rrf_k} + rank), NULL, score FROM lx),
 fs AS (SELECT query_id, chunk_id, round(sum(part), 9) AS rrf_score, max(v) AS vector_score, max(x) AS text_score FROM pr GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM fs QUALIFY rank <= {CFG.candidates}),
 ca AS (SELECT f.*, d.source AS document_id, d.n_chars AS page FROM fr f JOIN documents d ON d.doc_id = f.chunk_id),
@@ -149,12 +149,6 @@ def c1(t):
     return hybrid(t).select(*_C1_COLUMNS)
 
 
-@query("c1_hybrid_with_companions")
-def c1_companions(t):
-    """The same with companions of the best rows in place of weak ones."""
-    return retrieval.hybrid_retrieve(*hybrid_inputs(t), CFG)
-
-
 @query("c1_hybrid_retrieve_whole", f"WITH {FUSE_SQL},\n{_SCORED_TAIL},\n{_C1_TAIL}")
 def c1_whole(t):
     """Fusion of twenty candidates a list, bounded relevance, lexical bonus and the final cut, without the other steps."""

@@ -18,6 +18,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Write a table to a new scratch folder and read it back: computed once, and safe from lost executors."""
+    path = scratch(rows.sparkSession) + "/table"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def clean(spark: SparkSession, frame: DataFrame) -> None:
+    """Delete the scratch folder that a stored table was written to, once nothing reads it any more."""
+    for file in frame.inputFiles()[:1]:
+        at = file.find("/folio-")
+        if at < 0:
+            raise ValueError("not a stored table")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file[: file.index("/", at + 1)])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     out = rows.write.mode("append")
     (out.partitionBy(*by) if by else out).parquet(path)
