@@ -57,7 +57,7 @@ LEAD_WORDS, LEAD_RADIUS = 1, 8
 SKETCH, SKETCH_RADIUS = 8, 102
 SIMILARITY = 0.8
 #: Candidates that a document asks about in the second round, at most; eight times as many in each further one.
-ASKED = 16
+ASKED = 2
 _STEP = 0x9E3779B97F4A7C15
 _SEEDS = np.array([k * _STEP % 2**64 for k in range(1, SKETCH + 1)], np.uint64)
 #: Buckets of up to so many documents are one run, without nodes over it.
@@ -361,7 +361,16 @@ def candidates(names: np.ndarray, leads: np.ndarray, wide: np.ndarray, groups: n
             places = by_name[np.minimum(np.searchsorted(names[by_name], other), n - 1)]
             barred += [min(i, j) * n + max(i, j) for j, x in zip(places.tolist(), other.tolist()) if names[j] == x]
     barred, parent = np.array(barred, np.int64), firsts[own]
-    if index:
+    if index and most is None:
+        # Copies of one text are nearer to it than to each other, and it is nearest to what most of them say.
+        middle = np.frombuffer(_majority_bits(index.wide), np.uint64)
+        pivot = int(_differences(index.wide, middle[None]).argmin())
+        others = np.flatnonzero(np.bitwise_count(index.fps ^ index.fps[pivot]) <= radius)
+        a, b, here = _nearest(np.minimum(others, pivot), np.maximum(others, pivot), index.fps, index.wide, wide_radius, barred, None, parent, earlier)
+        _union(parent, a, b)
+        x, y = index.candidates(radius, parent, barred, None, earlier)
+        a, b = np.concatenate([a[here], x]), np.concatenate([b[here], y])
+    elif index:
         a, b = index.candidates(radius, parent, barred, most, earlier)
     else:
         a, b = np.triu_indices(n, 1)
@@ -390,6 +399,13 @@ def _further(mask: int, radius: int) -> list[int]:
     return [_signed(mask % (1 << 64) | _mask(x) % (1 << 64)) for x in _masks(left, radius + 1) if x]
 
 
+def _earlier(path: list[int], masks: list[int], radius: int) -> list[int]:
+    """Of the masks that lead to a bucket one after another, those that come before each of them: a pair that agrees on
+    one of these is met in another bucket."""
+    ways = [masks, *(_further(m, radius) for m in path[:-1])]
+    return [m % 2**64 for mask, way in zip(path, ways) for m in way[: way.index(mask)]]
+
+
 def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE, wide_radius: int | None = None, most: int | None = None) -> DataFrame:
     """Distinct fingerprints in column fp to a spanning set of links (a, b) within the radius.
 
@@ -397,12 +413,12 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
     the other; ``label`` names its group and ``refused`` what it is not similar to; and the links are candidates. A lead
     then goes to one bucket per block of ``radius + 1``, as a wide radius leaves too many pairs of blocks.
     """
-    key, carried, agree = ("fp", ["fp"], 2) if wide_radius is None else ("lead", ["fp", "lead", "wide", "label", "refused", "base"], 1)
+    key, carried, agree = ("fp", ["fp"], 2) if wide_radius is None else ("lead", ["fp", "lead", "wide", "label", "refused", "path"], 1)
     blocks = _masks(list(range(BITS)), radius + agree)
     masks = [_mask(sorted(sum(x, []))) for x in combinations(blocks, agree)]
     part = F.col(key).bitwiseAND(F.col("mask")).alias("part")
-    held = [c for c in carried if c != "base"]
-    dealt = prints.select(*held, F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("base", F.col("mask")).select(*carried, "mask", part)
+    held = [c for c in carried if c != "path"]
+    dealt = prints.select(*held, F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("path", F.array("mask")).select(*carried, "mask", part)
     most, done = hot, []
     while True:
         sizes = dealt.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
@@ -415,9 +431,12 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
         again = dealt.join(crowded.select("mask", "part"), ["mask", "part"], "left_semi")
         done.append(dealt.join(crowded.select("mask", "part"), ["mask", "part"], "left_anti"))
         table = F.create_map(*[x for m, further in ways.items() for x in (F.lit(m), F.array(*map(F.lit, further)))])
-        dealt = common.stored(again.select(*carried, F.explode(table[F.col("mask")]).alias("mask")).select(*carried, "mask", part), "dealt")
+        dealt = again.select(*carried, F.explode(table[F.col("mask")]).alias("mask"))
+        if wide_radius is not None:
+            dealt = dealt.withColumn("path", F.concat("path", F.array("mask")))
+        dealt = common.stored(dealt.select(*carried, "mask", part), "dealt")
         most = large
-    item, keys = (F.col("fp"), ["mask", "part"]) if wide_radius is None else (F.struct(*held), ["mask", "part", "base"])
+    item, keys = (F.col("fp"), ["mask", "part"]) if wide_radius is None else (F.struct(*held), ["mask", "part", "path"])
     grouped = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(F.collect_list(item).alias("fps")).where(F.size("fps") > 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,20 +447,20 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
             else:
                 names, leads, groups = (column.values.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "lead", "label"))
                 refused = column.values.field("refused").to_pylist()
-                bases = batch.column("base").to_pylist()
+                paths = batch.column("path").to_pylist()
                 wide = np.frombuffer(b"".join(column.values.field("wide").to_pylist()), np.uint64).reshape(-1, SKETCH)
             a, b = [], []
             for at, (lo, hi) in enumerate(zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:])):
                 if wide_radius is None:
                     x, y = forest(np.unique(values[lo:hi]), radius)
                 else:
-                    x, y = candidates(names[lo:hi], leads[lo:hi], wide[lo:hi], groups[lo:hi], refused[lo:hi], radius, wide_radius, most, [m % 2**64 for m in masks[: masks.index(bases[at])]])
+                    x, y = candidates(names[lo:hi], leads[lo:hi], wide[lo:hi], groups[lo:hi], refused[lo:hi], radius, wide_radius, most, _earlier(paths[at], masks, radius))
                 a.append(x)
                 b.append(y)
             a, b = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return grouped.select("fps", *(["base"] if wide_radius is not None else [])).mapInArrow(search, "a long, b long").distinct()
+    return grouped.select("fps", *(["path"] if wide_radius is not None else [])).mapInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
