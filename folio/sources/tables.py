@@ -40,16 +40,17 @@ def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, row_id: str) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, row_id: str, last: int | None = None) -> DataFrame:
     """Rows of ``new`` replace the other columns of those with their key and keep the id; new keys get ids after the
-    largest. Ids are dealt by ranges: every partition counts its own rows, so no task sees them all."""
+    largest, or after ``last``. Ids are dealt by ranges: every partition counts its own rows, so no task sees them all."""
     cols = [c for c in old.columns if c not in (key, row_id)]
     both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     merged = both.select(
         F.col(f"o.{row_id}").alias(row_id), F.coalesce(f"n.{key}", f"o.{key}").alias(key), *[F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in cols]
     )
     fresh = merged.where(F.col(row_id).isNull()).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(256)))
-    last = old.agg(F.coalesce(F.max(row_id), F.lit(0)).alias("m")).first()["m"]
+    if last is None:
+        last = old.agg(F.coalesce(F.max(row_id), F.lit(0)).alias("m")).first()["m"]
     sizes = fresh.groupBy("_salt").agg(F.count("*").alias("n"))
     base = sizes.select("_salt", F.coalesce(F.sum("n").over(Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # 256 rows
     numbered = fresh.join(F.broadcast(base), "_salt").withColumn(row_id, F.lit(last) + F.col("_base") + F.row_number().over(Window.partitionBy("_salt").orderBy(key)))
