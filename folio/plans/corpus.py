@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest
-from ..registry import query
-from ..sources import tables
+from ..registry import ORACLE_SQL, query
+from ..sources import buckets, tables
 
 
 @query("x18_chunker")
@@ -108,6 +108,31 @@ def s8(t):
     return tables.replace_keys(old, new, "o_custkey")
 
 
+#: Buckets of the small tables here.
+_BUCKETS = 32
+
+
+@query("s7_bucket_upsert", ORACLE_SQL["s7_upsert"])
+def s7_buckets(t):
+    """The upsert as a write: only the buckets of the keys that come in are rewritten."""
+    path = tables.scratch(t.spark) + "/missions"
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_acctbal").alias("v"), "c_nationkey")
+    old = rows.where("c_nationkey < 15").select("id", "title", "v")
+    buckets.create(old, path, "title", _BUCKETS)
+    buckets.upsert(t.spark, path, rows.where("c_nationkey >= 10").select("title", (-F.col("v")).alias("v")), "title", "id", _BUCKETS)
+    last = old.agg(F.max("id")).first()[0]
+    return buckets.read(t.spark, path).select((F.col("id") <= last).alias("known"), "title", "v")
+
+
+@query("s8_bucket_replace", ORACLE_SQL["s8_replace_keys"])
+def s8_buckets(t):
+    path = tables.scratch(t.spark) + "/chunks"
+    new = t.orders.where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice"))
+    buckets.create(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), path, "o_custkey", _BUCKETS)
+    buckets.replace(t.spark, path, new, "o_custkey", _BUCKETS)
+    return buckets.read(t.spark, path).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
 @query("s9_cascading_delete", "SELECT 'customer' AS side, count(*) AS n FROM customer WHERE c_acctbal >= 1000 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 1000)")
 def s9(t):
     gone = t.customer.where("c_acctbal < 1000")
@@ -116,6 +141,19 @@ def s9(t):
     return side(parents, "customer").unionByName(side(children, "orders"))
 
 
+@query("s9_bucket_cascade", ORACLE_SQL["s9_cascading_delete"])
+def s9_buckets(t):
+    """Parents and children lie in buckets of the same key: each table is rewritten where the parents that go are."""
+    gone = t.customer.where("c_acctbal < 1000").select("c_custkey")
+    sides = []
+    for rows, key, name in ((t.customer, "c_custkey", "customer"), (t.orders, "o_custkey", "orders")):
+        path = f"{tables.scratch(t.spark)}/{name}"
+        buckets.create(rows, path, key, _BUCKETS)
+        buckets.delete(t.spark, path, gone.select(F.col("c_custkey").alias(key)), key, _BUCKETS)
+        sides.append(buckets.read(t.spark, path).agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n"))
+    return sides[0].unionByName(sides[1])
+
+
 @query("s18_manifest", "SELECT count(*) AS files, sum(length(text))::BIGINT AS size, array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM documents")
 def s18(t):
     rows = t.documents.agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("size"), F.sort_array(F.collect_set("lang")).alias("l"), F.sort_array(F.collect_set("source")).alias("s"))
