@@ -47,8 +47,9 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> D
     packs = there.mapInArrow(lambda b: _packed(b, held.value), "chunk_id array<long>, x array<double>, center array<double>, spread double")
     found = None
     for wave in range(-(-n // WAVE)):
-        mine = blocks.where(F.expr(f"block div {WAVE}") == wave).withColumn("wave", F.lit(wave))
-        both = packs.withColumn("wave", F.lit(wave)).join(F.broadcast(mine), "wave")
+        first, last = wave * WAVE, min(n, (wave + 1) * WAVE) - 1
+        mine = blocks.where(F.col("block").between(first, last))
+        both = packs.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(F.broadcast(mine), "block")
         part = both.select("block", "query_id", "q", "chunk_id", "x", "center", "spread").mapInArrow(lambda b: _block_top(b, k, digits), "query_id long, chunk_id long, score double")
         found = part if found is None else found.unionByName(part)
     return _ranked(found, k, F.desc("score"), "chunk_id")
