@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Bytes in one Arrow batch.
-ARROW_BYTES = 64 << 20
+ARROW_BYTES = 16 << 20
 
 
 def sound(spark: SparkSession) -> SparkSession:
