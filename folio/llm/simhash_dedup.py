@@ -448,7 +448,9 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
                 names, leads, groups = (column.values.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "lead", "label"))
                 refused = column.values.field("refused").to_pylist()
                 paths = batch.column("path").to_pylist()
-                wide = np.frombuffer(b"".join(column.values.field("wide").to_pylist()), np.uint64).reshape(-1, SKETCH)
+                packed = column.values.field("wide")  # never null, and of one length
+                ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+                wide = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64).reshape(-1, SKETCH)
             a, b = [], []
             for at, (lo, hi) in enumerate(zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:])):
                 if wide_radius is None:
