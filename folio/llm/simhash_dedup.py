@@ -47,8 +47,8 @@ LARGE = 1_000_000
 #: Buckets are dealt out again so many times at most: more would not part fingerprints that are all alike.
 ROUNDS = 3
 FANOUT = 16
-#: Nodes that a search looks at together.
-FRONTIER = 1 << 18
+#: Nodes that a search looks at together, each with its children; pairs of a chunk that are held to be verified.
+FRONTIER, HELD_PAIRS = 1 << 16, 1 << 19
 #: Similar documents are searched by the fingerprint of shingles of so many words, within so many bits: of 338 sampled
 #: pairs of similar documents 337 are.
 LEAD_WORDS, LEAD_RADIUS = 1, 8
@@ -232,7 +232,7 @@ class GrayIndex:
                 pairs = len(a)
                 yield a, b
             self._summed(joined)
-            room = max(16, min(4096, FRONTIER * 2 // n)) if self.wide is not None else 4096  # all pairs of a chunk are held
+            room = max(16, min(4096, HELD_PAIRS // n)) if self.wide is not None else 4096  # all pairs of a chunk are held
             lo, chunk = hi, min(room, chunk * 2) if pairs < 64 * chunk else max(16, chunk // 2)
 
     def _summed(self, joined: list[np.ndarray]) -> None:
