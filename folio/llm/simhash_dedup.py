@@ -58,6 +58,8 @@ SKETCH, SKETCH_RADIUS = 8, 102
 SIMILARITY = 0.8
 #: Candidates that a document asks about in the second round, at most; eight times as many in each further one.
 ASKED = 2
+#: Fingerprints with the most candidates, which all others ask first.
+HUBS = 64
 _STEP = 0x9E3779B97F4A7C15
 _SEEDS = np.array([k * _STEP % 2**64 for k in range(1, SKETCH + 1)], np.uint64)
 #: Buckets of up to so many documents are one run, without nodes over it.
@@ -380,6 +382,15 @@ def candidates(names: np.ndarray, leads: np.ndarray, wide: np.ndarray, groups: n
     return names[a], names[b]
 
 
+def _asking(names: np.ndarray, wide: np.ndarray, groups: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's pairs of names with the member of the smaller group first, and the bits in which their sketches differ."""
+    order = np.argsort(names)
+    i, j = (order[np.searchsorted(names[order], x)] for x in (a, b))
+    _, group, size = np.unique(groups, return_inverse=True, return_counts=True)
+    small = size[group[i]] <= size[group[j]]
+    return np.where(small, a, b), np.where(small, b, a), _differences(wide[i], wide[j])
+
+
 def _masks(bits: list[int], blocks: int) -> list[list[int]]:
     return [list(map(int, part)) for part in np.array_split(np.array(bits), blocks)]
 
@@ -411,7 +422,8 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
 
     With ``wide_radius``, fp only names a sketch; its lead is what has to be within the radius, and its wide part within
     the other; ``label`` names its group and ``refused`` what it is not similar to; and the links are candidates. A lead
-    then goes to one bucket per block of ``radius + 1``, as a wide radius leaves too many pairs of blocks.
+    then goes to one bucket per block of ``radius + 1``, as a wide radius leaves too many pairs of blocks. ``far`` is
+    the number of bits in which their sketches differ.
     """
     key, carried, agree = ("fp", ["fp"], 2) if wide_radius is None else ("lead", ["fp", "lead", "wide", "label", "refused", "path"], 1)
     blocks = _masks(list(range(BITS)), radius + agree)
@@ -451,18 +463,25 @@ def links(prints: DataFrame, radius: int = 4, hot: int = HOT, large: int = LARGE
                 packed = column.values.field("wide")  # never null, and of one length
                 ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
                 wide = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64).reshape(-1, SKETCH)
-            a, b = [], []
+            a, b, far = [], [], []
             for at, (lo, hi) in enumerate(zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:])):
                 if wide_radius is None:
                     x, y = forest(np.unique(values[lo:hi]), radius)
                 else:
                     x, y = candidates(names[lo:hi], leads[lo:hi], wide[lo:hi], groups[lo:hi], refused[lo:hi], radius, wide_radius, most, _earlier(paths[at], masks, radius))
+                    x, y, bits = _asking(names[lo:hi], wide[lo:hi], groups[lo:hi], x, y)
+                    far.append(bits)
                 a.append(x)
                 b.append(y)
             a, b = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if wide_radius is None:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate(far) if far else far, pa.int64())], ["a", "b", "far"])
 
-    return grouped.select("fps", *(["path"] if wide_radius is not None else [])).mapInArrow(search, "a long, b long").distinct()
+    if wide_radius is None:
+        return grouped.select("fps").mapInArrow(search, "a long, b long").distinct()
+    return grouped.select("fps", "path").mapInArrow(search, "a long, b long, far long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -515,6 +534,25 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", ((every == 0) | (shared >= F.lit(similarity) * every - 1e-9)).alias("good"))
 
 
+def _asked(found: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) of the candidates to verify in this round; the others come up again while they lead to another group.
+
+    A member of a large group meets it in every bucket that it was dealt to, and each bucket links it anew. At first each
+    fingerprint asks one candidate, one of the ``HUBS`` that most have in common if it can, then the nearest ``most``.
+    """
+    if most is not None:
+        nearest = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "b"))), 1, most).alias("of"))
+        return nearest.select("a", F.explode("of.b").alias("b"))
+    both = found.select("a", "b", "far").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    hubs = [r["a"] for r in both.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(HUBS).collect()]
+    if not hubs:
+        return found.select("a", "b")
+    place = F.array_position(F.array(*map(F.lit, hubs)), F.col("b"))
+    order = F.struct(F.when(place > 0, place).otherwise(HUBS + 1).alias("place"), "far", "b")
+    one = both.groupBy("a").agg(F.min(order).alias("one")).select("a", F.col("one.b").alias("b"))
+    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _verified(docs: DataFrame, rows: DataFrame, prints: DataFrame, radius: int, hot: int, wide_radius: int, words: int, similarity: float) -> DataFrame:
     """Each fingerprint that is in a group (a) with the label of its group, by pairs whose shingles are similar."""
     none = F.array().cast("array<long>")
@@ -529,7 +567,7 @@ def _verified(docs: DataFrame, rows: DataFrame, prints: DataFrame, radius: int,
             own = rows.groupBy("fp").agg(F.max(F.struct("doc_id", "text_hash")).alias("o"))
             sets = common.stored(shingle_sets(docs, own.join(have, "fp", "left_semi").select("fp", "o.doc_id", "o.text_hash"), words), "shingles")
             base = common.stored(prints.join(have, "fp", "left_semi").select("fp", "lead", "wide"), "pool")
-        judged = common.stored(similar(found, sets, similarity), "judged_pairs")
+        judged = common.stored(similar(_asked(found, most), sets, similarity), "judged_pairs")
         asked = judged if asked is None else asked.unionByName(judged)
         labels = components(asked.where("good"))
         bad = asked.where("not good")
