@@ -168,15 +168,24 @@ def identity_sentence(identities: DataFrame, chunks: DataFrame, mark: str = IDEN
     of equals the first by chunk and place. chunks: chunk_id, document_id, content."""
     own = identities.select("query_id", F.col("chunk_id").alias("own_chunk"), "document_id", text.fold(F.trim("anchor")).alias("anchor")).where("anchor <> ''")
     quoted = F.regexp_replace("anchor", r"([^a-z0-9\s])", r"\\$1")
-    # A document's chunks meet its identities by the words of the anchor, so only those that have one are compared.
+    # A document's chunks meet its anchors by their words, without the contents, which only those that meet are joined to;
+    # there are many words a chunk, so neither side is to be broadcast by what the files are estimated at.
     words = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
-    there = chunks.select("chunk_id", "document_id", "content", F.explode(F.array_distinct(words(text.fold(F.col("content"))))).alias("word"))
-    rows = there.join(own.withColumn("word", F.get(words(F.col("anchor")), F.lit(0))), ["document_id", "word"])
-    rows = rows.where((F.col("chunk_id") != F.col("own_chunk")) & _words_in(text.fold(F.col("content")), F.array(quoted)))
-    parts = rows.select("query_id", "own_chunk", "chunk_id", "anchor", F.posexplode(F.split("content", r"(?<=[.!?])\s+|\n+")).alias("pos", "sentence")).withColumn("folded", text.fold(F.col("sentence")))
+    there = chunks.select("document_id", "chunk_id", F.explode(F.array_distinct(words(text.fold(F.col("content"))))).alias("word"))
+    asked = own.select("document_id", "anchor", F.get(words(F.col("anchor")), F.lit(0)).alias("word")).distinct()
+    met = asked.hint("merge").join(there, ["document_id", "word"]).select("document_id", "chunk_id", "anchor").distinct()
+    rows = met.hint("merge").join(chunks.select("document_id", "chunk_id", "content"), ["document_id", "chunk_id"])
+    rows = rows.where(_words_in(text.fold(F.col("content")), F.array(quoted)))
+    parts = rows.select("document_id", "chunk_id", "anchor", F.posexplode(F.split("content", r"(?<=[.!?])\s+|\n+")).alias("pos", "sentence")).withColumn("folded", text.fold(F.col("sentence")))
     parts = parts.where(F.contains("folded", F.col("anchor")) & (text.word_count(F.col("sentence")) >= least))
     score = F.when(F.contains("folded", F.lit(mark)), 10).otherwise(0) - F.when(quality.contains_any(F.col("folded"), unwanted), 20).otherwise(0)
-    best = retrieval.keep_first(parts.withColumn("score", score), ["query_id", "own_chunk"], [F.desc("score"), "chunk_id", "pos"])
+    scored = parts.select("document_id", "chunk_id", "anchor", "pos", "sentence", score.alias("score"))
+    # The best chunk of an anchor, and the next best for the identity that is that chunk itself.
+    heads = retrieval.keep_first(scored, ["document_id", "anchor", "chunk_id"], [F.desc("score"), "pos"])
+    at = Window.partitionBy("document_id", "anchor").orderBy(F.desc("score"), "chunk_id")
+    heads = heads.withColumn("_n", F.row_number().over(at)).where("_n <= 2").drop("_n")
+    both = own.join(heads, ["document_id", "anchor"]).where(F.col("chunk_id") != F.col("own_chunk"))
+    best = retrieval.keep_first(both, ["query_id", "own_chunk"], [F.desc("score"), "chunk_id", "pos"])
     return best.select("query_id", F.col("own_chunk"), "chunk_id", F.trim("sentence").alias("sentence"), F.col("score").cast("bigint").alias("score"))
 
 

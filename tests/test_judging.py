@@ -77,3 +77,17 @@ def test_team_rows_of_both_layouts(spark):
     got = sorted((r["name"], r["charge"], r["period"]) for r in extraction.team_rows(docs).collect())
     assert got == [("Ada Roy", "10 j", "2022"), ("Bo Li", "5 j", "mars à mai")]
     assert sorted((r["post"], r["amount"]) for r in extraction.budget_rows(docs).collect()) == [("chef", "1 500 €"), ("dev", "800 €")]
+
+
+def test_identity_sentences_of_a_long_document(spark):
+    """Two hundred chunks begin with one name: each gets the best other chunk's sentence, and what is broadcast or made on
+    the way has no content a word."""
+    chunks = [(i, 7, f"Nova {'is the very' if i in (3, 5) else 'has some very'} long line number {i} of it. " + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(200)]
+    ids = [(i, i, 7, "Nova") for i in range(0, 200, 2)] + [(3, 3, 7, "nova")]
+    rows = judging.identity_sentence(
+        spark.createDataFrame(ids, "query_id long, chunk_id long, document_id long, anchor string"), spark.createDataFrame(chunks, "chunk_id long, document_id long, content string"), mark="is the", unwanted=["@"]
+    )
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2 and "[], false, [word" not in plan  # what the words are made of is left behind
+    got = {(r["query_id"], r["chunk_id"], r["score"]) for r in rows.collect()}
+    assert got == {(i, 5 if i == 3 else 3, 10) for i, *_ in ids}
