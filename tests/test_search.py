@@ -63,6 +63,29 @@ def test_bounds_spare_postings_and_blocks():
     assert best.ids.tolist() == [1, 2, 3] and best.total.tolist() == [2, 2, 2]
 
 
+def test_large_blocks_spare_short_chunks_and_overflow_nothing():
+    """Blocks go over batches, their longest chunks are first, and terms times chunks may be over 2**31."""
+    assert lexical.CHUNKS > 4096
+    n = 12000
+    chunks = [(i, ["common"] * (i % 3) + [f"t{i}x{j}" for j in range(20)] + (["zz"] * (i % 400) + ["y"] * 3 if i % 40 == 7 else [])) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunks]), pa.array([t for _, t in chunks], pa.list_(pa.string()))], ["chunk_id", "terms"])
+    made = list(lexical._indexed(iter([batch.slice(i, 1000) for i in range(0, n, 1000)])))
+    assert len(made) == 1
+    block = lexical.Block(made[0], 0)
+    assert len(block.terms) * n > 2**31
+    wave = lexical.Wave(pa.table({"query_id": [1, 2], "terms": [["common", "zz", "y", "t11999x3"], ["nowhere"]]}))
+    best = lexical.Best(10)
+    for _ in range(2):  # the second time with a threshold: each chunk is there twice
+        ((q, own),) = wave.met(block)
+        before = best.read
+        best.meet_codes(block, own)
+    score = lambda ts: sum(t in ("common", "zz", "y", "t11999x3") for t in ts)
+    want = sorted((-score(ts), i) for i, ts in chunks)
+    want = sorted([x for x in want[:10] for _ in range(2)])[:10]
+    assert q == 0 and list(zip((-best.total).tolist(), best.ids.tolist())) == want
+    assert best.read - before < before / 10  # chunks with fewer terms than the threshold are left out
+
+
 def test_tasks_keep_k_rows_a_query(spark):
     t = Tables(spark, "/root/testdata/sf0.01")
     blocks = plans.word_index(t)
