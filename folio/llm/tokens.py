@@ -14,9 +14,11 @@ from itertools import islice
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Bytes of text that are worked on together.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 2_000_000
+#: Texts, and words by themselves, that the library encodes at a time: what it returns takes some hundred bytes a token, the ids two or four.
+ENCODED, ENCODED_WORDS = 16, 4000
 #: By line: lower-cased latin letters, perhaps with marks after them, else two empty groups. The library's normaliser
 #: keeps such words as they are, and its pattern splits just before the marks.
 _LINES = re.compile(r"(?m)^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|.*)$")
@@ -53,6 +55,13 @@ class WordEncoder:
         self.starts = np.empty(0, np.int64)  # the ids of word c are flat[starts[c] : starts[c] + lengths[c]]
         self.lengths = np.empty(0, np.int64)
 
+    def _each(self, tokenizer: Tokenizer, texts: list[str], at_once: int = ENCODED) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), at_once):
+            out += [np.array(e.ids, self.dtype) for e in tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
+        return out
+
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and where those of each word start and how many they are."""
         found = _LINES.findall(b"\n".join(words).decode("utf-8").lower())
@@ -63,15 +72,13 @@ class WordEncoder:
         flat = np.empty(0, self.dtype)
         if is_plain.any():
             parts = [f"{a} {b}" if b else a for a, b in found if a]
-            encoded = self.plain.encode_batch_fast([" ".join(parts[i : i + 2000]) for i in range(0, len(parts), 2000)], add_special_tokens=False)
-            flat = np.concatenate([np.array(e.ids, self.dtype) for e in encoded])
+            flat = np.concatenate(self._each(self.plain, [" ".join(parts[i : i + 2000]) for i in range(0, len(parts), 2000)]))
             # Each part ends with the one token that closes a word, so the flat ids fall apart at those.
             closes = np.flatnonzero(self.ends[flat]) + 1
             stops = closes[np.cumsum([1 + bool(b) for a, b in found if a]) - 1]
             starts[is_plain], lengths[is_plain] = np.concatenate([[0], stops[:-1]]), np.diff(stops, prepend=0)
         if not is_plain.all():
-            encoded = self.full.encode_batch_fast([w.decode("utf-8") for w, p in zip(words, is_plain.tolist()) if not p], add_special_tokens=False)
-            rest = [np.array(e.ids, self.dtype) for e in encoded]
+            rest = self._each(self.full, [w.decode("utf-8") for w, p in zip(words, is_plain.tolist()) if not p], ENCODED_WORDS)
             sizes = np.array([len(x) for x in rest])
             starts[~is_plain], lengths[~is_plain] = len(flat) + np.cumsum(sizes) - sizes, sizes
             flat = np.concatenate([flat, *rest])
