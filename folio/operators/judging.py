@@ -62,20 +62,24 @@ def section_backfill(chunks: DataFrame, any_of: list[str], priorities: list[list
     return rows.withColumn("place", F.row_number().over(at).cast("bigint")).where(F.col("place") <= limit)
 
 
-def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
-
-
 def intent_pages(queries: DataFrame, chunks: DataFrame, rules: list[tuple[list[str], list[int]]], least: int = 8, per_page: int = 4) -> DataFrame:
     """Chunks of each query's document on the pages of the first rule whose phrases the query has one of, in order of
-    page and id, up to max(least, per_page * pages). queries: query_id, query, document_id."""
+    page and id, up to max(least, per_page * pages). queries: query_id, query, document_id. A document's list for a rule is
+    cut before queries meet it, at the most that any rule gives: queries of one id share their places."""
+    limits = [max(least, per_page * len(pages)) for _, pages in rules]
     folded = text.fold(F.col("query"))
-    pages = reduce(lambda c, r: c.when(quality.contains_any(folded, r[0]), _longs(r[1])), rules[1:], F.when(quality.contains_any(folded, rules[0][0]), _longs(rules[0][1])))
-    asked = queries.select("query_id", "document_id", pages.alias("pages")).where("pages is not null")
-    asked = asked.select("query_id", "document_id", F.greatest(F.lit(least), per_page * F.size("pages")).alias("most"), F.explode("pages").alias("page"))
-    rows = chunks.join(asked, ["document_id", "page"])
+    rule = reduce(lambda c, ir: c.when(quality.contains_any(folded, ir[1][0]), F.lit(ir[0])), list(enumerate(rules))[1:], F.when(quality.contains_any(folded, rules[0][0]), F.lit(0)))
+    asked = queries.select("query_id", "document_id", rule.alias("rule")).where("rule is not null").withColumn("most", F.array(*map(F.lit, limits))[F.col("rule")])
+    on = F.array(*[F.when(F.col("page") == page, F.lit(i)) for i, (_, pages) in enumerate(rules) for page in pages]).cast("array<int>")
+    wanted = chunks.where(F.col("page").isin(sorted({page for _, pages in rules for page in pages})))
+    listed = wanted.select("document_id", "chunk_id", "page", F.explode(F.array_compact(on)).alias("rule"))
+    # dealt out by another key than the join's: both its sides are dealt anew, and Spark can split a document that many ask for
+    at = Window.partitionBy(F.struct("document_id", "rule")).orderBy("page", "chunk_id")
+    listed = listed.withColumn("place", F.row_number().over(at)).where(F.col("place") <= max(limits)).drop("place")
+    rows = asked.join(listed, ["document_id", "rule"])
     at = Window.partitionBy("query_id").orderBy("page", "chunk_id")
-    return rows.withColumn("place", F.row_number().over(at).cast("bigint")).where(F.col("place") <= F.col("most")).select("query_id", "chunk_id", "page", "place")
+    rows = rows.withColumn("place", F.row_number().over(at)).where((F.col("place") <= max(limits)) & (F.col("place") <= F.col("most")))
+    return rows.select("query_id", "chunk_id", "page", F.col("place").cast("bigint").alias("place"))
 
 
 def specificity(asked: Column, content: Column, text_score: Column, similarity: Column) -> Column:
